@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +20,62 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import shared_folder
+    from .token_store import stored_digests, write_store
+
+    store = shared_folder(spark)
+    write_store(_table(spark, sf_dir, "documents"), store, _tokenizer("word_bpe_49k.json"), end_id=2)
+    return stored_digests(spark, store)
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import without_repeats
+
+    left = without_repeats(_table(spark, sf_dir, "documents"), length=50)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w from documents
+), windows as (
+  select doc_id, s, sha256(array_to_string(list_slice(w, s, s + 49), ' ')) as h
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as s from words)
+), first as (
+  select h, min(doc_id) as least from windows group by h
+), gone as (
+  select distinct doc_id, unnest(range(s, s + 50)) as k from windows join first using (h) where least < doc_id
+), lists as (
+  select doc_id, list(k) as ks from gone group by doc_id
+), kept as (
+  select doc_id, w, case when ks is null then w else list_select(w, list_filter(range(1, len(w) + 1), lambda x: not list_contains(ks, x))) end as k
+  from words left join lists using (doc_id)
+)
+select doc_id, len(w) as n_words, len(w) - len(k) as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op4_token_counts": op4_token_counts,
+        "op5_token_store": op5_token_store,
+        "op9_substring_dedup": op9_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_substring_dedup": OP9_SQL}
