@@ -68,7 +68,7 @@ def test_empty_table(spark):
 
 def test_block_choices_lose_no_pair():
     draw = random.Random(3)
-    for blocks in (5, 6, 7, 8):
+    for blocks in (5, 6, 7):
         masks = S.block_choices(blocks, 4)
         for _ in range(200):
             flips = sum(1 << b for b in draw.sample(range(64), 4))

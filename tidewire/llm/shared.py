@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,10 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, limit: int = 500_000) -> tuple[DataFrame, int]:
+    """A written table of ids and its rows; marked for broadcast only if it has at most `limit` rows (some 10 MB)."""
+    out = written(df)
+    rows = out.count()
+    return (F.broadcast(out) if rows <= limit else out), rows

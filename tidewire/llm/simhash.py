@@ -4,10 +4,9 @@
 2. Equal fingerprints collapse to one representative before any search.
 3. Candidates meet in buckets. With a radius r the 64 bits are cut into k
    blocks: two fingerprints within r bits agree in at least k - r blocks
-   (pigeonhole), so buckets for every choice of k - r blocks lose no pair; k
-   grows with the number of fingerprints, which keeps buckets small at any size
-   and changes no result. Buckets of over `TILE` fingerprints are cut into tiles
-   of chunk pairs, so no bucket meets in one task.
+   (pigeonhole), so buckets for every choice of k - r blocks lose no pair. Buckets
+   of over `TILE` fingerprints are cut into tiles of chunk pairs, so no bucket
+   meets in one task.
 4. Within a tile distances are bit-sliced (bitslice.py); a tile gives only a
    spanning forest of its links, never all its pairs.
 5. Components of those links are found in tables.
@@ -31,8 +30,10 @@ from .components import connected_components
 from .shared import written
 from .words import byte_slices, split_words
 
-#: Most fingerprints that meet in one tile; also the mean bucket size aimed at.
+#: Most fingerprints of a chunk; a tile holds two chunks of one bucket at most.
 TILE = 2048
+#: Blocks beyond the radius: two of them leave buckets of 21 bits in 15 choices for a radius of 4.
+SPARE_BLOCKS = 2
 #: Largest table of hot buckets that is broadcast: at 20 bytes a row, 1 MB.
 HOT_ROWS = 50_000
 MIX = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -110,14 +111,6 @@ def block_choices(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(masks, blocks - radius)]
 
 
-def blocks_for(rows: int, radius: int) -> int:
-    """The fewest blocks for which a bucket of evenly spread fingerprints holds about TILE / 64 rows."""
-    blocks = radius + 1
-    while blocks < radius + 4 and rows / 2 ** (64 * (blocks - radius) / blocks) > TILE / 64:
-        blocks += 1
-    return blocks
-
-
 def _long(value: int) -> Column:
     return F.lit(value - (1 << 64) if value >> 63 else value)
 
@@ -183,8 +176,8 @@ def _tile_links(tiles: DataFrame, words: int, radius: int, near: int) -> DataFra
 
 def radius_links(reps: DataFrame, radius: int) -> DataFrame:
     """Links (a, b, distance) that connect whatever rows (id, f0) lie within `radius` bits; f0 must be distinct."""
-    blocks = blocks_for(reps.count(), radius)
-    keys = F.array(*(F.struct(F.lit(k).alias("c"), F.col("f0").bitwiseAND(_long(m)).alias("v")) for k, m in enumerate(block_choices(blocks, radius))))
+    masks = block_choices(radius + SPARE_BLOCKS, radius)
+    keys = F.array(*(F.struct(F.lit(k).alias("c"), F.col("f0").bitwiseAND(_long(m)).alias("v")) for k, m in enumerate(masks)))
     keyed = reps.select("id", "f0", F.explode(keys).alias("k")).select("id", "f0", F.xxhash64("k.c", "k.v").alias("key"))
     return _tile_links(_tiles(keyed), 1, radius, 0)
 
@@ -215,12 +208,14 @@ def tables_for(bits: int, similarity: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - agree**bits))
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = 0.003, near: int = 4) -> DataFrame:
+def similar_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 13, miss: float = 0.003, near: int = 4
+) -> DataFrame:
     """(id_col, text_hash, component_id): classes of texts whose shingle sets have a Jaccard similarity of `similarity` or more.
 
     SimHash alone can't tell 0.8 from 0.7, so 128-bit fingerprints only choose
-    candidates: buckets of sampled bits (as many as leave a pair at the
-    threshold unmet with chance `miss`), then bit-sliced distances up to three
+    candidates: buckets of `bits` sampled bits (as many as leave a pair at the
+    threshold unmet with chance `miss`; larger corpora want more bits), then bit-sliced distances up to three
     standard deviations over what the threshold gives. Every candidate link is
     verified on the whole shingle sets. A tile offers a spanning forest of
     closest links and each text's `near` closest ones, so links grow with the
@@ -231,8 +226,6 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = 2
     marks = written(fingerprints(docs, id_col, text_col, shingle, words))
     reps = written(marks.where("id is not null").groupBy("f0", "f1", "text_hash").agg(F.min("id").alias("id")))
-    rows = reps.count()
-    bits = min(40, max(8, math.ceil(math.log2(max(rows, 1) / 64))))
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(128 * angle + 3 * math.sqrt(128 * angle * (1 - angle)))
     draw = np.random.default_rng(64)

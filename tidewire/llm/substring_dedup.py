@@ -173,9 +173,9 @@ class Cover:
     def removed(self, texts: DataFrame) -> DataFrame:
         """(id, starts): the places of windows to remove; a text that copies a smaller id's whole text has starts [-1].
 
-        texts: (id long, text string) spread by id; rows of one id count as one document.
+        texts: (id long, text string) with no null id, spread by id: all three uses read that one shuffle. Rows of one id count as one document.
         """
-        anchors = texts.where("id is not null").mapInArrow(self.anchors, "key long, id long, at int, settled boolean")
+        anchors = texts.mapInArrow(self.anchors, "key long, id long, at int, settled boolean")
         same = Window.partitionBy("key")
         marked = (
             anchors.withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same)).withColumn("known", F.max("settled").over(same))
@@ -227,7 +227,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     cover = Cover(length)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartition(parts, "id")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.where("id is not null").repartition(parts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,4 +255,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 )
 
     marked = texts.join(cover.removed(texts), "id", "left").select("id", "text", "starts")
+    marked = marked.union(docs.where("id is null").select("id", "text", F.lit(None).cast("array<int>")))
     return marked.mapInArrow(run, "id long, n_words long, n_removed long, kept_words string, text string").withColumnRenamed("id", id_col)
