@@ -4,7 +4,9 @@ For a segment of n components with means m and deviations s of a query and a
 candidate, the squared distance is at least n ((m - m')^2 + (s - s')^2), and so
 the inner product at most n (m m' + s s'). A candidate is dropped at the
 coarsest resolution whose summed bound stays under the query's k-th best exact
-score so far; only survivors of the finest one get an exact score.
+score so far; only survivors of the finest one count with an exact score.
+Where over `DENSE` of a block's pairs survive, one matrix product costs less
+than picking them, and the survivors are read from it.
 
 Candidates are dealt into tiles; every query goes to every tile once, in
 blocks, and each tile gives k rows a query. Nothing is collected or broadcast.
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 TILE, CELLS = 1 << 16, 1 << 21
 LEAST_TILES = 12
 #: Segments at each resolution.
-LEVELS = (1, 4, 16)
+LEVELS = (1, 4, 16, 32)
+#: Share of surviving pairs from which a block is multiplied whole.
+DENSE = 0.02
 
 
 def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -51,13 +55,6 @@ class Tile:
             found.append(self._block(np.arange(a, min(a + step, len(ids))), ids, vectors, k))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def _scores(self, vectors: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        out = np.empty(len(q), np.int64)
-        for a in range(0, len(q), 1 << 16):
-            cut = slice(a, a + (1 << 16))
-            out[cut] = (vectors[q[cut]] * self.vectors[x[cut]]).sum(axis=1)
-        return out
-
     def _block(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = [segment_statistics(vectors[rows].astype(float), s) for s in LEVELS]
         bound = own[0] @ self.levels[0].T
@@ -65,26 +62,45 @@ class Tile:
         # Exact scores of those that look best give the first limit of each query.
         first = min(4 * k, len(self.ids))
         best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        q = np.repeat(np.arange(len(rows)), first)
-        seen = self._scores(vectors, rows[q], best.ravel()).reshape(len(rows), first).astype(float)
-        seen[np.isneginf(np.take_along_axis(bound, best, axis=1))] = -np.inf
+        guess = np.zeros(bound.shape, bool)
+        np.put_along_axis(guess, best, True, axis=1)
+        seen = products(vectors[rows], self.vectors, guess).reshape(len(rows), first).astype(float)
+        seen[np.isneginf(bound[guess]).reshape(len(rows), first)] = -np.inf
         limit = np.sort(seen, axis=1)[:, -k] if first >= k else np.full(len(rows), -np.inf)
-        slack = 1e-6 + 1e-9 * np.abs(np.where(np.isfinite(limit), limit, 0))
-        q, x = np.nonzero((bound >= (limit - slack)[:, None]) & ~np.isneginf(bound))
+        limit -= 1e-6 + 1e-9 * np.abs(np.where(np.isfinite(limit), limit, 0))
+        live = (bound >= limit[:, None]) & ~np.isneginf(bound)
         for mine, theirs in zip(own[1:], self.levels[1:]):
-            upper = np.empty(len(q))
-            for a in range(0, len(q), 1 << 16):
-                cut = slice(a, a + (1 << 16))
-                upper[cut] = (mine[q[cut]] * theirs[x[cut]]).sum(axis=1)
-            live = upper >= (limit - slack)[q]
-            q, x = q[live], x[live]
-        score = self._scores(vectors, rows[q], x)
+            live[live] = products(mine, theirs, live) >= np.repeat(limit, live.sum(axis=1))
+        q, x = np.nonzero(live)
+        score = products(vectors[rows], self.vectors, live)
+        good = score >= np.repeat(limit, live.sum(axis=1))
+        q, x, score = q[good], x[good], score[good]
         order = np.lexsort((x, -score, q))
         q, x, score = q[order], x[order], score[order]
         top = np.arange(len(q)) - np.searchsorted(q, q) < k
         return rows[q[top]], x[top], score[top]
 
 
+def products(left: np.ndarray, right: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Inner products of the wanted (row of left, row of right) pairs, row by row.
+
+    Whole numbers stay exact: they are multiplied as doubles only if no sum can reach 2**53.
+    """
+    whole = left.dtype.kind == "i"
+    if wanted.mean() > DENSE if wanted.size else False:
+        if not whole:
+            return (left @ right.T)[wanted]
+        most = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
+        both = left.astype(float) @ right.astype(float).T if most < 1 << 53 else left @ right.T
+        return both[wanted].astype(np.int64)
+    q, x = np.nonzero(wanted)
+    out = np.empty(len(q), np.int64 if whole else float)
+    for a in range(0, len(q), 1 << 16):
+        cut = slice(a, a + (1 << 16))
+        out[cut] = (left[q[cut]] * right[x[cut]]).sum(axis=1)
+    return out
+
+
 def whole_numbers(vector: str, scale: int = 256) -> Column:
     """floor(scale * x) of each component, x as double; null for a vector that is null, empty or has a null or non-finite component."""
     finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
@@ -130,8 +146,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
                 yield pd.DataFrame({"query_id": ids[q], "mark": marks[q], "vec_id": tile.ids[x], "score": score})
 
     both = candidates.withColumn("mark", F.lit(0).cast("long")).union(asking.withColumn("mark", F.xxhash64("v")))
-    parts = max(tiles, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = both.repartition(parts, "size", "tile").sortWithinPartitions("size", "tile", "asks", "id")
+    # Tile k is partition k: hashing tile numbers would put several into one task.
+    dealt = both.repartitionById(tiles, "tile").sortWithinPartitions("size", "tile", "asks", "id")
     found = dealt.mapInPandas(run, "query_id long, mark long, vec_id long, score long")
     best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
