@@ -17,8 +17,8 @@ own frame alone (`read_document`).
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,12 +35,13 @@ from .token_counts import LETTERS, MARKS, as_alphabet
 from .words import byte_slices, split_words
 
 BLOCK_BYTES = 1 << 20
+#: Bytes of text encoded at a time: the more, the fewer words are looked up again.
+ENCODED_BYTES = 8 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Documents that the dictionary is trained on, and its size. Every document is encoded and written.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 64 << 10
 LEVEL = 3
-WORD_AND_MARKS = re.compile(f"([{LETTERS}]+)([{MARKS}]*)")
 BLOCKS = (
     "shard int, block int, first_id long, last_id long, before long, dictionary_hash string, "
     "ids array<long>, offsets array<int>, counts array<int>, payload binary"
@@ -52,7 +53,8 @@ class WordIds:
 
     A word seen before costs a look-up. A word that is a run of letters and
     then a run of marks is two pre-tokens, each given to the tokenizer's model;
-    any other word is encoded whole.
+    any other word is encoded whole. All ids found lie in one flat array, of
+    which a word has a row number.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,56 +63,59 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[bytes, list[int]] = {}
-        self.runs: dict[str, list[int]] = {}
+        self._forget()
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        found: dict[bytes, list[int]] = {}
-        rest = []
-        tokenize = self.tokenizer.model.tokenize
-        if len(self.runs) > REMEMBERED:
-            self.runs = {}
-        for w in words:
-            text = w.decode()
-            m = WORD_AND_MARKS.fullmatch(text)
-            if not m:
-                rest.append(w)
-                continue
-            ids: list[int] = []
-            for p in m.groups():
-                if p:
-                    got = self.runs.get(p)
-                    if got is None:
-                        got = self.runs[p] = [t.id for t in tokenize(as_alphabet(p.lower()))]
-                    ids += got
-            found[w] = ids
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        return found | {w: e.ids for w, e in zip(rest, coded)}
-
-    def of(self, words: list[bytes]) -> list[list[int]]:
-        missing = [w for w in words if w not in self.known]
+    def _forget(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.runs: dict[str, list[int]] = {}
+        self.flat, self.bounds = array("I"), array("q", [0])
+
+    def _run(self, run: str) -> list[int]:
+        ids = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(run if run.isascii() else as_alphabet(run))]
+        return ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        parts = pc.extract_regex(pa.array(words, pa.binary()).cast(pa.string()), f"^(?P<letters>[{LETTERS}]+)(?P<marks>[{MARKS}]*)$")
+        letters = pc.utf8_lower(parts.field("letters")).to_pylist()
+        marks, simple = parts.field("marks").to_pylist(), parts.is_valid().to_pylist()
+        rest = [w for w, x in zip(words, simple) if not x]
+        others = iter(self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False))
+        rows, runs, flat, bounds = self.rows, self.runs, self.flat, self.bounds
+        for w, x, a, b in zip(words, simple, letters, marks):
+            if x:
+                flat.extend(runs.get(a) or self._run(a))
+                if b:
+                    flat.extend(runs.get(b) or self._run(b))
+            else:
+                flat.extend(next(others).ids)
+            rows[w] = len(bounds) - 1
+            bounds.append(len(flat))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The row number of each word."""
+        missing = [w for w in words if w not in self.rows]
         if missing:
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known, missing = {}, words
-            self.known |= self._learn(missing)
-        return list(map(self.known.__getitem__, words))
+            if len(self.rows) + len(missing) > REMEMBERED:
+                self._forget()
+                missing = words
+            self._learn(missing)
+        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array, end: int | None = None) -> list[np.ndarray]:
         """The ids of each text (null: empty), and the end id after them."""
         split = split_words(texts)
         codes, words = split.coded()
-        ids = self.of(words)
+        rows = self.of(words)
+        bounds, flat = np.array(self.bounds, np.int64), np.array(self.flat, np.uint32)
+        begin, sizes = bounds[rows], bounds[rows + 1] - bounds[rows]
         if end is not None:
-            codes = np.insert(codes, split.offsets[1:], len(ids))
-            ids = [*ids, [end]]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
+            codes = np.insert(codes, split.offsets[1:], len(rows))
+            begin, sizes, flat = np.append(begin, len(flat)), np.append(sizes, 1), np.append(flat, np.uint32(end))
         each = sizes[codes]
         upto = np.concatenate([[0], np.cumsum(each)])
         picked = flat[np.repeat(begin[codes] - upto[:-1], each) + np.arange(upto[-1])]
-        bounds = split.offsets + (np.arange(len(split.offsets)) if end is not None else 0)
-        return np.split(picked, upto[bounds[1:-1]])
+        cuts = split.offsets + (np.arange(len(split.offsets)) if end is not None else 0)
+        return np.split(picked, upto[cuts[1:-1]])
 
 
 class WholeIds:
@@ -209,7 +214,7 @@ def write_store(docs: DataFrame, out: str, path: str, end_id: int = 2, id_col: s
              ("ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("payload", pa.binary())]
         )
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in byte_slices(batch, limit=ENCODED_BYTES):
                 for i, x in zip(part.column("id").to_pylist(), encode.encode(part.column("text"), end_id)):
                     frame = pack.compress(x.astype(kind).tobytes())
                     ids.append(i)
