@@ -107,7 +107,8 @@ def without_near_duplicates(items: DataFrame, hours: float = 6.0, least: float =
                     key, kept = (row.site, row.run), _Kept(hours, least, look_back)
                 if (lost := kept.loser(row)) is not None:
                     gone.append(lost)
-            yield pd.DataFrame({"id": gone})
+            if gone:
+                yield pd.DataFrame({"id": pd.Series(gone, dtype=frame["id"].dtype)})
 
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = runs.repartition(parts, "site", "run").sortWithinPartitions("site", "run", "at", "id")
