@@ -38,7 +38,7 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31:
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Bytes of text that meet in a batch to settle repeats.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def period_for(length: int) -> int:

@@ -7,6 +7,7 @@ no words. Nothing here looks at more than one slice of a batch at a time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +19,18 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that workers that wait between stages hold little (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def byte_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of about `limit` bytes of text, so that memory follows bytes and not rows."""
+    give_back()
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -27,6 +38,7 @@ def byte_slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BY
     cuts = np.flatnonzero(np.diff(part)) + 1
     for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
         yield batch.slice(int(start), int(end - start))
+    give_back()
 
 
 @dataclass
