@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import counted
 from .token_counts import LETTERS, MARKS, as_alphabet
 from .words import byte_slices, split_words
 
@@ -38,10 +39,12 @@ BLOCK_BYTES = 1 << 20
 #: Bytes of text encoded at a time: the more, the fewer words are looked up again.
 ENCODED_BYTES = 8 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Documents that the dictionary is trained on, and its size. Every document is encoded and written.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 64 << 10
 LEVEL = 3
+#: Largest table of shards (some 20 bytes each) that is broadcast.
+SHARDS = 100_000
 BLOCKS = (
     "shard int, block int, first_id long, last_id long, before long, dictionary_hash string, "
     "ids array<long>, offsets array<int>, counts array<int>, payload binary"
@@ -262,6 +265,7 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     # One row for each shard, of which there are as many as files: their running total is the only global order.
     totals = blocks.select("shard", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     bases = totals.selectExpr("shard", "coalesce(sum(n) over (order by shard rows between unbounded preceding and 1 preceding), 0) as base")
+    bases, _ = counted(bases, SHARDS)
     documents = blocks.mapInArrow(run, "shard int, id long, begin long, ids binary")
     return documents.join(bases, "shard").select(F.col("id").alias("doc_id"), (F.col("base") + F.col("begin")).alias("start"), "ids")
 
