@@ -89,3 +89,51 @@ def test_similar_classes_follow_jaccard(spark):
         want |= {10 * g: 10 * g, 10 * g + 1: 10 * g, 10 * g + 2: 10 * g + 2, 10 * g + 3: 10 * g}
     got = {r.doc_id: r.component_id for r in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def groups_by_jaccard(rows, k=5, similarity=0.8):
+    """Classes by all pairs that are similar, and by those of them that are within the radius and meet in a table."""
+    sets = [{*zip(*(t.split()[s:] for s in range(k)))} for _, t in rows]
+    numbers = {}
+    held = np.zeros((len(rows), sum(map(len, sets))), np.float32)
+    marks = np.zeros((len(rows), 2), np.uint64)
+    for n, grams in enumerate(sets):
+        held[n, [numbers.setdefault(g, len(numbers)) for g in grams]] = 1
+        hashes = np.array([xxhash.xxh64_intdigest(" ".join(g), 42) for g in grams], np.uint64)
+        marks[n] = [S.majority(S.remixed(hashes, w)) for w in range(2)]
+    held = held[:, : len(numbers)]
+    shared, size = held @ held.T, held.sum(1)
+    radius, masks = S.reach(13, similarity, 0.003)
+    every, met = {d: d for d, _ in rows}, {d: d for d, _ in rows}
+    for i, j in np.argwhere(np.triu(shared >= similarity * (size[:, None] + size - shared), 1)).tolist():
+        x = marks[i] ^ marks[j]
+        near = np.bitwise_count(x).sum() <= radius and not (x & np.array(masks, np.uint64)).any(axis=1).all()
+        for label in (every, met) if near else (every,):
+            a, b = sorted((label[rows[i][0]], label[rows[j][0]]))
+            for d in [d for d, c in label.items() if c == b]:
+                label[d] = a
+    return every, met
+
+
+@pytest.mark.parametrize("tile", [2048, 300])
+def test_crowd_under_the_threshold_hides_no_similar_pair(spark, monkeypatch, tile):
+    monkeypatch.setattr(S, "TILE", tile)
+    draw = random.Random(11)
+
+    def changed(words, n, mark):
+        words = list(words)
+        for k in draw.sample(range(2, 200), n):
+            words[k] = f"{mark}x{k}"
+        return words
+
+    rows = []
+    for g in range(1400):
+        rows.append((g, changed([f"w{k}" for k in range(204)], 4, g)))
+        if g % 14 == 0:
+            rows.append((5000 + g, changed(rows[-1][1], 3, f"n{g}")))
+    rows = [(d, " ".join(w)) for d, w in rows]
+    every, want = groups_by_jaccard(rows)
+    assert 60 < sum(d != c for d, c in want.items()) < 200
+    assert sum(want[d] != every[d] for d in want) <= 2
+    got = {r.doc_id: r.component_id for r in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -56,16 +57,20 @@ def close_pairs(rows: np.ndarray, first: np.ndarray, last: np.ndarray, radius: i
     block whose lanes have all passed the radius is dropped with no further
     plane read. `blocks` bounds what is compared at a time.
     """
+    out = list(close_runs(rows, first, last, radius, blocks))
+    return Pairs(*(np.concatenate(x) for x in zip(*out))) if out else Pairs(*(np.empty(0, np.int64),) * 3)
+
+
+def close_runs(rows: np.ndarray, first: np.ndarray, last: np.ndarray, radius: int, blocks: int) -> Iterator[Pairs]:
+    """The pairs of `close_pairs` in the order of i, `blocks` blocks at a time; one i's pairs come together."""
     n, planes = len(rows), planes_of(rows)
     start, end = np.arange(n) // 64, (last - 1) // 64
     per_row = end - start + 1
-    out = []
     cuts = np.flatnonzero(np.diff((np.cumsum(per_row) - 1) // blocks)) + 1
     for a, b in zip([0, *cuts], [*cuts, n]):
         query = np.repeat(np.arange(a, b), per_row[a:b])
         word = np.arange(len(query)) - np.repeat(np.cumsum(per_row[a:b]) - per_row[a:b], per_row[a:b]) + start[query]
-        out.append(_survivors(planes, query, word, last, radius))
-    return Pairs(*(np.concatenate(x) for x in zip(*out))) if out else Pairs(*(np.empty(0, np.int64),) * 3)
+        yield _survivors(planes, query, word, last, radius)
 
 
 def _lanes(query: np.ndarray, word: np.ndarray, last: np.ndarray) -> np.ndarray:

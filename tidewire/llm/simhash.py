@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,13 +25,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitslice import Pairs, close_pairs, forest
+from .bitslice import Pairs, close_pairs, close_runs, forest
 from .components import connected_components
 from .shared import written
 from .words import byte_slices, split_words
 
 #: Most fingerprints of a chunk; a tile holds two chunks of one bucket at most.
 TILE = 2048
+#: Most shingles of a chunk where shingle sets travel with the rows (8 MB), unless one text alone has more.
+TILE_SHINGLES = 1 << 20
+#: Blocks of 64 pairs looked at in one go where every pair counts.
+RUN_BLOCKS = 1 << 14
 #: Blocks beyond the radius: two of them leave buckets of 21 bits in 15 choices for a radius of 4.
 SPARE_BLOCKS = 2
 #: Largest table of hot buckets that is broadcast: at 20 bytes a row, 1 MB.
@@ -115,10 +119,16 @@ def _long(value: int) -> Column:
     return F.lit(value - (1 << 64) if value >> 63 else value)
 
 
-def _tiles(keyed: DataFrame) -> DataFrame:
-    """Adds (key, lo, hi) tiles: buckets of one row go, large ones become pairs of chunks, each row in every pair that has its chunk."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    hot = written(sizes.where(F.col("n") > TILE).select("key", F.ceil(F.col("n") / TILE).cast("int").alias("chunks")))
+def _tiles(keyed: DataFrame, keep: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """Adds (key, lo, hi) tiles: buckets of one row go, large ones become pairs of chunks, each row in every pair that has its chunk.
+
+    A bucket is also large if its rows' `weight` adds up to over TILE_SHINGLES. Columns `keep` stay.
+    """
+    chunks = F.ceil(F.count("*") / TILE)
+    if weight:
+        chunks = F.greatest(chunks, F.ceil(F.sum(weight) / TILE_SHINGLES))
+    sizes = keyed.groupBy("key").agg(chunks.cast("int").alias("chunks"))
+    hot = written(sizes.where("chunks > 1"))
     few = hot.count()
     if few:
         keyed = keyed.join(F.broadcast(hot) if few <= HOT_ROWS else hot, "key", "left")
@@ -128,7 +138,7 @@ def _tiles(keyed: DataFrame) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, chunk).alias("lo"), F.greatest(c, chunk).alias("hi")))
     one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
     return keyed.withColumn("tile", F.explode(F.when(F.col("chunks").isNull(), one).otherwise(others))).select(
-        F.xxhash64("key", "tile.lo", "tile.hi").alias("tile"), "id", *[c for c in keyed.columns if c[0] == "f" and c[1:].isdigit()]
+        F.xxhash64("key", "tile.lo", "tile.hi").alias("tile"), "id", *[c for c in keyed.columns if c[0] == "f" and c[1:].isdigit()], *keep
     )
 
 
@@ -143,19 +153,8 @@ def _near(n: int, pairs: Pairs, near: int) -> np.ndarray:
     return np.unique(np.concatenate(kept))
 
 
-def _tile_links(tiles: DataFrame, words: int, radius: int, near: int) -> DataFrame:
-    """(a, b, distance): for each tile the links of a spanning forest, and each row's `near` closest ones."""
-    names = [f"f{k}" for k in range(words)]
-
-    def links(frame: pd.DataFrame) -> pd.DataFrame:
-        key = frame["tile"].to_numpy()
-        first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-        size = np.diff(np.concatenate([first, [len(key)]]))
-        rows = np.stack([frame[x].to_numpy().view(np.uint64) for x in names], axis=1)
-        pairs = close_pairs(rows, np.repeat(first, size), np.repeat(first + size, size), radius)
-        kept = _near(len(rows), pairs, near)
-        ids = frame["id"].to_numpy()
-        return pd.DataFrame({"a": ids[pairs.i[kept]], "b": ids[pairs.j[kept]], "distance": pairs.distance[kept].astype(np.int32)})
+def _by_tile(tiles: DataFrame, links: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What `links` makes of frames of whole tiles."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A partition holds whole tiles in order; the last tile of a batch may go on in the next.
@@ -171,7 +170,108 @@ def _tile_links(tiles: DataFrame, words: int, radius: int, near: int) -> DataFra
             yield links(rest)
 
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartition(parts, "tile").sortWithinPartitions("tile", "id").mapInPandas(run, "a long, b long, distance int")
+    return tiles.repartition(parts, "tile").sortWithinPartitions("tile", "id").mapInPandas(run, schema)
+
+
+def _groups(frame: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of a frame of whole tiles, and each row's first and last row of its tile."""
+    key = frame["tile"].to_numpy()
+    first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    rows = np.stack([frame[x].to_numpy().view(np.uint64) for x in names], axis=1)
+    return rows, np.repeat(first, size), np.repeat(first + size, size)
+
+
+def _tile_links(tiles: DataFrame, words: int, radius: int, near: int) -> DataFrame:
+    """(a, b, distance): for each tile the links of a spanning forest, and each row's `near` closest ones.
+
+    With `near`, a row's link to itself says that the tile has more pairs of that row.
+    """
+    names = [f"f{k}" for k in range(words)]
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, first, last = _groups(frame, names)
+        pairs = close_pairs(rows, first, last, radius)
+        kept = _near(len(rows), pairs, near)
+        i, j, distance = (x[kept] for x in pairs)
+        if near:
+            left = np.ones(len(pairs.i), bool)
+            left[kept] = False
+            more = np.unique(np.concatenate([pairs.i[left], pairs.j[left]]))
+            i, j, distance = np.concatenate([i, more]), np.concatenate([j, more]), np.concatenate([distance, np.zeros(len(more), np.int64)])
+        ids = frame["id"].to_numpy()
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "distance": distance.astype(np.int32)})
+
+    return _by_tile(tiles, links, "a long, b long, distance int")
+
+
+def _open_pairs(frame: pd.DataFrame, masks: list[tuple[int, int]], radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) in the order of i: pairs within the radius, of different classes, whose sizes allow the similarity, in the first table where they meet."""
+    rows, first, last = _groups(frame, ["f0", "f1"])
+    table, classes, size = (frame[x].to_numpy() for x in ("table", "component", "size"))
+    wide = np.array(masks, np.uint64)
+    for pairs in close_runs(rows, first, last, radius, RUN_BLOCKS):
+        i, j = pairs.i, pairs.j
+        fit = (classes[i] != classes[j]) & (table[i] == table[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+        i, j = i[fit], j[fit]
+        for k, mask in enumerate(wide):
+            if not len(i) or k >= table[i].max():
+                break
+            met = (table[i] > k) & ~((rows[i] ^ rows[j]) & mask).any(axis=1)
+            i, j = i[~met], j[~met]
+        yield i, j
+
+
+def _rest_links(rows: DataFrame, sets: DataFrame, masks: list[tuple[int, int]], radius: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect whatever rows (id, f0, f1, component, size) within the radius are similar and not of one class yet.
+
+    Each pair is checked exactly, in its first table, unless other pairs of the
+    tile have joined its classes. Shingle sets go only to the tiles where a row
+    has a pair to check.
+    """
+
+    def wanted(frame: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(len(frame), bool)
+        for i, j in _open_pairs(frame, masks, radius, similarity):
+            found[i] = found[j] = True
+        return frame[found]
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        size, ids, sets = frame["size"].to_numpy(), frame["id"].to_numpy(), frame["shingles"].to_list()
+        ends = np.cumsum(size)
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        seen = np.zeros(len(codes), bool)
+        root = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+        sure = []
+        for left, right in _open_pairs(frame, masks, radius, similarity):
+            for i, others in zip(left[np.unique(left, return_index=True)[1]].tolist(), np.split(right, np.unique(left, return_index=True)[1][1:])):
+                j = others[root[others] != root[i]]
+                if not len(j):
+                    continue
+                own = codes[ends[i] - size[i] : ends[i]]
+                upto = np.cumsum(size[j]) - size[j]
+                seen[own] = True
+                held = seen[codes[np.arange(size[j].sum()) + np.repeat(ends[j] - size[j] - upto, size[j])]]
+                seen[own] = False
+                shared = np.add.reduceat(held, upto, dtype=np.int64)
+                for k in j[shared >= similarity * (size[i] + size[j] - shared)].tolist():
+                    if root[k] != root[i]:
+                        root[root == root[k]] = root[i]
+                        sure.append((i, k))
+        i, j = np.array(sure, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+
+    keys = F.array(*(F.struct(F.lit(k).alias("table"), x.alias("key")) for k, x in enumerate(_keys(masks))))
+    more = ("table", "component", "size")
+    keyed = rows.select("id", "f0", "f1", "component", "size", F.explode(keys).alias("k")).select("id", "f0", "f1", "component", "size", "k.table", "k.key")
+    tiles = _tiles(keyed, more, "size")
+    live = written(_by_tile(tiles, wanted, "tile long, id long, f0 long, f1 long, table int, component long, size int"))
+    return _by_tile(live.join(sets, "id"), links, "a long, b long")
+
+
+def _keys(masks: list[tuple[int, int]]) -> list[Column]:
+    """The bucket of a 128-bit fingerprint in each table."""
+    return [F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(_long(m)), F.col("f1").bitwiseAND(_long(n))) for k, (m, n) in enumerate(masks)]
 
 
 def radius_links(reps: DataFrame, radius: int) -> DataFrame:
@@ -208,6 +308,18 @@ def tables_for(bits: int, similarity: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - agree**bits))
 
 
+def reach(bits: int, similarity: float, miss: float) -> tuple[int, list[tuple[int, int]]]:
+    """The radius of 128-bit fingerprints for a similarity, and each table's sampled bits."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.ceil(128 * angle + 3 * math.sqrt(128 * angle * (1 - angle)))
+    draw = np.random.default_rng(64)
+    masks = []
+    for _ in range(tables_for(bits, similarity, miss)):
+        mask = sum(1 << int(b) for b in draw.choice(128, bits, replace=False))
+        masks.append((mask & (1 << 64) - 1, mask >> 64))
+    return radius, masks
+
+
 def similar_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 13, miss: float = 0.003, near: int = 4
 ) -> DataFrame:
@@ -217,27 +329,29 @@ def similar_classes(
     candidates: buckets of `bits` sampled bits (as many as leave a pair at the
     threshold unmet with chance `miss`; larger corpora want more bits), then bit-sliced distances up to three
     standard deviations over what the threshold gives. Every candidate link is
-    verified on the whole shingle sets. A tile offers a spanning forest of
-    closest links and each text's `near` closest ones, so links grow with the
-    texts and not with the square of a group; a class is lost only if all of
-    them fail while another pair would pass. Exact copies collapse first.
+    verified on the whole shingle sets. A tile first offers a spanning forest of
+    closest links and each text's `near` closest ones; then every other pair
+    within the radius whose ends are not of one class yet is checked inside
+    the tiles (`_rest_links`), so no pair that meets goes unchecked and only
+    sure links come out. Exact copies collapse first.
     Null ids get a null component; other cases are as in `fingerprints`.
     """
     words = 2
     marks = written(fingerprints(docs, id_col, text_col, shingle, words))
     reps = written(marks.where("id is not null").groupBy("f0", "f1", "text_hash").agg(F.min("id").alias("id")))
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.ceil(128 * angle + 3 * math.sqrt(128 * angle * (1 - angle)))
-    draw = np.random.default_rng(64)
-    masks = []
-    for _ in range(tables_for(bits, similarity, miss)):
-        mask = sum(1 << int(b) for b in draw.choice(128, bits, replace=False))
-        masks.append((mask & (1 << 64) - 1, mask >> 64))
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("f0").bitwiseAND(_long(m)), F.col("f1").bitwiseAND(_long(n))) for k, (m, n) in enumerate(masks)))
-    keyed = reps.select("id", "f0", "f1", F.explode(keys).alias("key"))
+    radius, masks = reach(bits, similarity, miss)
+    keyed = reps.select("id", "f0", "f1", F.explode(F.array(*_keys(masks))).alias("key"))
     links = written(_tile_links(_tiles(keyed), words, radius, near).select("a", "b").distinct())
-    sure = _verified(links, docs, id_col, text_col, shingle, similarity)
+    sets = _shingle_sets(links, docs, id_col, text_col, shingle)
+    sure = written(_verified(links.where("a <> b"), sets, similarity))
     classes = connected_components(sure, "a", "b")
+    more = links.where("a = b").select(F.col("a").alias("id")).join(sets.select("id", F.size("shingles").alias("size")), "id")
+    rows = written(
+        reps.join(more, "id").join(classes, F.col("id") == F.col("node"), "left").select("id", "f0", "f1", F.coalesce("component", "id").alias("component"), "size")
+    )
+    rest = written(_rest_links(rows, sets, masks, radius, similarity))
+    if not rest.isEmpty():
+        classes = connected_components(sure.union(rest), "a", "b")
     named = reps.join(classes, F.col("id") == F.col("node"), "left").select(
         F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("text_hash").alias("g2"), F.coalesce("component", "id").alias("component_id")
     )
@@ -247,8 +361,8 @@ def similar_classes(
     )
 
 
-def _verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose whole texts' shingle sets are similar enough."""
+def _shingle_sets(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, shingles): the whole texts' sets of shingle hashes, for the ends of the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +376,11 @@ def _verified(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
 
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi")
-    sets = written(texts.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]))
+    return written(texts.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]))
+
+
+def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose shingle sets are similar enough."""
     both = links.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
     )
