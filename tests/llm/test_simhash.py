@@ -137,3 +137,15 @@ def test_crowd_under_the_threshold_hides_no_similar_pair(spark, monkeypatch, til
     assert sum(want[d] != every[d] for d in want) <= 2
     got = {r.doc_id: r.component_id for r in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got == want
+
+
+def test_similar_classes_count_repeated_shingles_once(spark):
+    draw = random.Random(17)
+    rows, want = [], {}
+    for g in range(30):
+        words = " ".join(f"w{draw.randrange(10**6)}" for _ in range(100))
+        line = " ".join(f"w{draw.randrange(10**6)}" for _ in range(10))
+        rows += [(2 * g, "\n".join([words] + [line] * 10)), (2 * g + 1, f"{words}\n{line}")]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g}
+    got = {r.doc_id: r.component_id for r in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

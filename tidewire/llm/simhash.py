@@ -79,11 +79,11 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, repeats: bool = True) -> DataFrame:
     """(id, f0.., text_hash): `words` 64-bit SimHashes of every whole text, and XXH64 of its word sequence.
 
     A-Z count as a-z. A shingle is `shingle` words joined by spaces, repeats
-    included; a text with fewer words is one shingle; a null, empty or blank
+    included unless `repeats` is false; a text with fewer words is one shingle; a null, empty or blank
     text has fingerprint 0. A bit is set if over half of the hashes have it.
     Rows with a null id stay. One row comes out for each row that goes in.
     """
@@ -97,6 +97,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 whole = []
                 for i, joined in enumerate(split.joined()):
                     hashes = shingle_hashes(joined, split.lengths[split.offsets[i] : split.offsets[i + 1]], shingle)
+                    if not repeats:
+                        hashes = np.unique(hashes)
                     for k, got in enumerate(found):
                         got.append(majority(remixed(hashes, k)))
                     whole.append(xxhash.xxh64_intdigest(joined, 42))
@@ -325,7 +327,7 @@ def similar_classes(
 ) -> DataFrame:
     """(id_col, text_hash, component_id): classes of texts whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    SimHash alone can't tell 0.8 from 0.7, so 128-bit fingerprints only choose
+    SimHash alone can't tell 0.8 from 0.7, so 128-bit fingerprints of the shingle sets only choose
     candidates: buckets of `bits` sampled bits (as many as leave a pair at the
     threshold unmet with chance `miss`; larger corpora want more bits), then bit-sliced distances up to three
     standard deviations over what the threshold gives. Every candidate link is
@@ -337,7 +339,7 @@ def similar_classes(
     Null ids get a null component; other cases are as in `fingerprints`.
     """
     words = 2
-    marks = written(fingerprints(docs, id_col, text_col, shingle, words))
+    marks = written(fingerprints(docs, id_col, text_col, shingle, words, repeats=False))
     reps = written(marks.where("id is not null").groupBy("f0", "f1", "text_hash").agg(F.min("id").alias("id")))
     radius, masks = reach(bits, similarity, miss)
     keyed = reps.select("id", "f0", "f1", F.explode(F.array(*_keys(masks))).alias("key"))
