@@ -65,13 +65,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every whole text and what they decode to, as digests, with the place in the mixed order where docs come from files."""
+    """Ids of every whole text, what they decode to and their spans, as digests, with the place in the mixed order where docs come from files."""
     places = {"mix_part": F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"), "mix_row": F.col("_metadata.row_index")}
     try:
         docs = docs.select("doc_id", "text", *(c.alias(n) for n, c in places.items()))
     except AnalysisException:  # docs don't come from files
         docs = docs.select("doc_id", "text", F.lit(None).cast("int").alias("mix_part"), F.lit(None).cast("long").alias("mix_row"))
-    return digests(docs, public_tokenizers.path(PIECES), keep=("mix_part", "mix_row"))
+    return digests(docs, public_tokenizers.path(PIECES), keep=("mix_part", "mix_row"), spans=True)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
@@ -85,3 +86,35 @@ def test_query(spark):
     full = P.encoded(spark.createDataFrame(rows, "doc_id long, text string, ids string"), PATH)
     assert {len(r.begins) * 4 == len(r.ids) for r in full.collect()} == {True}
     assert P.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_spans_of_byte_pieces_agree_with_the_alignment():
+    way = P.Pieces(PATH)
+    for text in ["𓀀", "a 𓀀𓁀 ▁b", "▁ 𓀀 "]:
+        ids = way.ids(pa.array([text]))[0]
+        fast = way.spans(text, ids)
+        assert fast[1][-1] == len(text.encode())
+        way.plain = False
+        slow = way.spans(text, ids)
+        way.plain = True
+        assert [x.tolist() for x in fast] == [x.tolist() for x in slow]
+
+
+def test_registered_query_has_the_spans_of_every_text(spark, tmp_path):
+    from tidewire.llm.queries import op6_pieces
+
+    rows = [(k, t) for k, t in enumerate(ODD)] + [(None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    way = P.Pieces(PATH)
+    want = []
+    for d, t in rows:
+        both = way.spans(t or "", way.ids(pa.array([t], pa.string()))[0])
+        want.append((d, hashlib.sha256(np.concatenate(both).astype("<u4").tobytes()).hexdigest()))
+    got = [(r.doc_id, r.spans_sha256) for r in op6_pieces(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_pieces_of_another_text_are_refused():
+    way = P.Pieces(PATH)
+    with pytest.raises(ValueError):
+        way.spans("one tow", way.ids(pa.array(["one two"]))[0])

@@ -11,6 +11,7 @@ through the alignment. Models or texts that don't allow this are encoded whole.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -86,7 +87,7 @@ class Pieces:
         self.apart = self.plain and said.trainer_spec.model_type == 2 and said.trainer_spec.byte_fallback and not inner and not user and not suffix and META in names
         #: Normalised bytes of each piece; a byte piece stands for one, a control piece for none.
         self.sizes = np.array([0 if k == 3 else 1 if k == 6 else len(n.encode()) for n, k in zip(names, kinds)], np.int64)
-        self.blanks = np.array([n.count(META) if k == 1 else 0 for n, k in zip(names, kinds)], np.int64)
+        self.spelled = [b"" if k == 3 else bytes([int(n[1:-1], 16)]) if k == 6 else n.encode() for n, k in zip(names, kinds)]
         self.known: dict[str, list[int]] = {}
 
     def normalise(self, text: str) -> Normalised:
@@ -115,7 +116,7 @@ class Pieces:
                 blank = new[-1:] == b" "
                 new = new.replace(b" ", meta)
                 out.append(new)
-                source += [begin] * len(new)
+                source += range(begin, stop) if new == raw[begin:stop] else [begin] * len(new)
             at = stop
         joined = b"".join(out)
         if strip:
@@ -124,6 +125,14 @@ class Pieces:
                 at = source[len(joined)]
         return Normalised(joined, np.array([*source[: len(joined)], at], np.int64))
 
+    def _plain_form(self, text: str) -> Normalised:
+        """`normalise` for a model without a map that keeps all blanks, a text at a time: only blanks change."""
+        raw, meta = text.encode(), META.encode()
+        if not raw:
+            return Normalised(raw, np.zeros(1, np.int64))
+        source = np.repeat(np.arange(len(raw)), np.where(np.frombuffer(raw, np.uint8) == 32, len(meta), 1))
+        return Normalised(meta + raw.replace(b" ", meta), np.concatenate([np.zeros(len(meta), np.int64), source, [len(raw)]]))
+
     def _chars(self, raw: bytes) -> list[tuple[bytes, int, int]]:
         """(replacement, begin, end) of each longest known prefix, or else of each character."""
         out, at = [], 0
@@ -182,20 +191,15 @@ class Pieces:
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end bytes in the original text of each piece; begin and end pieces get the text's ends."""
-        if self.plain and META not in text:
-            # One blank makes a meta blank of three bytes, and the dummy prefix comes from nothing.
-            sizes = self.sizes[ids] - 2 * self.blanks[ids]
-            real = np.flatnonzero(self.sizes[ids] > 0)
-            if len(real):
-                sizes[real[0]] -= 1
-            ends = np.cumsum(sizes)
-            total = len(text.encode())
-            if len(ends) and ends[-1] != total:
-                raise ValueError(f"pieces cover {ends[-1]} of {total} bytes")
-            return ends - sizes, ends
-        source = self.normalise(text).source
+        form = self._plain_form(text) if self.plain else self.normalise(text)
+        if self.apart and b"".join(map(self.spelled.__getitem__, ids.tolist())) != form.text:
+            raise ValueError("pieces do not spell the normal form")
+        source = form.source
         ends = np.cumsum(self.sizes[ids])
-        return source[np.minimum(ends - self.sizes[ids], len(source) - 1)], source[np.minimum(ends, len(source) - 1)]
+        begins, ends = source[np.minimum(ends - self.sizes[ids], len(source) - 1)], source[np.minimum(ends, len(source) - 1)]
+        if self.apart and not (begins[0] == 0 and ends[-1] == len(text.encode()) and (begins[1:] == ends[:-1]).all()):
+            raise ValueError("spans do not cover the text")
+        return begins, ends
 
 
 @lru_cache(maxsize=2)
@@ -204,16 +208,17 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, ids, decoded), with `spans` (begins, ends), and the columns `keep` of docs, for every row.
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, keep: tuple[str, ...] = (), hashed: bool = False) -> DataFrame:
+    """(id_col, ids, decoded), with `spans` (begins, ends) or, `hashed`, spans_sha256, and the columns `keep` of docs, for every row.
 
     ids: begin id, the library's ids of the whole text without sampling, end
     id, as little-endian unsigned 32-bit integers in one binary value. decoded:
     what the library makes of these ids. begins and ends: each piece's bytes in
-    the original UTF-8 text. A null text counts as empty. Null and repeated
+    the original UTF-8 text; spans_sha256: SHA-256 of all begins and then all
+    ends as little-endian 32-bit integers. A null text counts as empty. Null and repeated
     ids keep their rows; other columns play no part.
     """
-    more = [("begins", "array<int>"), ("ends", "array<int>")] if spans else []
+    more = [("spans_sha256", "string")] if spans and hashed else [("begins", "array<int>"), ("ends", "array<int>")] if spans else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         way = pieces(path)
@@ -227,7 +232,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 ]
                 if spans:
                     both = [way.spans(t or "", x) for t, x in zip(part.column("text").to_pylist(), ids)]
-                    columns += [pa.array([b[k] for b in both], pa.list_(pa.int32())) for k in (0, 1)]
+                    if hashed:
+                        columns.append(pa.array([hashlib.sha256(np.concatenate(b).astype("<u4").tobytes()).hexdigest() for b in both], pa.string()))
+                    else:
+                        columns += [pa.array([b[k] for b in both], pa.list_(pa.int32())) for k in (0, 1)]
                 columns += [part.column(f"keep{k}") for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -239,12 +247,13 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return out.withColumnsRenamed({"id": id_col} | {f"keep{k}": c for k, c in enumerate(keep)})
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256) of `encoded`, and the columns `keep` of docs."""
-    return encoded(docs, path, id_col, text_col, False, keep).select(
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), spans: bool = False) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256) of `encoded`, with `spans` spans_sha256, and the columns `keep` of docs."""
+    return encoded(docs, path, id_col, text_col, spans, keep, hashed=True).select(
         id_col,
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["spans_sha256"] if spans else []),
         *keep,
     )

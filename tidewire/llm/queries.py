@@ -58,7 +58,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import digests
 
-    return digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), spans=True)
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
