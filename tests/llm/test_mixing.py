@@ -48,3 +48,26 @@ def test_empty_table(spark):
 def test_bad_weights():
     with pytest.raises(ValueError):
         M.whole_weights({"a": 0.0})
+
+
+@pytest.mark.parametrize("small", [50_000, 100])
+def test_given_weights_hold_over_long_tables(spark, monkeypatch, small):
+    monkeypatch.setattr(M, "SMALL_PLAN", small)
+    monkeypatch.setattr(M, "RUN", 1000)
+    weights = {"s0": 0.5} | {f"s{k}": 0.5 / 9 for k in range(1, 10)}
+    rows = [(k, "s0") for k in range(2700)] + [(3000 + k, f"s{1 + k % 9}") for k in range(2700)]
+    got = M.mixed(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=1).collect()
+    assert sorted(r.doc_id for r in got) == sorted(d for d, _ in rows)
+    total, done = sum(weights.values()), Counter()
+    for at, r in enumerate(sorted(got, key=lambda r: r.mix_slot)):
+        assert r.mix_slot == at and r.mix_release <= at < r.mix_deadline
+        done[r.source] += 1
+        for s, w in weights.items():
+            assert abs(done[s] - (at + 1) * w / total) < 1 + 1e-9
+
+
+def test_more_sources_than_a_period_has_slots():
+    weights = {f"s{k}": 1.0 + k % 3 for k in range(5000)} | {None: 0.25}
+    out = list(M.exact_schedule(weights, dict.fromkeys(weights, 3)))
+    assert Counter(s for s, *_ in out) == Counter(dict.fromkeys(weights, 3))
+    assert all(release <= slot < deadline for _, _, release, deadline, slot in out)

@@ -2,21 +2,32 @@
 
 A source's documents form blocks. With weight w, its block k may go out from
 slot floor(k / w) and must by slot ceil((k + 1) / w); of the blocks that may,
-the one with the earliest deadline takes the next slot. Weights are whole
-numbers of slots of a period, so a schedule of one period, which depends on the
-weights only, gives every block's slot by arithmetic: nothing loops over blocks
-and each source stays within one block of its share at every slot.
+the one with the earliest deadline takes the next slot. Times are whole-number
+arithmetic on the weights as given, so each source stays within one block of its
+share at every slot of tables of any size. The driver goes once over the blocks
+(not the documents) and writes their slots in runs. A caller may ask for a
+period instead: weights become whole numbers of its slots, and its schedule
+repeats.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period: the grain of weights, and the largest table that is broadcast.
+from .shared import shared_folder
+
+#: Slots of a period where one is asked for.
 PERIOD = 4096
+#: Blocks of a plan that are made and written at a time, and most that are broadcast.
+RUN, SMALL_PLAN = 100_000, 50_000
+PLAN = "_mix_s string, _mix_turn long, mix_release long, mix_deadline long, mix_slot long"
 #: Documents of a block, and about how many a ranking bucket holds.
 BLOCK, BUCKET = 64, 200_000
 
@@ -63,13 +74,51 @@ def schedule(slots: dict[str | None, int]) -> list[tuple[str | None, int, int]]:
     return out
 
 
+def exact_schedule(weights: dict[str | None, float], blocks: dict[str | None, int]) -> Iterator[tuple[str | None, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of every block in the order of slots, by earliest deadline among released blocks."""
+    if weights and not (min(weights.values()) > 0 and max(weights.values()) < math.inf):
+        raise ValueError("weights must be positive")
+    names = sorted(blocks, key=lambda s: (s is None, s or ""))
+    exact = [Fraction(weights[s]) for s in names]
+    common = math.lcm(*(w.denominator for w in exact))
+    parts = [int(w * common) for w in exact]
+    total = sum(parts)
+    coming = [(0, n, 0) for n, s in enumerate(names) if blocks[s]]
+    waiting: list[tuple[int, int, int]] = []
+    slot = 0
+    while coming or waiting:
+        if not waiting:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            _, n, k = heapq.heappop(coming)
+            heapq.heappush(waiting, (-(-(k + 1) * total // parts[n]), n, k))
+        deadline, n, k = heapq.heappop(waiting)
+        if deadline <= slot:
+            raise AssertionError("a deadline was missed")
+        yield names[n], k, k * total // parts[n], deadline, slot
+        if k + 1 < blocks[names[n]]:
+            heapq.heappush(coming, ((k + 1) * total // parts[n], n, k + 1))
+        slot += 1
+
+
+def _plan(spark: SparkSession, weights: dict[str | None, float], blocks: dict[str | None, int]) -> DataFrame:
+    """`exact_schedule` as a table."""
+    rows, small = exact_schedule(weights, blocks), sum(blocks.values()) <= SMALL_PLAN
+    if small:
+        return F.broadcast(spark.createDataFrame(list(rows), PLAN))
+    path = shared_folder(spark)
+    while run := list(islice(rows, RUN)):
+        spark.createDataFrame(run, PLAN).write.mode("append").parquet(path)
+    return spark.read.schema(PLAN).parquet(path)
+
+
 def tempered_weights(docs: DataFrame, source_col: str = "source", power: float = 0.5) -> dict[str | None, float]:
     """Weights in proportion to a power of each source's documents; one row a source reaches the driver, PERIOD at most."""
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n")).limit(PERIOD + 1).collect()
     return {r.source: float(r.n) ** power for r in counts}
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int | None = None) -> DataFrame:
     """All rows and columns of docs with mix_block, mix_release, mix_deadline, mix_slot and mix_place.
 
     Ordered by (mix_slot, mix_place), every stretch of slots holds each source
@@ -79,15 +128,15 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
     their id. A null source is a source of its own. Sources without a weight
     get the least weight given; without weights see `tempered_weights`. Null
     ids and repeated rows are mixed like any other. Columns of docs with these
-    names are replaced.
+    names are replaced. With a `period`, weights are rounded to its slots and
+    there may be no more sources than these.
     """
     spark = docs.sparkSession
-    sizes = {r.source: r.n for r in docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n")).limit(period + 1).collect()}
+    counts = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n"))
+    sizes = {r.source: r.n for r in (counts.limit(period + 1) if period else counts).collect()}
     if weights is None:
         weights = {s: float(n) ** 0.5 for s, n in sizes.items()}
     given = {s: weights.get(s, min(weights.values(), default=1.0)) for s in sizes}
-    slots = whole_weights(given, period)
-    plan = spark.createDataFrame([(s, k, at) for s, k, at in schedule(slots)], "_mix_s string, _mix_turn int, _mix_at int")
     buckets = max(1, -(-sum(sizes.values()) // BUCKET))
     # A hot source is ranked in buckets of its own, whose sizes give their offsets.
     named = docs.drop("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
@@ -100,6 +149,13 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
     ranked = dealt.withColumn("_mix_rank", F.row_number().over(within) - 1).join(before, same & (F.col("_mix_bucket") == F.col("_mix_b")))
     ranked = ranked.withColumn("_mix_rank", F.col("_mix_rank") + F.col("_mix_before")).drop("_mix_s", "_mix_b")
     ranked = ranked.withColumn("mix_block", F.floor(F.col("_mix_rank") / block))
+    columns = [*named.columns, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place"]
+    ranked = ranked.withColumn("mix_place", (F.col("_mix_rank") % block).cast("int"))
+    if period is None:
+        plan = _plan(spark, given, {s: -(-n // block) for s, n in sizes.items()})
+        return ranked.join(plan, same & (F.col("mix_block") == F.col("_mix_turn"))).select(columns)
+    slots = whole_weights(given, period)
+    plan = spark.createDataFrame([(s, k, at) for s, k, at in schedule(slots)], "_mix_s string, _mix_turn int, _mix_at int")
     share = spark.createDataFrame([(s, n) for s, n in slots.items()], "_mix_s string, _mix_share int")
     ranked = ranked.join(F.broadcast(share), same).drop("_mix_s")
     out = ranked.join(F.broadcast(plan), same & (F.pmod(F.col("mix_block"), F.col("_mix_share")) == F.col("_mix_turn")))
@@ -107,6 +163,5 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
         out.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("_mix_share")) * period + F.col("_mix_at"))
         .withColumn("mix_release", F.floor(F.col("mix_block") * period / F.col("_mix_share")))
         .withColumn("mix_deadline", F.ceil((F.col("mix_block") + 1) * period / F.col("_mix_share")))
-        .withColumn("mix_place", (F.col("_mix_rank") % block).cast("int"))
-        .select(*named.columns, "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
+        .select(columns)
     )
