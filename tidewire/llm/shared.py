@@ -7,16 +7,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs, if their ids are whole numbers (or all null); else a TypeError."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"ids in {id_col} must be whole numbers, not {kind.simpleString()}")
+    return docs
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the one that all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as
-    in local tests, a temporary folder of this machine takes its place.
+    The cluster names it in spark.checkpoint.dir. Only on one machine (a local
+    master) a temporary folder takes its place where that is unset.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-tidewire-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidewire-{uuid.uuid4().hex}"

@@ -10,6 +10,9 @@
 4. Within a tile distances are bit-sliced (bitslice.py); a tile gives only a
    spanning forest of its links, never all its pairs.
 5. Components of those links are found in tables.
+
+`similar_classes` goes the same way with 128-bit fingerprints of shingle sets;
+its tiles check each pair exactly and give a spanning forest of sure links.
 """
 
 from __future__ import annotations
@@ -25,9 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitslice import Pairs, close_pairs, close_runs, forest
+from .bitslice import close_pairs, close_runs, forest
 from .components import connected_components
-from .shared import written
+from .shared import whole_ids, written
 from .words import byte_slices, split_words
 
 #: Most fingerprints of a chunk; a tile holds two chunks of one bucket at most.
@@ -79,8 +82,10 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, repeats: bool = True) -> DataFrame:
-    """(id, f0.., text_hash): `words` 64-bit SimHashes of every whole text, and XXH64 of its word sequence.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, repeats: bool = True, raw: bool = False) -> DataFrame:
+    """(id, f0.., text_hash, size): `words` 64-bit SimHashes of every whole text, XXH64 of its word sequence, and the shingles counted.
+
+    With `raw`, text_key comes too, the 64-bit hash of the text as it stands (of null, if it is null).
 
     A-Z count as a-z. A shingle is `shingle` words joined by spaces, repeats
     included unless `repeats` is false; a text with fewer words is one shingle; a null, empty or blank
@@ -94,7 +99,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part in byte_slices(batch):
                 split = split_words(part.column("text"), lower=True)
                 found: list[list[int]] = [[] for _ in names]
-                whole = []
+                whole, sizes = [], []
                 for i, joined in enumerate(split.joined()):
                     hashes = shingle_hashes(joined, split.lengths[split.offsets[i] : split.offsets[i + 1]], shingle)
                     if not repeats:
@@ -102,12 +107,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     for k, got in enumerate(found):
                         got.append(majority(remixed(hashes, k)))
                     whole.append(xxhash.xxh64_intdigest(joined, 42))
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(_signed(x)) for x in (*found, whole))], ["id", *names, "text_hash"])
+                    sizes.append(len(hashes))
+                columns = [part.column("id"), *(pa.array(_signed(x)) for x in (*found, whole)), pa.array(sizes, pa.int32()), *([part.column("text_key")] if raw else [])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", *names, "text_hash", "size", *(["text_key"] if raw else [])])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, {', '.join(f'{x} long' for x in names)}, text_hash long"
-    )
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), *([F.xxhash64(text).alias("text_key")] if raw else []))
+    return texts.mapInArrow(run, f"id {kind}, {', '.join(f'{x} long' for x in names)}, text_hash long, size int{', text_key long' if raw else ''}")
 
 
 def block_choices(blocks: int, radius: int) -> list[int]:
@@ -144,17 +151,6 @@ def _tiles(keyed: DataFrame, keep: tuple[str, ...] = (), weight: str | None = No
     )
 
 
-def _near(n: int, pairs: Pairs, near: int) -> np.ndarray:
-    """The pairs of the forest, and for each row those with its `near` closest partners."""
-    kept = [forest(n, pairs)]
-    if near and len(pairs.i):
-        for side in (pairs.i, pairs.j):
-            order = np.lexsort((pairs.distance, side))
-            rank = np.arange(len(order)) - np.searchsorted(side[order], side[order])
-            kept.append(order[rank < near])
-    return np.unique(np.concatenate(kept))
-
-
 def _by_tile(tiles: DataFrame, links: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """What `links` makes of frames of whole tiles."""
 
@@ -171,8 +167,7 @@ def _by_tile(tiles: DataFrame, links: Callable[[pd.DataFrame], pd.DataFrame], sc
         if rest is not None and len(rest) > 1:
             yield links(rest)
 
-    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartition(parts, "tile").sortWithinPartitions("tile", "id").mapInPandas(run, schema)
+    return tiles.repartition("tile").sortWithinPartitions("tile", "id").mapInPandas(run, schema)
 
 
 def _groups(frame: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,23 +179,13 @@ def _groups(frame: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarr
     return rows, np.repeat(first, size), np.repeat(first + size, size)
 
 
-def _tile_links(tiles: DataFrame, words: int, radius: int, near: int) -> DataFrame:
-    """(a, b, distance): for each tile the links of a spanning forest, and each row's `near` closest ones.
-
-    With `near`, a row's link to itself says that the tile has more pairs of that row.
-    """
-    names = [f"f{k}" for k in range(words)]
+def _tile_links(tiles: DataFrame, radius: int) -> DataFrame:
+    """(a, b, distance): for each tile the links of a spanning forest of least distance."""
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, first, last = _groups(frame, names)
+        rows, first, last = _groups(frame, ["f0"])
         pairs = close_pairs(rows, first, last, radius)
-        kept = _near(len(rows), pairs, near)
-        i, j, distance = (x[kept] for x in pairs)
-        if near:
-            left = np.ones(len(pairs.i), bool)
-            left[kept] = False
-            more = np.unique(np.concatenate([pairs.i[left], pairs.j[left]]))
-            i, j, distance = np.concatenate([i, more]), np.concatenate([j, more]), np.concatenate([distance, np.zeros(len(more), np.int64)])
+        i, j, distance = (x[forest(len(rows), pairs)] for x in pairs)
         ids = frame["id"].to_numpy()
         return pd.DataFrame({"a": ids[i], "b": ids[j], "distance": distance.astype(np.int32)})
 
@@ -208,13 +193,13 @@ def _tile_links(tiles: DataFrame, words: int, radius: int, near: int) -> DataFra
 
 
 def _open_pairs(frame: pd.DataFrame, masks: list[tuple[int, int]], radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) in the order of i: pairs within the radius, of different classes, whose sizes allow the similarity, in the first table where they meet."""
+    """(i, j) in the order of i: pairs within the radius whose sizes allow the similarity, in the first table where they meet."""
     rows, first, last = _groups(frame, ["f0", "f1"])
-    table, classes, size = (frame[x].to_numpy() for x in ("table", "component", "size"))
+    table, size = (frame[x].to_numpy() for x in ("table", "size"))
     wide = np.array(masks, np.uint64)
     for pairs in close_runs(rows, first, last, radius, RUN_BLOCKS):
         i, j = pairs.i, pairs.j
-        fit = (classes[i] != classes[j]) & (table[i] == table[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+        fit = (table[i] == table[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
         i, j = i[fit], j[fit]
         for k, mask in enumerate(wide):
             if not len(i) or k >= table[i].max():
@@ -224,12 +209,14 @@ def _open_pairs(frame: pd.DataFrame, masks: list[tuple[int, int]], radius: int,
         yield i, j
 
 
-def _rest_links(rows: DataFrame, sets: DataFrame, masks: list[tuple[int, int]], radius: int, similarity: float) -> DataFrame:
-    """(a, b): links that connect whatever rows (id, f0, f1, component, size) within the radius are similar and not of one class yet.
+def _similar_links(reps: DataFrame, texts: DataFrame, masks: list[tuple[int, int]], radius: int, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): links that connect whatever rows (node, id, f0, f1, text_hash, size) meet in a table within the radius and are similar.
 
-    Each pair is checked exactly, in its first table, unless other pairs of the
-    tile have joined its classes. Shingle sets go only to the tiles where a row
-    has a pair to check.
+    A first pass over the tiles finds, by bit-sliced distances alone, the rows
+    that have a pair to check; only their shingle sets (of texts: id, text) go
+    to these tiles, once a tile. There each pair is checked exactly, in its
+    first table, unless links of the tile join its ends already: a tile of n
+    rows sends on n - 1 sure links at most and no candidate leaves it.
     """
 
     def wanted(frame: pd.DataFrame) -> pd.DataFrame:
@@ -243,10 +230,11 @@ def _rest_links(rows: DataFrame, sets: DataFrame, masks: list[tuple[int, int]],
         ends = np.cumsum(size)
         codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
         seen = np.zeros(len(codes), bool)
-        root = np.unique(frame["component"].to_numpy(), return_inverse=True)[1]
+        root = np.arange(len(frame))
         sure = []
         for left, right in _open_pairs(frame, masks, radius, similarity):
-            for i, others in zip(left[np.unique(left, return_index=True)[1]].tolist(), np.split(right, np.unique(left, return_index=True)[1][1:])):
+            starts = np.unique(left, return_index=True)[1]
+            for i, others in zip(left[starts].tolist(), np.split(right, starts[1:])):
                 j = others[root[others] != root[i]]
                 if not len(j):
                     continue
@@ -264,11 +252,10 @@ def _rest_links(rows: DataFrame, sets: DataFrame, masks: list[tuple[int, int]],
         return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
     keys = F.array(*(F.struct(F.lit(k).alias("table"), x.alias("key")) for k, x in enumerate(_keys(masks))))
-    more = ("table", "component", "size")
-    keyed = rows.select("id", "f0", "f1", "component", "size", F.explode(keys).alias("k")).select("id", "f0", "f1", "component", "size", "k.table", "k.key")
-    tiles = _tiles(keyed, more, "size")
-    live = written(_by_tile(tiles, wanted, "tile long, id long, f0 long, f1 long, table int, component long, size int"))
-    return _by_tile(live.join(sets, "id"), links, "a long, b long")
+    keyed = reps.select(F.col("node").alias("id"), "f0", "f1", "size", F.explode(keys).alias("k")).select("id", "f0", "f1", "size", "k.table", "k.key")
+    live = written(_by_tile(_tiles(keyed, ("table", "size"), "size"), wanted, "tile long, id long, f0 long, f1 long, table int, size int"))
+    asked = reps.join(live.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "id", "text_hash")
+    return _by_tile(live.join(_shingle_sets(asked, texts, shingle), "id"), links, "a long, b long")
 
 
 def _keys(masks: list[tuple[int, int]]) -> list[Column]:
@@ -281,19 +268,19 @@ def radius_links(reps: DataFrame, radius: int) -> DataFrame:
     masks = block_choices(radius + SPARE_BLOCKS, radius)
     keys = F.array(*(F.struct(F.lit(k).alias("c"), F.col("f0").bitwiseAND(_long(m)).alias("v")) for k, m in enumerate(masks)))
     keyed = reps.select("id", "f0", F.explode(keys).alias("k")).select("id", "f0", F.xxhash64("k.c", "k.v").alias("key"))
-    return _tile_links(_tiles(keyed), 1, radius, 0)
+    return _tile_links(_tiles(keyed), radius)
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of docs.
 
     Fingerprints link at `radius` differing bits or fewer (all of them are
-    found); component_id is the smallest id reachable, a row's own included.
+    found); component_id is the smallest id reachable, a row's own included. Ids must be whole numbers.
     Rows with a null id have a fingerprint and a null component, and link
     nothing. Repeated rows and repeated ids each keep their own row. Texts are
     read as `fingerprints` says. Other columns of docs play no part.
     """
-    marks = written(fingerprints(docs, id_col, text_col, shingle).select("id", "f0"))
+    marks = written(fingerprints(whole_ids(docs, id_col), id_col, text_col, shingle).select(F.col("id").cast("long").alias("id"), "f0"))
     reps = written(marks.where("id is not null").groupBy("f0").agg(F.min("id").alias("id")))
     classes = connected_components(radius_links(reps, radius), "a", "b")
     named = reps.join(classes, F.col("id") == F.col("node"), "left").select(F.col("f0").alias("g0"), F.coalesce("component", "id").alias("component_id"))
@@ -322,69 +309,62 @@ def reach(bits: int, similarity: float, miss: float) -> tuple[int, list[tuple[in
     return radius, masks
 
 
+def bits_for(rows: int) -> int:
+    """Bits of a bucket: so many that rows that have nothing in common leave about TILE in each, and 13 at least."""
+    return max(13, math.ceil(math.log2(max(1, rows) / TILE)))
+
+
 def similar_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int = 13, miss: float = 0.003, near: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bits: int | None = None, miss: float = 0.003
 ) -> DataFrame:
-    """(id_col, text_hash, component_id): classes of texts whose shingle sets have a Jaccard similarity of `similarity` or more.
-
-    SimHash alone can't tell 0.8 from 0.7, so 128-bit fingerprints of the shingle sets only choose
-    candidates: buckets of `bits` sampled bits (as many as leave a pair at the
-    threshold unmet with chance `miss`; larger corpora want more bits), then bit-sliced distances up to three
-    standard deviations over what the threshold gives. Every candidate link is
-    verified on the whole shingle sets. A tile first offers a spanning forest of
-    closest links and each text's `near` closest ones; then every other pair
-    within the radius whose ends are not of one class yet is checked inside
-    the tiles (`_rest_links`), so no pair that meets goes unchecked and only
-    sure links come out. Exact copies collapse first.
-    Null ids get a null component; other cases are as in `fingerprints`.
+    """(id_col, text_key, component_id, first): classes of texts whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    SimHash alone can't tell 0.8 from 0.7, so 128-bit fingerprints of the
+    shingle sets only choose candidates: buckets of `bits` sampled bits (see
+    `bits_for`; as many buckets as leave a pair at the threshold unmet with
+    chance `miss`), then bit-sliced distances up to three standard deviations
+    over what the threshold gives. Every pair that meets is checked on the
+    whole shingle sets inside its tile, unless its ends are joined already.
+    Texts of the same words collapse first.
+
+    One row comes out for each row that goes in: text_key is Spark's xxhash64
+    of the text as it stands, component_id the smallest id of the class, and
+    `first` is true on the row that stands for it, the one with the smallest
+    id and text_key (on each of its repeats). Texts that share an id have
+    their own classes. Ids must be whole numbers. A null id belongs to no
+    class: component_id and first are null. Other cases are as in `fingerprints`.
     """
-    words = 2
-    marks = written(fingerprints(docs, id_col, text_col, shingle, words, repeats=False))
-    reps = written(marks.where("id is not null").groupBy("f0", "f1", "text_hash").agg(F.min("id").alias("id")))
-    radius, masks = reach(bits, similarity, miss)
-    keyed = reps.select("id", "f0", "f1", F.explode(F.array(*_keys(masks))).alias("key"))
-    links = written(_tile_links(_tiles(keyed), words, radius, near).select("a", "b").distinct())
-    sets = _shingle_sets(links, docs, id_col, text_col, shingle)
-    sure = written(_verified(links.where("a <> b"), sets, similarity))
-    classes = connected_components(sure, "a", "b")
-    more = links.where("a = b").select(F.col("a").alias("id")).join(sets.select("id", F.size("shingles").alias("size")), "id")
-    rows = written(
-        reps.join(more, "id").join(classes, F.col("id") == F.col("node"), "left").select("id", "f0", "f1", F.coalesce("component", "id").alias("component"), "size")
-    )
-    rest = written(_rest_links(rows, sets, masks, radius, similarity))
-    if not rest.isEmpty():
-        classes = connected_components(sure.union(rest), "a", "b")
-    named = reps.join(classes, F.col("id") == F.col("node"), "left").select(
-        F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("text_hash").alias("g2"), F.coalesce("component", "id").alias("component_id")
+    texts = whole_ids(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    marks = written(fingerprints(texts, "id", "text", shingle, 2, repeats=False, raw=True))
+    own = F.struct("id", "text_key")
+    reps = marks.where("id is not null").groupBy("f0", "f1", "text_hash").agg(F.min(own).alias("low"), F.min("size").alias("size"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("node"), F.col("low.id").alias("id"), "f0", "f1", "text_hash", "size", "low"))
+    radius, masks = reach(bits or bits_for(reps.count()), similarity, miss)
+    classes = connected_components(_similar_links(reps, texts, masks, radius, similarity, shingle), "a", "b")
+    lows = classes.join(reps.select("node", "low"), "node")
+    lows = lows.join(lows.groupBy("component").agg(F.min("low").alias("least")), "component").select("node", "least")
+    named = reps.join(lows, "node", "left").select(
+        F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("text_hash").alias("g2"), F.coalesce("least", "low").alias("least")
     )
     same = (F.col("f0") == F.col("g0")) & (F.col("f1") == F.col("g1")) & (F.col("text_hash") == F.col("g2"))
+    known = F.col("id").isNotNull()
     return marks.join(named, same, "left").select(
-        F.col("id").alias(id_col), "text_hash", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
+        F.col("id").alias(id_col), "text_key", F.when(known, F.col("least.id")).alias("component_id"), F.when(known, own == F.col("least")).alias("first")
     )
 
 
-def _shingle_sets(links: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, shingles): the whole texts' sets of shingle hashes, for the ends of the links."""
+def _shingle_sets(asked: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles): the whole texts' sets of shingle hashes for `asked` (node, id, text_hash), under their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch):
                 split = split_words(part.column("text"), lower=True)
-                sets = [
-                    np.unique(shingle_hashes(x, split.lengths[split.offsets[i] : split.offsets[i + 1]], shingle)).view(np.int64)
-                    for i, x in enumerate(split.joined())
-                ]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ends, "id", "left_semi")
-    return written(texts.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]))
-
-
-def _verified(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose shingle sets are similar enough."""
-    both = links.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+                whole, sets = [], []
+                for i, x in enumerate(split.joined()):
+                    whole.append(xxhash.xxh64_intdigest(x, 42))
+                    sets.append(np.unique(shingle_hashes(x, split.lengths[split.offsets[i] : split.offsets[i + 1]], shingle)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(_signed(whole)), pa.array(sets, pa.list_(pa.int64()))], ["id", "text_hash", "shingles"])
+
+    found = texts.join(asked.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id long, text_hash long, shingles array<long>")
+    return written(found.join(asked, ["id", "text_hash"]).select(F.col("node").alias("id"), "shingles").dropDuplicates(["id"]))
