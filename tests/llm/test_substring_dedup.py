@@ -59,5 +59,18 @@ def test_matches_brute_force(spark, monkeypatch, length, batch):
     assert texts[5] is None and texts[7] == " \n\t "
 
 
+def test_texts_under_one_id_lose_only_their_own_repeats(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, f"{c} {b}"), (3, c), (3, c), (4, f"x {a} y"), (4, f"{b} z")]
+    got = D.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = [(1, a), (2, ""), (2, b), (3, c), (3, c), (3, c), (4, "x y"), (4, "z")]
+    assert sorted((r.doc_id, r.kept_words) for r in got) == sorted(left)
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        D.without_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_empty_table(spark):
     assert D.without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -14,14 +14,15 @@ both. Hence:
 
 A batch settles by itself what repeats within it and sends one row per hash on:
 a passage that a third of all documents share costs one row a batch in the
-shuffle, not one a document. Settled rows carry a hash of their own place, so
-they spread evenly. Copies of whole documents are found by one hash each and
-take no part in 3.
+shuffle, not one a document. Settled anchors carry a hash of their own place,
+so they spread evenly; settled windows travel as one list a document. Exact
+copies of a document with a smaller id lose everything they have, and their
+windows are its own: they are found by a 128-bit digest before step 1 and take
+no part in it.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import counted, whole_ids
 from .words import Words, byte_slices, split_words
 
 #: Perfect difference sets by period: every residue is a difference of two members.
@@ -39,6 +41,8 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Bytes of text that meet in a batch to settle repeats.
 BATCH_BYTES = 8 << 20
+#: Places are whole numbers of 32 bits, under the 31 bits that tell rows of one id apart.
+PLACE = 32
 
 
 def period_for(length: int) -> int:
@@ -105,7 +109,7 @@ class Cover:
         self.member = np.isin(np.arange(self.period), COVERS[self.period])
 
     def anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, id, at, settled): anchors by place, and whole texts as place -1."""
+        """(key, id, at, settled): anchors by place."""
         for batch in batches:
             for part in byte_slices(batch, limit=BATCH_BYTES):
                 ids = part.column("id").to_numpy(zero_copy_only=False)
@@ -122,17 +126,10 @@ class Cover:
                 # Of what repeats in the batch, one row for each hash goes on under it, without a place.
                 _, one = np.unique(keys[settled], return_index=True)
                 known = np.flatnonzero(settled)
-                texts = [xxhash.xxh64_intdigest(x, 3) for x, n in zip(split.joined(), long) if n]
-                whole = np.array(texts, np.uint64)
-                whose = ids[long]
-                least, _ = _least(whole[:, None], whose)
-                copy = least < whose
                 columns = (
                     (keys[~settled], who[~settled], where[~settled], False),
                     (_place(who[known], where[known]), who[known], where[known], True),
-                    (keys[known[one]], low[known[one]], np.full(len(one), -2), True),
-                    (whole[~copy], whose[~copy], np.full((~copy).sum(), -1), False),
-                    (_place(whose[copy], np.full(copy.sum(), -1)), whose[copy], np.full(copy.sum(), -1), True),
+                    (keys[known[one]], low[known[one]], np.full(len(one), -1), True),
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -145,61 +142,74 @@ class Cover:
                 )
 
     def windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, more, id, at, settled): the windows around marked places, settled if a smaller document of the batch has them."""
+        """(key, more, id, spot, settled): the windows around marked places, and in one list a row those that a smaller document of the batch has.
+
+        A spot is a window's place under its row's number.
+        """
         for batch in batches:
             for part in byte_slices(batch, limit=BATCH_BYTES):
-                ids = part.column("id").to_numpy(zero_copy_only=False)
+                ids, rows = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
                 split = split_words(part.column("text"))
                 marks = part.column("marks")
-                spots = marks.flatten().to_numpy(zero_copy_only=False) + np.repeat(split.offsets[:-1], np.diff(marks.offsets.to_numpy()))
+                # Rows of one id share their marks; a mark beyond a text is another row's.
+                spots, whose = marks.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), np.diff(marks.offsets.to_numpy()))
+                fit = spots + self.anchor <= split.counts[whose]
+                spots, whose = spots[fit] + split.offsets[whose[fit]], whose[fit]
                 owner = _owners(split)
                 n = len(owner)
                 reach = np.zeros(n + 1, np.int64)
-                np.add.at(reach, np.maximum(spots - (self.period - 1), split.offsets[owner[spots]]), 1)
+                np.add.at(reach, np.maximum(spots - (self.period - 1), split.offsets[whose]), 1)
                 np.add.at(reach, spots + 1, -1)
                 at = np.arange(n) - split.offsets[owner]
                 take = np.flatnonzero((np.cumsum(reach[:-1]) > 0) & (at + self.length <= split.counts[owner]))
                 first, second = word_hashes(split)
                 keys = np.stack([Rolling(first, BASES[0]).of(take, self.length), Rolling(second, BASES[1]).of(take, self.length)], axis=1)
-                who, where = ids[owner[take]], at[take]
-                low, _ = _least(keys, who)
-                settled = low < who
-                keys[settled, 0] = _place(who[settled], where[settled])
+                doc = owner[take]
+                spot = (rows[doc] << PLACE) + at[take]
+                settled = _least(keys, ids[doc])[0] < ids[doc]
+                lists, starts = np.unique(doc[settled], return_index=True)
+                open_ = ~settled
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[:, 0].copy().view(np.int64)), pa.array(keys[:, 1].copy().view(np.int64)), pa.array(who), pa.array(where.astype(np.int32)), pa.array(settled)],
-                    ["key", "more", "id", "at", "settled"],
+                    [
+                        pa.array(np.concatenate([keys[open_, 0], _place(ids[lists], starts)]).view(np.int64)),
+                        pa.array(np.concatenate([keys[open_, 1], np.zeros(len(lists), np.uint64)]).view(np.int64)),
+                        pa.array(np.concatenate([ids[doc[open_]], ids[lists]]), pa.int64()),
+                        pa.array(np.concatenate([spot[open_], np.full(len(lists), -1)]), pa.int64()),
+                        pa.array([None] * int(open_.sum()) + np.split(spot[settled], starts[1:])[: len(lists)], pa.list_(pa.int64())),
+                    ],
+                    ["key", "more", "id", "spot", "settled"],
                 )
 
     def removed(self, texts: DataFrame) -> DataFrame:
-        """(id, starts): the places of windows to remove; a text that copies a smaller id's whole text has starts [-1].
+        """(id, spots): the windows to remove from the texts of an id.
 
-        texts: (id long, text string) with no null id, spread by id: all three uses read that one shuffle. Rows of one id count as one document.
+        texts: (id long, text string, row long) with no null id and no copies, spread by id: all uses read that one shuffle.
         """
-        anchors = texts.mapInArrow(self.anchors, "key long, id long, at int, settled boolean")
+        anchors = texts.select("id", "text").mapInArrow(self.anchors, "key long, id long, at int, settled boolean")
         same = Window.partitionBy("key")
-        marked = (
-            anchors.withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same)).withColumn("known", F.max("settled").over(same))
-        ).where("at > -2 and if(at = -1, settled or low < id, known or low <> high)")
-        places = marked.groupBy("id").agg(F.collect_list(F.when(F.col("at") >= 0, F.col("at"))).alias("marks"), F.max(F.col("at") == -1).alias("copy"))
-        near = texts.join(places.where("not copy"), "id").select("id", "text", "marks")
-        windows = near.mapInArrow(self.windows, "key long, more long, id long, at int, settled boolean")
-        same = Window.partitionBy("key", "more")
-        gone = windows.withColumn("low", F.min("id").over(same)).where("settled or low < id").select("id", "at")
-        copies = places.where("copy").select("id", F.lit(-1).alias("at"))
-        return gone.union(copies).groupBy("id").agg(F.collect_list("at").alias("starts"))
-
-
-def _keep(starts: list[int] | None, count: int, length: int) -> np.ndarray:
-    keep = np.ones(count, bool)
-    if starts is not None:
-        if len(starts) and min(starts) < 0:
-            return ~keep
-        edge = np.zeros(count + 1, np.int64)
-        places = np.unique(np.array(starts, np.int64))
-        np.add.at(edge, places, 1)
-        np.add.at(edge, places + length, -1)
-        keep = np.cumsum(edge[:-1]) == 0
-    return keep
+        marked = anchors.withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same)).withColumn("known", F.max("settled").over(same))
+        places = marked.where("at >= 0 and (known or low <> high)").groupBy("id").agg(F.collect_list("at").alias("marks"))
+        near = texts.join(places, "id").select("id", "text", "row", "marks")
+        windows = near.mapInArrow(self.windows, "key long, more long, id long, spot long, settled array<long>")
+        low = F.min("id").over(Window.partitionBy("key", "more"))
+        gone = windows.withColumn("low", low).where("settled is not null or low < id")
+        return gone.groupBy("id").agg(F.collect_list(F.coalesce("settled", F.array("spot"))).alias("spots")).select("id", F.flatten("spots").alias("spots"))
+
+
+def _copied(docs: DataFrame, length: int) -> DataFrame:
+    """(id, copied): of each id the row numbers of its texts that a smaller id has just so, if they can hold `length` words."""
+    own = docs.where(F.length("text") >= 2 * length - 1).select("id", "row", F.unhex(F.md5("text")).alias("digest"))
+    again, _ = counted(own.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest", "low"))
+    copies = own.join(again, "digest").where("id > low").groupBy("id").agg(F.collect_set("row").alias("copied"))
+    return counted(copies)[0]
+
+
+def _keep(starts: np.ndarray, count: int, length: int) -> np.ndarray:
+    edge = np.zeros(count + 1, np.int64)
+    places = np.unique(starts)
+    np.add.at(edge, places, 1)
+    np.add.at(edge, places + length, -1)
+    return np.cumsum(edge[:-1]) == 0
 
 
 def _cut(text: bytes, keep: np.ndarray) -> bytes:
@@ -214,48 +224,54 @@ def _cut(text: bytes, keep: np.ndarray) -> bytes:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """(id_col, n_words, n_removed, kept_words, text): each row's text without the word windows that a smaller id has.
+    """(id_col, text_key, n_words, n_removed, kept_words, text): each row's text without the word windows that a smaller id has.
 
     Words are compared as they stand. Every window of `length` words whose word
     sequence also starts in a document with a smaller id loses all its words;
     windows are judged on the input. kept_words joins what is left by one
     space; `text` is the text with the removed words and the blanks after them
-    cut out. Null texts have no words and stay null; rows with a null id lose
-    nothing and take nothing from others. Rows of one id should be repeats of
-    each other: they count as one document and are all returned. Other columns
-    play no part.
+    cut out; text_key is Spark's xxhash64 of the text as it was. Null texts have no words and stay null; rows with a null id lose
+    nothing and take nothing from others. Repeated rows are all returned, and
+    different texts under one id each lose what smaller ids have, told apart by
+    31 bits of their hash. Ids must be whole numbers. Other columns play no part.
     """
     cover = Cover(length)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # An alias that renames nothing would hide from Spark that all uses of `texts` are one exchange.
     text = F.col(text_col).cast("string").alias("text") if (text_col, "string") not in docs.dtypes or text_col != "text" else F.col("text")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), text)
-    texts = docs.where("id is not null").repartition(parts, "id")
+    docs = whole_ids(docs, id_col).select(F.col(id_col).cast("long").alias("id"), text).withColumn("text_key", F.xxhash64("text"))
+    row = F.shiftrightunsigned("text_key", 33).alias("row")
+    known = docs.where("id is not null")
+    # Every use needs all three columns of the exchange, so that it stays one.
+    texts = known.repartition(parts, "id").join(_copied(known.select("id", "text", row), length), "id", "left").select("id", "text", "text_key", row, "copied")
+    texts = texts.withColumn("copy", F.coalesce(F.array_contains("copied", F.col("row")), F.lit(False))).drop("copied")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch):
                 counts, removed, kept, left = [], [], [], []
                 split = split_words(part.column("text"))
-                originals, starts = part.column("text"), part.column("starts")
+                originals, rows, copies, spots = (part.column(c) for c in ("text", "row", "copy", "spots"))
                 for i, joined in enumerate(split.joined()):
-                    n, gone = int(split.counts[i]), starts[i].as_py()
+                    n, gone = int(split.counts[i]), spots[i].values
+                    gone = np.empty(0, np.int64) if gone is None else gone.to_numpy(zero_copy_only=False)
+                    gone = gone[gone >> PLACE == rows[i].as_py()] & ((1 << PLACE) - 1)
                     counts.append(n)
-                    if gone is None:
+                    if not len(gone) and not (copies[i].as_py() and n >= length):
                         removed.append(0)
                         kept.append(joined)
                         left.append(originals[i].as_py())
                         continue
-                    keep = _keep(gone, n, length)
+                    keep = np.zeros(n, bool) if copies[i].as_py() else _keep(gone, n, length)
                     removed.append(int(n - keep.sum()))
                     words = joined.split(b" ")
                     kept.append(b" ".join([words[k] for k in np.flatnonzero(keep).tolist()]))
                     left.append(_cut(originals[i].as_py().encode(), keep).decode())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(left, pa.string())],
-                    ["id", "n_words", "n_removed", "kept_words", "text"],
+                    [part.column("id"), part.column("text_key"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(left, pa.string())],
+                    ["id", "text_key", "n_words", "n_removed", "kept_words", "text"],
                 )
 
-    marked = texts.join(cover.removed(texts), "id", "left").select("id", "text", "starts")
-    marked = marked.union(docs.where("id is null").select("id", "text", F.lit(None).cast("array<int>")))
-    return marked.mapInArrow(run, "id long, n_words long, n_removed long, kept_words string, text string").withColumnRenamed("id", id_col)
+    marked = texts.join(cover.removed(texts.where("not copy").select("id", "text", "row")), "id", "left").select("id", "text", "text_key", "row", "copy", "spots")
+    marked = marked.union(docs.where("id is null").select("id", "text", "text_key", row, F.lit(False), F.lit(None).cast("array<long>")))
+    return marked.mapInArrow(run, "id long, text_key long, n_words long, n_removed long, kept_words string, text string").withColumnRenamed("id", id_col)
