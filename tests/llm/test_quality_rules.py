@@ -68,3 +68,27 @@ def test_no_labels_and_empty_tables(spark):
     odd = spark.createDataFrame([(1, None, 0), (None, 0, 0), (3, 1, None)], "doc_id long, quality int, toxic int")
     assert R.judged(docs, odd).count() == 3
     assert R.judged(docs.limit(0), odd).collect() == []
+
+
+def test_verdicts_match_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    rules = R.learn(R.statistics(docs), labels) + [R.Rule((R.Condition("upper_share", True, 0.4), R.Condition("bang_share", True, 0.01))), R.Rule((R.Condition("n_words", False, 60.0),))]
+    texts = [r.text for r in docs.orderBy("doc_id").limit(150).collect()] + ["WOW! " * 3 + " ".join(f"LOUD{k}!" for k in range(80)), " ".join(f"w{k}" for k in range(55)), None, "", " ".join(f"w{k}" for k in range(70))]
+
+    def rejected(text):
+        n, chars, symbols, _, repeats = brute(text)
+        if n < 50 or 100 * repeats > 50 * n:
+            return True
+        words = WORD.findall(text)
+        real = [x for x in text.split("\n") if WORD.search(x)]
+        share = lambda a, b: a / b if b else 0.0
+        values = {
+            "n_words": n, "word_length": share(chars, n), "symbol_share": share(symbols, chars), "dup_line_share": share(len(real) - len(set(real)), len(real)), "repeat_share": share(repeats, n),
+            "upper_share": share(len(re.findall("[A-Z]", text)), chars), "bang_share": share(text.count("!"), chars), "distinct_share": share(len(set(words)), n),
+        }
+        return any(all((values[c.feature] > c.limit) == c.above for c in rule.conditions) for rule in rules)
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.kept for r in R.statistics(frame).select("id", R.verdict(rules).alias("kept")).collect()}
+    assert got == {k: not rejected(t) for k, t in enumerate(texts)}
+    assert {got[150], got[151], got[152], got[153]} == {False} and got[154]

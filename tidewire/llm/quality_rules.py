@@ -70,9 +70,9 @@ def _distinct(split: Words, codes: np.ndarray) -> np.ndarray:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, STATISTICS) of every row's whole text; a null text counts as empty.
+    """(id, text_key, STATISTICS) of every row's whole text; a null text counts as empty.
 
-    n_words, word_chars: words and their code points. n_symbols: characters of
+    text_key: Spark's xxhash64 of the text as it stands. n_words, word_chars: words and their code points. n_symbols: characters of
     `[#*$%&|<>]`. n_dup_lines: lines with a word that equal an earlier line.
     n_repeat_words: words in 3-word runs found twice or more. n_lines: lines
     with a word. n_upper, n_bang: A-Z and `!`. n_distinct: distinct words.
@@ -93,11 +93,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     upper.append(len(text) - len(text.translate(None, UPPER)))
                     bang.append(text.count(b"!"))
                 columns = [split.counts, chars[split.offsets[1:]] - chars[split.offsets[:-1]], symbols, copies, repeated_words(split, codes), lines, upper, bang, _distinct(split, codes)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, pa.int64()) for c in columns)], names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_key"), *(pa.array(c, pa.int64()) for c in columns)], names)
 
-    names = ["id", *(x.split()[0] for x in STATISTICS.split(", "))]
+    names = ["id", "text_key", *(x.split()[0] for x in STATISTICS.split(", "))]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, {STATISTICS}")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(run, f"id {kind}, text_key long, {STATISTICS}")
 
 
 def base_failed() -> Column:
@@ -219,7 +220,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id_col, statistics, base_failed, kept) for every row.
+    """(id_col, text_key, statistics, base_failed, kept) for every row.
 
     kept is false where the base limits fail and else the decision list's
     verdict. A null or empty text has no words and so fails. Null ids and
@@ -229,4 +230,4 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     stats = written(statistics(docs, id_col, text_col))
     rules = learn(stats, labels, id_col, label_col)
-    return stats.select(F.col("id").alias(id_col), *(x.split()[0] for x in STATISTICS.split(", ")), base_failed().alias("base_failed"), verdict(rules).alias("kept"))
+    return stats.select(F.col("id").alias(id_col), "text_key", *(x.split()[0] for x in STATISTICS.split(", ")), base_failed().alias("base_failed"), verdict(rules).alias("kept"))
