@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import zstandard
+
 from tidewire.llm import quality_model as Q
 
 DATA = "/root/testdata/sf0.1"
@@ -39,3 +42,31 @@ def test_edges(spark):
     one = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")
     assert all(r.score > 0.5 for r in Q.scored(docs, Q.learn(docs, one)).collect())
     assert Q.scored(docs.limit(0), Q.learn(docs.limit(0), none)).collect() == []
+
+
+def test_scores_match_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = Q.learn(docs, labels, rows=400, bytes_=1 << 20)
+    texts = dict(docs.orderBy("doc_id").limit(60).select("doc_id", "text").collect()) | {10**9: None, 10**9 + 1: "", 10**9 + 2: "é" * 5000, 10**9 + 3: "one " * 60_000}
+
+    def saved(text):
+        raw, sizes = (text or "").encode(), []
+        for dictionary in (model.good, model.bad):
+            # A packer of its own for each piece: nothing is carried from one to the next.
+            pack = lambda piece: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False).compress(piece)  # noqa: B023, E731
+            sizes.append(sum(len(pack(raw[k : k + 256])) for k in range(0, len(raw), 256)))
+        return (sizes[1] - sizes[0]) / max(1, len(raw))
+
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in Q.scored(frame, model).collect():
+        want = 1 / (1 + math.exp(-(model.slope * saved(texts[r.doc_id]) + model.offset)))
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.7)
+
+
+def test_one_long_text_does_not_displace_the_sample(spark):
+    rows = [(k, (f"calm words here {k} " if k % 2 else f"$$$ !!! {k} ###") * 30) for k in range(200)] + [(500, "calm " * 200_000), (501, "### " * 200_000)]
+    labels = spark.createDataFrame([(k, k % 2 if k < 500 else 1 - k % 2) for k, _ in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = Q.learn(docs, labels, bytes_=400_000)
+    assert model.good and model.bad and model.slope > 0
+    assert model == Q.learn(docs.where("doc_id < 500"), labels, bytes_=400_000)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .words import byte_slices
 
-#: Labelled texts of each class that are learned from at most, half for the dictionary and half for the curve, and their bytes.
+#: Labelled texts of each class that are learned from at most, half for the dictionary and half for the curve, and their bytes (see `learn`).
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 12 << 20
 PIECE, DICTIONARY_BYTES, LEVEL = 256, 110 << 10, 3
 
@@ -89,21 +89,26 @@ class _Differences:
         return (bad - good) / max(1, len(text))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", hold_out: int = 2) -> QualityModel:
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", hold_out: int = 2, rows: int = SAMPLE_ROWS, bytes_: int = SAMPLE_BYTES
+) -> QualityModel:
     """Fits the model on labelled rows whose id's remainder isn't `hold_out`.
 
-    At most SAMPLE_ROWS rows of each class, those with the least id hash, take
-    part. Null ids, labels or texts teach nothing. With no label of one class
+    What is learned from is a bounded sample, so that it fits the driver at any
+    size: of each class `rows` ids at most, those with the least id hash, whole
+    texts only, and of these, in the order of another hash, as many as make
+    `bytes_` bytes; texts of over an eighth of that teach nothing, so one long
+    text can't displace the others. Null ids, labels or texts teach nothing. With no label of one class
     the score is the same for all texts: the share of good labels, smoothed.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where((remainder("id") != hold_out) & F.col("label").isin(0, 1))
     texts: dict[int, list[tuple[int, bytes]]] = {}
     for label in (0, 1):
-        chosen = known.where(F.col("label") == label).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-        rows = rows.where("text is not null").select("id", "text", F.xxhash64(F.lit(7), "id").alias("draw"))
-        size = F.sum(F.length(F.encode("text", "UTF-8"))).over(_in_order())
-        texts[label] = [(r.draw & 1, r.text.encode()) for r in rows.withColumn("upto", size).where(F.col("upto") <= SAMPLE_BYTES).orderBy("draw", "text").collect()]
+        chosen = known.where(F.col("label") == label).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+        found = found.withColumn("size", F.octet_length("text")).where(F.col("size") <= bytes_ // 8).select("id", "text", "size", F.xxhash64(F.lit(7), "id").alias("draw"))
+        upto = F.sum("size").over(_in_order())
+        texts[label] = [(r.draw & 1, r.text.encode()) for r in found.withColumn("upto", upto).where(F.col("upto") <= bytes_).orderBy("draw", "text").collect()]
     good, bad = (_dictionary([t for half, t in texts[label] if half]) for label in (1, 0))
     if not good or not bad:
         n, g = sum(map(len, texts.values())), len(texts[1])
