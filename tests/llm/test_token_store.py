@@ -47,6 +47,19 @@ def test_round_trip(spark, tmp_path, monkeypatch, block):
     assert T.read_document(spark, store, 5) is None
 
 
+def test_long_texts_and_repeated_ids_leave_the_dictionary_bounded(spark, monkeypatch):
+    monkeypatch.setattr(T, "SAMPLE_TEXT", 100)
+    rows = [(k, "word " * 10 + str(k)) for k in range(40)] + [(k, "long " * 1000) for k in range(100, 140)] + [(5, "other words")] * 3
+    docs = spark.createDataFrame(rows, "id long, text string")
+    short = docs.where("length(text) < 100")
+    assert T.dictionary_for(docs, PATH, 2) == T.dictionary_for(short, PATH, 2) != b""
+
+
+def test_ids_must_be_whole_numbers(spark, tmp_path):
+    with pytest.raises(TypeError):
+        T.write_store(spark.createDataFrame([("a", "b")], "doc_id string, text string"), str(tmp_path / "s"), PATH)
+
+
 def test_empty_table(spark, tmp_path):
     store = str(tmp_path / "store")
     T.write_store(spark.createDataFrame([], "doc_id long, text string"), store, PATH)

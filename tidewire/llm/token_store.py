@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import counted
+from .shared import counted, whole_ids
 from .token_counts import LETTERS, MARKS, as_alphabet
 from .words import byte_slices, split_words
 
@@ -42,6 +42,8 @@ ENCODED_BYTES = 8 << 20
 REMEMBERED = 500_000
 #: Documents that the dictionary is trained on, and its size. Every document is encoded and written.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 64 << 10
+#: Bytes of the longest text that the dictionary is trained on.
+SAMPLE_TEXT = 1 << 18
 LEVEL = 3
 #: Largest table of shards (some 20 bytes each) that is broadcast.
 SHARDS = 100_000
@@ -153,12 +155,14 @@ def encoder(path: str) -> WordIds | WholeIds:
 
 
 def dictionary_for(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """A zstandard dictionary trained on the serialized ids of at most SAMPLE_DOCS documents.
+    """A zstandard dictionary trained on the serialized ids of at most SAMPLE_DOCS documents of at most SAMPLE_TEXT bytes each.
 
-    They are those with the least hash of their ids. With too few samples to
-    train on, the samples themselves are the (raw) dictionary.
+    They are those with the least hash of their ids, so the sample fits the
+    driver whatever the texts. With too few samples to train on, the samples
+    themselves are the (raw) dictionary.
     """
-    chosen = [r.id for r in docs.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).collect()]
+    docs = docs.where((F.octet_length("text") <= SAMPLE_TEXT) & F.col("id").isNotNull())
+    chosen = sorted({r.id for r in docs.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -185,10 +189,10 @@ def write_store(docs: DataFrame, out: str, path: str, end_id: int = 2, id_col: s
 
     Null texts count as empty: their only id is the end id. Null ids come
     first; rows of one id follow each other by text. An empty table makes an
-    empty store.
+    empty store. Ids must be whole numbers.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = whole_ids(docs, id_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     dictionary = dictionary_for(docs, path, end_id)
     digest = f"{xxhash.xxh64_intdigest(dictionary):016x}"
     width = encoder(path).width
