@@ -46,13 +46,36 @@ def test_bounds_hold_at_every_level():
     draw = np.random.default_rng(1)
     a, b = draw.normal(size=(50, 37)), draw.normal(size=(60, 37))
     exact, last = a @ b.T, None
-    for s in (1, 4, 16, 64):
-        upper = K.segment_statistics(a, s) @ K.segment_statistics(b, s).T
+    for s in (1, 4, 16, 37):
+        cuts = K.equal_energy(np.ones(37), s)
+        assert len(cuts) == s and cuts[-1] == 37
+        upper = K.segment_statistics(a, cuts) @ K.segment_statistics(b, cuts).T
         assert (upper >= exact - 1e-9).all()
         assert last is None or upper.mean() < last
         last = upper.mean()
 
 
+def _tile(vectors):
+    tile = K.Tile(np.arange(len(vectors)), vectors)
+    got = tile.search(np.arange(0, len(vectors), 50), vectors[::50], 5)
+    score = (vectors[::50] @ vectors.T).astype(float)
+    score[np.arange(len(score)), np.arange(0, len(vectors), 50)] = -np.inf
+    want = [(q, x, score[q, x]) for q in range(len(score)) for x in np.lexsort((np.arange(len(vectors)), -score[q]))[:5]]
+    assert [*zip(*(x.tolist() for x in got))] == [(q, x, int(s)) for q, x, s in want]
+    return tile
+
+
+def test_pairs_are_dropped_before_their_exact_score_where_vectors_lie_near_a_subspace():
+    draw = np.random.default_rng(2)
+    spread = draw.normal(size=(4000, 64)) * np.where(np.arange(64) < 6, 100, 2)
+    turn = np.linalg.qr(draw.normal(size=(64, 64)))[0]
+    tile = _tile(np.floor(spread @ turn).astype(np.int64))
+    assert tile.shares[-1] < 0.1 and tile.used
+    # Without such a subspace bounds can't drop much, and the levels that don't pay are left out.
+    even = _tile(np.floor(draw.normal(size=(4000, 64)) * 100).astype(np.int64))
+    assert even.shares[-1] > 0.5 and not even.used
+
+
 def test_few_rows_and_empty_table(spark):
     one = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in K.top_k(one, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]

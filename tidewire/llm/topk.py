@@ -5,8 +5,15 @@ candidate, the squared distance is at least n ((m - m')^2 + (s - s')^2), and so
 the inner product at most n (m m' + s s'). A candidate is dropped at the
 coarsest resolution whose summed bound stays under the query's k-th best exact
 score so far; only survivors of the finest one count with an exact score.
-Where over `DENSE` of a block's pairs survive, one matrix product costs less
-than picking them, and the survivors are read from it.
+
+A tile turns its vectors by the principal axes of its candidates, which leaves
+inner products as they are, and cuts segments of equal energy: a few leading
+components then make up most segments, and bounds are tight where vectors lie
+near a subspace. What each level drops is measured on a tile's first block; a
+level that costs more than it spares is left out of the others, so vectors with
+no such subspace cost one product and no useless bounds. Where over `DENSE` of a block's pairs
+survive, one matrix product costs less than picking them, and the survivors are
+read from it.
 
 Candidates are dealt into tiles; every query goes to every tile once, in
 blocks, and each tile gives k rows a query. Nothing is collected or broadcast.
@@ -30,22 +37,39 @@ LEVELS = (1, 4, 16, 32)
 DENSE = 0.02
 
 
-def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
-    """(rows, 2 segments): for each segment its mean and deviation, times the root of its length."""
+def segment_statistics(vectors: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """(rows, 2 segments): for each segment that ends at a cut its mean and deviation, times the root of its length."""
     out = []
-    for part in np.array_split(vectors, min(segments, vectors.shape[1]), axis=1):
+    for part in np.split(vectors, cuts[:-1], axis=1):
         root = np.sqrt(part.shape[1])
         out += [root * part.mean(axis=1), root * part.std(axis=1)]
     return np.stack(out, axis=1)
 
 
+def equal_energy(energy: np.ndarray, segments: int) -> np.ndarray:
+    """Where segments end that hold about equal shares of the components' energy, each at least one component."""
+    part = np.cumsum(energy) / max(energy.sum(), 1e-300)
+    ends = np.searchsorted(part, np.arange(1, segments) / segments - 1e-9) + 1
+    return np.unique(np.append(np.minimum(ends, len(energy)), len(energy)))
+
+
 class Tile:
-    """Candidates of one dimension with their statistics at every level."""
+    """Candidates of one dimension with their statistics at every level.
+
+    shares: what each level leaves of a block's pairs, by the first block; used: the levels that pay.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.levels = [segment_statistics(self.vectors.astype(float), s) for s in LEVELS]
+        real = self.vectors.astype(float)
+        energy, axes = np.linalg.eigh(real.T @ real)
+        self.axes, energy = axes[:, ::-1], np.maximum(energy[::-1], 0)
+        self.cuts = [equal_energy(energy, min(s, len(energy))) for s in LEVELS]
+        turned = real @ self.axes
+        self.levels = [segment_statistics(turned, c) for c in self.cuts]
+        self.shares: list[float] = []
+        self.used = list(range(1, len(LEVELS)))
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, candidate row, score) of each query's k best candidates, ties to the smaller id."""
@@ -55,22 +79,34 @@ class Tile:
             found.append(self._block(np.arange(a, min(a + step, len(ids))), ids, vectors, k))
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def _block(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = [segment_statistics(vectors[rows].astype(float), s) for s in LEVELS]
-        bound = own[0] @ self.levels[0].T
-        bound[ids[rows][:, None] == self.ids[None]] = -np.inf
-        # Exact scores of those that look best give the first limit of each query.
+    def _limits(self, bound: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+        """What a score must reach: each query's k-th best exact score among those that look best."""
         first = min(4 * k, len(self.ids))
         best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
         guess = np.zeros(bound.shape, bool)
         np.put_along_axis(guess, best, True, axis=1)
-        seen = products(vectors[rows], self.vectors, guess).reshape(len(rows), first).astype(float)
-        seen[np.isneginf(bound[guess]).reshape(len(rows), first)] = -np.inf
-        limit = np.sort(seen, axis=1)[:, -k] if first >= k else np.full(len(rows), -np.inf)
-        limit -= 1e-6 + 1e-9 * np.abs(np.where(np.isfinite(limit), limit, 0))
+        seen = products(vectors, self.vectors, guess).reshape(len(vectors), first).astype(float)
+        seen[np.isneginf(bound[guess]).reshape(len(vectors), first)] = -np.inf
+        limit = np.sort(seen, axis=1)[:, -k] if first >= k else np.full(len(vectors), -np.inf)
+        return limit - 1e-6 - 1e-9 * np.abs(np.where(np.isfinite(limit), limit, 0))
+
+    def _block(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        turned = vectors[rows].astype(float) @ self.axes
+        # Rounding of the turned vectors stays far below this.
+        slack = 1e-9 * np.sqrt((turned**2).sum(axis=1) * max(1.0, (self.levels[0] ** 2).sum(axis=1).max(initial=0)))
+        bound = segment_statistics(turned, self.cuts[0]) @ self.levels[0].T + slack[:, None]
+        bound[ids[rows][:, None] == self.ids[None]] = -np.inf
+        limit = self._limits(bound, vectors[rows], k)
         live = (bound >= limit[:, None]) & ~np.isneginf(bound)
-        for mine, theirs in zip(own[1:], self.levels[1:]):
-            live[live] = products(mine, theirs, live) >= np.repeat(limit, live.sum(axis=1))
+        shares = [live.mean()]
+        for n in self.used:
+            least = np.repeat(limit - slack, live.sum(axis=1))
+            live[live] = products(segment_statistics(turned, self.cuts[n]), self.levels[n], live) >= least
+            shares.append(live.mean())
+        if not self.shares:
+            self.shares = [float(x) for x in shares]
+            cost = [2 * len(self.cuts[n]) / vectors.shape[1] for n in self.used]
+            self.used = [n for n, c, before, after in zip(self.used, cost, shares, shares[1:]) if before - after > c * before]
         q, x = np.nonzero(live)
         score = products(vectors[rows], self.vectors, live)
         good = score >= np.repeat(limit, live.sum(axis=1))
