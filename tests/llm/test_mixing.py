@@ -1,8 +1,11 @@
 from collections import Counter
+from fractions import Fraction
+from math import ceil, floor
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewire.llm import mixing as M
 
@@ -71,3 +74,34 @@ def test_more_sources_than_a_period_has_slots():
     out = list(M.exact_schedule(weights, dict.fromkeys(weights, 3)))
     assert Counter(s for s, *_ in out) == Counter(dict.fromkeys(weights, 3))
     assert all(release <= slot < deadline for _, _, release, deadline, slot in out)
+
+
+def slots_by_plain_search(weights, blocks):
+    """Slot by slot: of all released blocks that are left, the one with the earliest deadline, ties to the first source."""
+    total = sum(Fraction(w) for w in weights.values())
+    left = [(s, k, floor(k * total / Fraction(weights[s])), ceil((k + 1) * total / Fraction(weights[s]))) for s, n in blocks.items() for k in range(n)]
+    names = sorted(blocks, key=lambda s: (s is None, s or ""))
+    out, slot = {}, 0
+    while left:
+        ready = [x for x in left if x[2] <= slot]
+        if ready:
+            best = min(ready, key=lambda x: (x[3], names.index(x[0]), x[1]))
+            left.remove(best)
+            out[best[0], best[1]] = (best[2], best[3], slot)
+        slot += 1
+    return out
+
+
+def test_schedule_and_order_match_brute_force(spark):
+    rows = [(k, ("a", "b", "b", "c", None)[k % 5]) for k in range(230)] + [(500 + k, "a") for k in range(70)] + [(None, "c"), (7, "b"), (7, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(5)
+    weights = {"a": 0.3, "b": 0.45, "c": 0.2, None: 0.05}
+    got = M.mixed(docs, weights, block=3).collect()
+    sizes = Counter(s for _, s in rows)
+    want = slots_by_plain_search(weights, {s: -(-n // 3) for s, n in sizes.items()})
+    assert all((r.mix_release, r.mix_deadline, r.mix_slot) == want[r.source, r.mix_block] for r in got)
+    draws = dict(docs.select("doc_id", F.xxhash64(F.lit(3), "doc_id")).collect())
+    for s in sizes:
+        mine = sorted((r.mix_slot, r.mix_place, r.doc_id) for r in got if r.source == s)
+        assert [draws[d] for *_, d in mine] == sorted(draws[d] for d, t in rows if t == s)
+        assert [(n // 3, n % 3) for n in range(len(mine))] == sorted((r.mix_block, r.mix_place) for r in got if r.source == s)
