@@ -23,35 +23,43 @@ PIECES = "piece_bpe_32k.model"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the base limits or the learned decision list reject; rows with a null id can't be told apart and stay."""
+    """Drops the rows that the base limits or the learned decision list reject, each by its own text; null ids are judged too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected, _ = counted(judged(docs, labels).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.select(COLUMNS).join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    rejected, _ = counted(judged(docs, labels).where("not kept").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct())
+    own = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("key"))
+    return docs.select(COLUMNS).join(rejected, own, "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each class of texts whose five-word shingle sets are 0.8 similar or more; null ids stay.
+    """Keeps one row of each class of texts whose five-word shingle sets are 0.8 similar or more.
 
-    Of rows that repeat one id, those with the smallest text stay.
+    The one with the smallest id stays (of several texts under that id the one
+    with the smallest hash, of repeated rows the smallest one). Rows with a
+    null id stay.
     """
-    classes = similar_classes(docs, shingle=5, similarity=0.8)
-    classes = written(classes.select("doc_id", "component_id"))
-    others, _ = counted(classes.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.select(COLUMNS).join(others, "doc_id", "left_anti").select(COLUMNS)
-    again, repeats = counted(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    classes = written(similar_classes(docs, shingle=5, similarity=0.8).where("doc_id is not null"))
+    key = ["doc_id", "text_key"]
+    rows = docs.select(COLUMNS).withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
+    others, _ = counted(classes.where("not first").select(key).distinct())
+    kept = rows.join(others, key, "left_anti")
+    again, repeats = counted(classes.where("first").groupBy(key).count().where("count > 1").select(key))
     if not repeats:
-        return kept
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    return kept.join(again, "doc_id", "left_anti").select(COLUMNS).union(one.select("doc_id", "row.*"))
+        return kept.select(COLUMNS)
+    one = kept.join(again, key, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return kept.join(again, key, "left_anti").select(COLUMNS).union(one.select("doc_id", "row.*"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts runs of 50 words or more that a document with a smaller id has; a text that loses all its words goes."""
-    left = without_repeats(docs, length=50).select("doc_id", "n_words", "n_removed", F.col("text").alias("left"))
-    cut = written(left.where("n_removed > 0"))
-    rest = docs.select(COLUMNS).join(cut, "doc_id", "left").where("n_removed is null or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("left")).otherwise(F.col("text"))
-    return rest.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("left")).otherwise(F.col("n_chars")).cast("long")).withColumn("text", text).select(COLUMNS)
+    left = without_repeats(docs, length=50).where("n_removed > 0")
+    # Equal texts of one id are cut alike, so one row for each is enough.
+    cut = left.select("doc_id", "text_key", F.struct("text", "n_words", "n_removed").alias("cut")).dropDuplicates(["doc_id", "text_key"])
+    rows = docs.select(COLUMNS).withColumn("text_key", F.xxhash64(F.col("text").cast("string"))).join(cut, ["doc_id", "text_key"], "left")
+    rest = rows.where("cut is null or cut.n_removed < cut.n_words")
+    changed = F.col("cut").isNotNull()
+    return rest.withColumn("n_chars", F.when(changed, F.length("cut.text")).otherwise(F.col("n_chars")).cast("long")).withColumn(
+        "text", F.when(changed, F.col("cut.text")).otherwise(F.col("text"))
+    ).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +68,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The files, in the order of their names, hold the rows in that order.
     """
     out = mixed(docs.select(COLUMNS))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(parts, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(COLUMNS)
+    return out.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +89,7 @@ STAGES = [
     ("SentencePiece", pieces),
 ]
 
-#: Learned rules, SimHash candidates and SentencePiece have no SQL; tests hold every stage against a brute-force version.
+#: Learned rules, SimHash candidates and SentencePiece have no SQL; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
