@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidewire.plans.queries import ALL
+from tidewire.plans.catalog import ALL
 
 SF = "/root/testdata/sf0.001"
 

@@ -42,7 +42,8 @@ def similarity(a: str, b: str, tokens_a: set, tokens_b: set) -> float:
     return round(max(sequence, 0.6 * sequence + 0.4 * shared), 4)
 
 
-def _compatible(a: set, b: set) -> bool:
+def compatible(a: set, b: set) -> bool:
+    """Neither names what the other doesn't, or they share something."""
     return not a or not b or bool(a & b)
 
 
@@ -64,7 +65,7 @@ class _Kept:
                     continue
                 if similarity(row.words, other.words, row.tokens, other.tokens) < self.least:
                     continue
-                if _compatible(row.vendors, other.vendors) and _compatible(row.models, other.models):
+                if compatible(row.vendors, other.vendors) and compatible(row.models, other.models):
                     if (-row.rank, row.score, -row.at) > (-other.rank, other.score, -other.at):
                         self.rows[k] = row
                         return other.id

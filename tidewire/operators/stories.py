@@ -50,7 +50,7 @@ def story_records(items: DataFrame, now: datetime) -> DataFrame:
     return out.select(
         F.concat(F.lit("story_"), F.left(F.sha1(F.concat_ws("\x1f", canonical(F.coalesce("main.url", F.lit(""))), story_title(F.coalesce("main.title", F.lit(""))))), F.lit(12))).alias("story_id"),
         "story_key", F.col("main.id").alias("primary_id"), F.col("main.title").alias("title"), F.col("main.url").alias("url"), "item_count",
-        score.alias("score"), category.alias("category"), F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("recent_ai_signal"))).alias("reasons"),
+        F.col("main.source").alias("source"), score.alias("score"), category.alias("category"), F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("recent_ai_signal"))).alias("reasons"),
         "earliest_at", "latest_at", "source_names",
     ).withColumn("importance_label", label)
 

@@ -12,6 +12,7 @@ from ..functions.scores import importance, with_creator_ranking, with_relevance,
 from ..functions.text import jaccard, mergeable, mostly_english, redacted, snippet, title_tokens
 from ..functions.urls import canonical, host_of, normalized, public
 from ..operators import archive, audit, dedup, govern, overlap, stories
+from ..operators.graph import written
 from ..sources.landing import html_context
 from .items import ITEMS_SQL, NOW, NOW_S, SITES, START_S, document_items, table
 
@@ -86,7 +87,7 @@ with {ITEMS_SQL}, cut as (
          lambda t: length(t) >= 2 and not list_contains({v.TITLE_STOPWORDS}, t)))) as tokens from items
 )
 select doc_id, array_to_string(tokens, ' ') as tokens, len(tokens) >= 4 and length(trim(title)) >= 18 as mergeable,
-       not regexp_matches(title, '[\x{{4e00}}-\x{{9fff}}]') and len(regexp_extract_all(title, '[A-Za-z]')) >= greatest(6, length(title) // 4) as english
+       not regexp_matches(title, '[\x{{4e00}}-\x{{9fff}}]') and len(regexp_extract_all(title, '[A-Za-z]')) >= greatest(6, length(trim(title, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) // 4) as english
 from cut
 """
 
@@ -107,13 +108,18 @@ select doc_id, md5(clean) as clean_md5, clean <> text as changed from clean
 """
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_tier(with_relevance(document_items(spark, sf_dir)))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored once and written: what follows reads it as often as it needs, under a small plan."""
+    return written(scored_items(spark, sf_dir))
+
+
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = lambda c: F.array_join(c, "|").alias(c)
-    return _scored(spark, sf_dir).select("doc_id", "ai_is_related", "ai_score", "ai_label", "ai_relevance_reason", names("ai_signals"), names("ai_noise"), "source_tier", "source_tier_rank")
+    return scored_items(spark, sf_dir).select("doc_id", "ai_is_related", "ai_score", "ai_label", "ai_relevance_reason", names("ai_signals"), names("ai_noise"), "source_tier", "source_tier_rank")
 
 
 def _any(text: str, words: list[str]) -> str:
@@ -175,7 +181,7 @@ from scored
 
 
 def item_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("doc_id", importance(NOW).alias("score"))
+    return scored_items(spark, sf_dir).select("doc_id", importance(NOW).alias("score"))
 
 
 _TIER_WEIGHT = "case source_tier " + " ".join(f"when '{k}' then {x}" for k, x in v.TIER_IMPORTANCE.items()) + " end"
@@ -219,15 +225,20 @@ from h
 
 
 def archive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as an archive, line items as a batch of which many hit one id."""
+    """Orders as an archive, line items as a batch of which many hit one id.
+
+    A third of the archive's ids and a quarter of the batch's are shifted, so
+    that some ids are in either alone.
+    """
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     site = F.when(F.col("k") % 2 == 0, F.lit("opmlrss")).otherwise(F.lit("zeli"))
     at = lambda n: F.timestamp_seconds(F.lit(START_S) + n)
-    old = orders.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("k")).select(
+    shifted = lambda key, n, by: F.when(key % n == 0, key + by).otherwise(key).alias("k")
+    old = orders.select(shifted(F.col("o_orderkey"), 3, 10**12)).select(
         F.col("k").cast("string").alias("id"), site.alias("site_id"), F.lit("old").alias("site_name"), F.lit("old").alias("source"), F.lit("old").alias("title"), F.lit("http://o/").alias("url"),
         F.when(F.col("k") % 5 > 0, at(F.col("k") % 1000)).alias("published_at"), at(F.lit(0)).alias("first_seen_at"), at(F.lit(1)).alias("last_seen_at"),
     )
-    batch = lines.where("l_orderkey % 4 > 0").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos")).select(
+    batch = lines.select(shifted(F.col("l_orderkey"), 4, 2 * 10**12), F.col("l_linenumber").alias("pos")).select(
         F.col("k").cast("string").alias("id"), site.alias("site_id"), F.lit("new").alias("site_name"), F.concat(F.lit("s"), F.col("pos")).alias("source"), F.concat(F.lit("t"), F.col("pos")).alias("title"),
         F.lit("http://n/").alias("url"), F.when(F.col("pos") % 3 > 0, at(2000 + F.col("pos"))).alias("published_at"), "pos",
     )
@@ -237,10 +248,10 @@ def archive_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ARCHIVE_UPSERT_SQL = f"""
 with old as (
-  select o_orderkey as k, case when o_orderkey % 5 > 0 then {START_S} + o_orderkey % 1000 end as p from orders where o_orderkey % 3 > 0
+  select k, case when k % 5 > 0 then {START_S} + k % 1000 end as p from (select o_orderkey + case when o_orderkey % 3 = 0 then 1000000000000 else 0 end as k from orders)
 ), batch as (
-  select l_orderkey as k, max(l_linenumber) as last, min(case when l_linenumber % 3 > 0 then l_linenumber end) as a, max(case when l_linenumber % 3 > 0 then l_linenumber end) as b
-  from lineitem where l_orderkey % 4 > 0 group by l_orderkey
+  select l_orderkey + case when l_orderkey % 4 = 0 then 2000000000000 else 0 end as k, max(l_linenumber) as last, min(case when l_linenumber % 3 > 0 then l_linenumber end) as a, max(case when l_linenumber % 3 > 0 then l_linenumber end) as b
+  from lineitem group by 1
 ), both_ as (
   select coalesce(old.k, batch.k) as k, old.k is not null as was, old.p, batch.last, {START_S} + 2000 + batch.a as a, {START_S} + 2000 + batch.b as b
   from old full join batch on old.k = batch.k
@@ -255,7 +266,7 @@ from both_
 
 
 def window_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = archive.in_window(_scored(spark, sf_dir), NOW, hours=12)
+    items = archive.in_window(scored_items(spark, sf_dir), NOW, hours=12)
     return items.agg(F.count("*").alias("raw"), F.count_if(F.col("ai_score") >= v.BROAD_SCORE).alias("broad"), F.count_if("ai_is_related").alias("related"))
 
 
@@ -279,7 +290,7 @@ select id, site_id, title from (
 
 
 def site_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.site_statistics(_scored(spark, sf_dir), F.col("ai_is_related"))
+    return audit.site_statistics(scored_items(spark, sf_dir), F.col("ai_is_related"))
 
 
 SITE_STATISTICS_SQL = f"""
@@ -290,7 +301,7 @@ select site_id, count(*) as raw_count, count_if(ai_is_related) as kept_count, ro
 
 def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    items = _scored(spark, sf_dir).join(truth, "doc_id", "left")
+    items = scored_items(spark, sf_dir).join(truth, "doc_id", "left")
     out = audit.source_audit(items, F.col("ai_is_related"), F.col("quality") == 1, F.col("ai_score"))
     return out.withColumn("mean_score", F.round("mean_score", 4))
 
@@ -305,7 +316,7 @@ select *, case when total >= 20 and kept / total < 0.05 then 'delete' when total
 
 
 def scoring_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, label = _scored(spark, sf_dir), F.col("ai_label")
+    items, label = scored_items(spark, sf_dir), F.col("ai_label")
     stricter = (F.col("ai_is_related") & (F.col("ai_score") >= 0.7)) | (F.size("ai_signals") >= 3)
     return audit.scoring_changes(items, F.col("source"), (F.col("ai_is_related"), label), (stricter, F.when(F.col("source_tier") == "official", "official").otherwise(label)))
 
@@ -333,7 +344,7 @@ select event_type, bucket, coalesce(n, 0) as n from grid left join seen using (e
 
 
 def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.section_counts(_scored(spark, sf_dir), F.col("ai_label"))
+    return audit.section_counts(scored_items(spark, sf_dir), F.col("ai_label"))
 
 
 SECTION_COUNTS_SQL = f"with {SCORED_SQL} select coalesce(ai_label, 'all') as section, count(*) as n from scored group by rollup (ai_label)"
