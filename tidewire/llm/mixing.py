@@ -29,7 +29,7 @@ PERIOD = 4096
 RUN, SMALL_PLAN = 100_000, 50_000
 PLAN = "_mix_s string, _mix_turn long, mix_release long, mix_deadline long, mix_slot long"
 #: Documents of a block, and about how many a ranking bucket holds.
-BLOCK, BUCKET = 64, 200_000
+BLOCK, BUCKET = 64, 2_000
 
 
 def whole_weights(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -137,11 +137,13 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
     if weights is None:
         weights = {s: float(n) ** 0.5 for s, n in sizes.items()}
     given = {s: weights.get(s, min(weights.values(), default=1.0)) for s in sizes}
-    buckets = max(1, -(-sum(sizes.values()) // BUCKET))
-    # A hot source is ranked in buckets of its own, whose sizes give their offsets.
+    # A source is ranked in as many buckets as it needs, whose sizes give their offsets: no task holds more of a hot one.
+    table = spark.createDataFrame([(s, -(-n // BUCKET)) for s, n in sizes.items()], "_mix_t string, _mix_buckets int")
+    table = F.broadcast(table) if len(sizes) <= SMALL_PLAN else table
     named = docs.drop("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
     draw = F.xxhash64(F.lit(3), F.col(id_col))
-    dealt = named.withColumn("_mix_source", F.col(source_col).cast("string")).withColumn("_mix_draw", draw).withColumn("_mix_bucket", F.pmod(draw, F.lit(buckets)).cast("int"))
+    dealt = named.withColumn("_mix_source", F.col(source_col).cast("string")).withColumn("_mix_draw", draw).join(table, F.col("_mix_source").eqNullSafe(F.col("_mix_t")))
+    dealt = dealt.withColumn("_mix_bucket", F.pmod("_mix_draw", "_mix_buckets").cast("int")).drop("_mix_t", "_mix_buckets")
     count = dealt.groupBy(F.col("_mix_source").alias("_mix_s"), F.col("_mix_bucket").alias("_mix_b")).agg(F.count("*").alias("_mix_n"))
     before = count.withColumn("_mix_before", F.sum("_mix_n").over(Window.partitionBy("_mix_s").orderBy("_mix_b")) - F.col("_mix_n")).drop("_mix_n")
     within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_draw", id_col)
