@@ -125,6 +125,18 @@ def test_stream_of_items(spark, tmp_path):
     spark.createDataFrame(rows, "site_id string, site_name string, source string, title string, url string, published_at timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("site_id string, site_name string, source string, title string, url string, published_at timestamp").parquet(str(tmp_path / "in"))
     seen = []
-    query = upserting(new_items(stream), lambda batch, now: seen.extend(r.id for r in batch.collect()), str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert len(seen) == 1
+    times = []
+
+    def upsert(batch, at):
+        times.extend(r.t for r in batch.select(at.alias("t")).collect())
+        seen.extend((r.id, r.pos) for r in batch.collect())
+
+    upserting(new_items(stream), upsert, str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination(120)
+    assert len(seen) == 1 and seen[0][1].id == seen[0][0] and len(times) == 1
+
+
+def test_block_list_of_any_size(spark):
+    items = spark.createDataFrame([("1", "https://a.example/?utm_x=1", "s"), ("2", "https://b.example/", "s"), ("3", "https://c.example/", "t"), ("4", None, None)], "id string, url string, source string")
+    blocked = spark.createDataFrame([("id", "2"), ("url", "https://A.example"), ("source", "t"), ("source", None), ("other", "4")], "kind string, value string")
+    assert [r.id for r in archive.without_blocked(items, blocked).collect()] == ["4"]
+    assert archive.without_blocked(items, blocked.limit(0)).count() == 4

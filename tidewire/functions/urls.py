@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import stripped
+from .text import let, stripped
 from .vocabulary import IDENTITY_KEYS, SENSITIVE_QUERY_KEYS, TRACKING_KEYS
 
 SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, SPLIT, group)
+def _parts(url: Column) -> Column:
+    """scheme, host, path and query of a URL, each found once; an empty scheme where it isn't one."""
+    of = lambda k: F.regexp_extract(url, SPLIT, k)
+    return F.struct(of(1).alias("scheme"), of(2).alias("host"), of(3).alias("path"), of(4).alias("query"), url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://").alias("slashed"), url.alias("whole"))
 
 
 def _key(pair: Column) -> Column:
@@ -35,34 +37,36 @@ def _query(raw: Column, keep) -> Column:
     return F.array_join(F.transform(pairs, lambda p: F.concat(_coded(_key(p)), F.lit("="), _coded(p.substr(F.length(_key(p)) + 2, F.length(p))))), "&")
 
 
-def _assembled(url: Column, host: Column, query: Column) -> Column:
-    authority = F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), F.concat(F.lit("//"), host)).otherwise("")
-    return F.concat(F.lower(_part(url, 1)), F.lit(":"), authority, _part(url, 3), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+def _assembled(p: Column, host: Column, query: Column) -> Column:
+    authority = F.when(p["slashed"], F.concat(F.lit("//"), host)).otherwise("")
+    tail = let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.concat(F.lower(p["scheme"]), F.lit(":"), authority, p["path"], tail)
 
 
 def host_of(url: Column) -> Column:
     """Lower-cased authority, with port and credentials as they stand; empty for none."""
-    return F.lower(F.coalesce(_part(stripped(url), 2), F.lit("")))
+    return F.lower(F.coalesce(F.regexp_extract(stripped(url), SPLIT, 2), F.lit("")))
+
+
+def _kept(url: Column, keep) -> Column:
+    """Scheme and host lower-cased, the pairs that `keep` accepts, no fragment, no trailing slashes; text without a scheme as it is."""
+    parts = let(url, _parts)
+    return let(parts, lambda p: F.when(p["scheme"] == "", p["whole"]).otherwise(F.rtrim(_assembled(p, F.lower(p["host"]), _query(p["query"], keep)), F.lit("/"))))
 
 
 def normalized(url: Column) -> Column:
     """Scheme and host lower-cased; tracking keys, fragment and trailing slashes gone. Text without a scheme is only stripped."""
-    url = stripped(url)
     tracked = lambda k: F.lower(k).startswith("utm_") | F.lower(k).isin(TRACKING_KEYS)
-    out = F.rtrim(_assembled(url, host_of(url), _query(_part(url, 4), lambda k: ~tracked(k))), F.lit("/"))
-    return F.when(_part(url, 1) == "", url).otherwise(out)
+    return _kept(stripped(url), lambda k: ~tracked(k))
 
 
 def canonical(url: Column) -> Column:
     """The normalized URL with only the keys that name an article."""
-    url = normalized(url)
-    out = F.rtrim(_assembled(url, host_of(url), _query(_part(url, 4), lambda k: F.lower(k).isin(IDENTITY_KEYS))), F.lit("/"))
-    return F.when(_part(url, 1) == "", url).otherwise(out)
+    return _kept(normalized(url), lambda k: F.lower(k).isin(IDENTITY_KEYS))
 
 
 def public(url: Column) -> Column:
     """Without credentials, fragment and secret-like keys; what isn't http(s) becomes empty."""
-    url = stripped(url)
-    host = F.regexp_replace(host_of(url), r"^.*@", "")
     sensitive = lambda k: F.regexp_replace(F.lower(F.coalesce(F.try_url_decode(k), k)), "[^a-z0-9]", "").isin(SENSITIVE_QUERY_KEYS)
-    return F.when(url.rlike("(?i)^https?:"), _assembled(url, host, _query(_part(url, 4), lambda k: ~sensitive(k)))).otherwise("")
+    shown = lambda p: _assembled(p, F.regexp_replace(F.lower(p["host"]), r"^.*@", ""), _query(p["query"], lambda k: ~sensitive(k)))
+    return let(let(stripped(url), _parts), lambda p: F.when(F.lower(p["scheme"]).isin("http", "https"), shown(p)).otherwise(""))

@@ -98,3 +98,35 @@ SENSITIVE_QUERY_KEYS = [
     "privatekey", "refreshtoken", "secret", "token", "xsectoken", "key", "sig", "signature",
 ]
 CREATOR_SITES = ["tikhub_douyin", "tikhub_xiaohongshu"]
+
+# What makes a discussion's title count.
+DISCUSSION_KEYWORDS = [
+    "openai", "anthropic", "claude", "claude code", "codex", "cursor", "mcp", "gemini", "deepseek", "qwen", "llm", "gpt", "sora", "copilot", "agent", "ai coding", "benchmark", "eval",
+    "paper", "model", "inference",
+]
+# Suffixes, filler words and names in the comparison of titles between sources.
+OVERLAP_SUFFIXES = ["ai hot", "aihot", "hacker news", "product hunt", "techcrunch", "the verge", "venturebeat"]
+OVERLAP_DROPPED = ["exclusive", "breaking", "news", "the", "a", "an", "from", "by", "via"]
+OVERLAP_ENTITIES = ["openai", "anthropic", "claude", "google", "gemini", "deepseek", "qwen", "llama", "meta", "mistral", "perplexity", "cursor", "codex", "copilot", "github", "runway", "kling"]
+# Stop words of source audits.
+AUDIT_STOPWORDS = ["a", "an", "and", "are", "as", "at", "for", "from", "in", "into", "is", "it", "of", "on", "the", "to", "with"]
+# Subscribed feeds that are replaced or left out.
+FEED_REPLACEMENTS = {
+    "https://rsshub.app/infoq/recommend": "https://www.infoq.cn/feed",
+    "https://rsshub.app/huggingface/blog-zh": "https://huggingface.co/blog/feed.xml",
+    "https://rsshub.app/readhub/daily": "https://readhub.cn/rss",
+    "https://rsshub.app/36kr/hot-list": "https://36kr.com/feed",
+    "https://rsshub.app/sspai/index": "https://sspai.com/feed",
+    "https://rsshub.app/sspai/matrix": "https://sspai.com/feed",
+    "https://rsshub.app/meituan/tech": "https://tech.meituan.com/feed",
+    "https://mjg59.dreamwidth.org/data/rss": "http://mjg59.dreamwidth.org/data/rss",
+}
+FEED_SKIP_PREFIXES = [
+    "https://rsshub.app/telegram/channel/", "https://rsshub.app/jike/", "https://rsshub.app/bilibili/", "https://rsshub.app/zhihu/", "https://rsshub.app/xiaoyuzhou/podcast/",
+    "https://rsshub.app/xyzrank", "https://rsshub.app/mittrchina/hot", "https://wechat2rss.bestblogs.dev/", "https://werss.bestblogs.dev/", "http://47.122.94.119:18080/",
+]
+FEED_SKIP_EXACT = ["https://rachelbythebay.com/w/atom.xml", "https://flak.tedunangst.com/rss"]
+# Names of fields that are never published, lower-cased, letters and digits only.
+SENSITIVE_KEYS = [
+    "apikey", "xapikey", "accesstoken", "authtoken", "authorization", "bearertoken", "clientsecret", "cookie", "cookies", "password", "privatekey", "refreshtoken", "secret", "token", "xsectoken",
+]

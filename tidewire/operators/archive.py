@@ -70,3 +70,13 @@ def unblocked(items: DataFrame, ids: list[str], urls: list[str], sources: list[s
     """Rows named neither by id, nor by normalized URL, nor by source; the lists are short settings."""
     hit = lambda c, names: F.coalesce(c.isin(names), F.lit(False)) if names else F.lit(False)
     return items.where(~(hit(F.col("id"), ids) | hit(normalized(F.col("url")), urls) | hit(F.col("source"), sources)))
+
+
+def without_blocked(items: DataFrame, blocked: DataFrame) -> DataFrame:
+    """items but for those that a table (kind, value) of any size names: by id, url (normalized) or source."""
+    out = items.withColumn("_url", normalized(F.coalesce("url", F.lit(""))))
+    for kind, column in (("id", F.col("id").cast("string")), ("url", F.col("_url")), ("source", F.col("source"))):
+        value = F.col("value") if kind != "url" else normalized(F.col("value"))
+        names = blocked.where(F.col("kind") == kind).select(value.alias("_name")).distinct()
+        out = out.join(names, column == F.col("_name"), "left_anti")
+    return out.drop("_url")

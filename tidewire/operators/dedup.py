@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from datetime import datetime
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import site_rank
-from ..functions.text import mergeable, models, story_title, stripped, title_tokens, vendors
-from ..functions.urls import normalized
+from ..functions.scores import site_rank, with_creator_ranking, with_relevance, with_tier
+from ..functions.text import displayed_source, mergeable, models, repaired, story_title, stripped, title_tokens, vendors
+from ..functions.urls import host_of, normalized
+from ..functions.vocabulary import CREATOR_SITES
 
 
 def tier_order(site: Column | None = None) -> list[Column]:
@@ -114,3 +116,18 @@ def without_near_duplicates(items: DataFrame, hours: float = 6.0, least: float =
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = runs.repartition(parts, "site", "run").sortWithinPartitions("site", "run", "at", "id")
     return items.join(dealt.mapInPandas(drop, f"id {items.schema['id'].dataType.simpleString()}").distinct(), "id", "left_anti")
+
+
+def creator_items(archive: DataFrame, now: datetime, days: int = 7, related_only: bool = False) -> DataFrame:
+    """The creators' items of the last days, scored, without copies and rewrites, hottest first.
+
+    archive: an archive's columns with creator_metrics, which rows without
+    count for nothing, and event_time, which must lie within the days.
+    """
+    at = F.col("event_time")
+    own = archive.where(F.col("site_id").isin(CREATOR_SITES) & F.col("creator_metrics").isNotNull() & (at >= F.lit(now) - F.make_dt_interval(days=F.lit(days))) & (at <= F.lit(now)))
+    own = own.withColumn("title", repaired(F.coalesce("title", F.lit("")))).withColumn("source", repaired(displayed_source(F.col("site_id"), F.col("source"), host_of(F.coalesce("url", F.lit(""))))))
+    scored = with_creator_ranking(with_tier(with_relevance(own)), now)
+    kept = scored.where("ai_is_related") if related_only else scored
+    left = without_near_duplicates(distinct_items(kept))
+    return left.orderBy(F.desc("creator_hot_score"), at.desc_nulls_last(), "id")

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import title_tokens
+from ..functions.text import overlap_entities, overlap_title, stripped, title_tokens
 from ..functions.urls import normalized
+from .graph import written
+
+#: Scores from which titles are the same, or may be, and the days that may lie between the latter.
+SAME, MAYBE, DAYS = 0.88, 0.62, 2
+#: Share of words that two titles have in common at least to be compared.
+SHARED = 0.3
 
 
 def classified(candidates: DataFrame, baseline: DataFrame, least: float = 0.88) -> DataFrame:
@@ -19,8 +29,8 @@ def classified(candidates: DataFrame, baseline: DataFrame, least: float = 0.88)
     other's first n - ceil(least n) + 1 tokens by rarity, so common tokens
     rarely become keys and no pair is lost.
     """
-    base = baseline.select(F.col("id").alias("base_id"), F.col("site_id").alias("base_site"), normalized(F.coalesce("url", F.lit(""))).alias("url_key"), F.lower("title").alias("title_key"), title_tokens(F.coalesce("title", F.lit(""))).alias("base_tokens"))
-    mine = candidates.select("id", "site_id", normalized(F.coalesce("url", F.lit(""))).alias("url_key"), F.lower("title").alias("title_key"), title_tokens(F.coalesce("title", F.lit(""))).alias("tokens"))
+    base = written(baseline.select(F.col("id").alias("base_id"), F.col("site_id").alias("base_site"), normalized(F.coalesce("url", F.lit(""))).alias("url_key"), F.lower("title").alias("title_key"), title_tokens(F.coalesce("title", F.lit(""))).alias("base_tokens")))
+    mine = written(candidates.select("id", "site_id", normalized(F.coalesce("url", F.lit(""))).alias("url_key"), F.lower("title").alias("title_key"), title_tokens(F.coalesce("title", F.lit(""))).alias("tokens")))
 
     def exact(left: DataFrame, key: str, name: str) -> DataFrame:
         # The smallest id of each key, and the smallest of another site: enough for any candidate.
@@ -31,10 +41,10 @@ def classified(candidates: DataFrame, baseline: DataFrame, least: float = 0.88)
         best = F.when(F.col("first.base_site") != F.coalesce(F.col("site_id"), F.lit("")), F.col("first.i")).otherwise(F.col("second"))
         return left.join(table, key).select("id", F.lit(name).alias("match"), best.alias("best_id")).where("best_id is not null")
 
-    urls = exact(mine, "url_key", "url_exact")
+    urls = written(exact(mine, "url_key", "url_exact"))
     rest = mine.join(urls, "id", "left_anti")
-    titles = exact(rest, "title_key", "title_exact")
-    rest = rest.join(titles, "id", "left_anti")
+    titles = written(exact(rest, "title_key", "title_exact"))
+    rest = written(rest.join(titles, "id", "left_anti"))
     rarity = base.select(F.explode("base_tokens").alias("t")).union(rest.select(F.explode("tokens").alias("t"))).groupBy("t").count()
 
     def prefixes(df: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -54,3 +64,79 @@ def classified(candidates: DataFrame, baseline: DataFrame, least: float = 0.88)
 def recommendation(items: Column, rate: Column) -> Column:
     """What to do with a source by its items and the share of them that others have."""
     return F.when(items < 5, "watchlist").when(rate >= 0.65, "skip").when(rate >= 0.35, "watchlist").otherwise("accept")
+
+
+def alike(a: str, b: str) -> float:
+    """Of two normal titles: the best of matching blocks, shared words and matching blocks of sorted words."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    x, y = set(a.split()), set(b.split())
+    return round(max(SequenceMatcher(None, a, b).ratio(), len(x & y) / len(x | y), SequenceMatcher(None, " ".join(sorted(x)), " ".join(sorted(y))).ratio()), 3)
+
+
+def _title_pairs(mine: DataFrame, base: DataFrame) -> DataFrame:
+    """(normal, base_normal, score) of distinct titles that share SHARED of their words and score MAYBE or more.
+
+    Titles meet at their rarest words alone, as many as leave no such pair out.
+    """
+    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: F.length(w) > 1)
+    left, right = (df.select(c).distinct().where(F.size(words(F.col(c))) > 0) for df, c in ((mine, "normal"), (base, "base_normal")))
+    rarity = left.select(F.explode(words(F.col("normal"))).alias("w")).union(right.select(F.explode(words(F.col("base_normal"))).alias("w"))).groupBy("w").count()
+
+    def rarest(df: DataFrame, key: str) -> DataFrame:
+        ordered = df.select(key, F.explode(words(F.col(key))).alias("w")).join(rarity, "w").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "w"))).alias("o"))
+        n = F.size("o")
+        return ordered.select(key, F.explode(F.slice(F.col("o.w"), F.lit(1), n - F.ceil(n * F.lit(SHARED)).cast("int") + 1)).alias("w"))
+
+    met = rarest(left, "normal").join(rarest(right, "base_normal"), "w").select("normal", "base_normal").distinct()
+    a, b = words(F.col("normal")), words(F.col("base_normal"))
+    met = met.where(F.size(F.array_intersect(a, b)) >= F.lit(SHARED) * F.size(F.array_union(a, b)))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["score"] = [alike(x, y) for x, y in zip(frame["normal"], frame["base_normal"])]
+            yield frame[frame["score"] >= MAYBE]
+
+    return met.mapInPandas(score, "normal string, base_normal string, score double")
+
+
+def compared(candidates: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(id, match, best_id, score, hard) of the candidates (id, site_id, title, url, event_time) that the baseline's other sites tell too.
+
+    A candidate whose URL the baseline has is compared with those rows alone
+    (url_exact); any other with titles: title_exact, title_similarity, or
+    entity_time_possible if a title that scores less names the same thing
+    within two days (unknown times pass). The hard match of the highest score
+    counts, else the possible one; ties go to the smallest id.
+    """
+    mine = candidates.select("id", F.coalesce("site_id", F.lit("")).alias("site_id"), normalized(F.coalesce("url", F.lit(""))).alias("url"), F.lower(stripped(F.coalesce("title", F.lit("")))).alias("low"), overlap_title(F.col("title")).alias("normal"), F.col("event_time").alias("at"))
+    base = baseline.select(*(F.col(c).alias(f"base_{c}") for c in ("id",)), F.coalesce("site_id", F.lit("")).alias("base_site"), normalized(F.coalesce("url", F.lit(""))).alias("base_url"), F.lower(stripped(F.coalesce("title", F.lit("")))).alias("base_low"), overlap_title(F.col("title")).alias("base_normal"), F.col("event_time").alias("base_at"))
+    mine, base = written(mine), written(base)
+    ids = base.where("base_url <> ''").groupBy("base_url", "base_site").agg(F.min("base_id").alias("i"))
+    # Of each URL the smallest id of each site goes on, so a hot URL makes a row a site.
+    urls = mine.where("url <> ''").join(ids, (F.col("url") == F.col("base_url")) & (F.col("site_id") != F.col("base_site"))).groupBy("id").agg(F.min("i").alias("best_id"))
+    sure = written(urls.select("id", F.lit("url_exact").alias("match"), "best_id", F.lit(1.0).alias("score"), F.lit(True).alias("hard")))
+    rest = mine.join(sure, "id", "left_anti")
+    both = rest.join(_title_pairs(rest, base), "normal").join(base, "base_normal").where("site_id <> base_site")
+    named = F.size(F.array_intersect(overlap_entities(F.col("normal")), overlap_entities(F.col("base_normal")))) > 0
+    near = F.coalesce(F.abs(F.unix_micros("at") - F.unix_micros("base_at")) <= DAYS * 86_400_000_000, F.lit(True))
+    match = F.when((F.col("normal") == F.col("base_normal")) & (F.col("low") == F.col("base_low")), "title_exact").when(F.col("score") >= SAME, "title_similarity").when(named & near, "entity_time_possible")
+    found = both.withColumn("match", match).where("match is not null").withColumn("hard", F.col("match") != "entity_time_possible")
+    best = found.groupBy("id").agg(F.min(F.struct((~F.col("hard")).alias("soft"), (-F.col("score")).alias("s"), F.col("base_id").alias("best_id"), "match")).alias("b"))
+    return sure.union(best.select("id", "b.match", "b.best_id", -F.col("b.s"), ~F.col("b.soft")))
+
+
+def report(candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """(site_id, items, duplicates, possible, unique, rate, decision): what a source brings, by its matches."""
+    rows = candidates.select("id", "site_id").join(matches.select("id", "hard"), "id", "left")
+    out = rows.groupBy("site_id").agg(F.count("*").alias("items"), F.count_if("hard").alias("duplicates"), F.count_if(~F.col("hard")).alias("possible"))
+    rate = F.round(F.col("duplicates") / F.col("items"), 3)
+    return out.withColumns({"unique": F.col("items") - F.col("duplicates") - F.col("possible"), "rate": rate, "decision": recommendation(F.col("items"), rate)})
+
+
+def top_sources(matches: DataFrame, baseline: DataFrame, most: int = 10) -> DataFrame:
+    """(site_id, n): the baseline's sites that told most of the hard matches."""
+    own = baseline.select(F.col("id").alias("best_id"), "site_id").distinct()
+    return matches.where("hard").join(own, "best_id").groupBy("site_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site_id").limit(most)

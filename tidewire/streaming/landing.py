@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -23,10 +22,15 @@ def counts_by_hour(stream: DataFrame, key: str, at: str = "published_at", late:
     return stream.withWatermark(at, late).groupBy(key, F.window(at, "1 hour")).count().select(key, F.col("window.start").alias("hour"), F.col("count").alias("n"))
 
 
-def upserting(stream: DataFrame, upsert: Callable[[DataFrame, datetime], None], checkpoint: str) -> DataStreamWriter:
-    """Hands each micro-batch, with its order of arrival as `pos`, to `upsert` under one time."""
+def upserting(stream: DataFrame, upsert: Callable[[DataFrame, Column], None], checkpoint: str, order: tuple[str, ...] = ("published_at", "id")) -> DataStreamWriter:
+    """Hands each micro-batch, with its order of arrival as `pos` and its time as `batch_at`, to `upsert`.
+
+    A batch that is run again gets the same: its time is the one that the
+    checkpoint holds for it, and its order follows the rows' own columns.
+    """
+    timed = stream.withColumns({"batch_at": F.current_timestamp(), "pos": F.struct(*order)})
 
     def each(batch: DataFrame, _: int) -> None:
-        upsert(batch.withColumn("pos", F.monotonically_increasing_id()), datetime.now())
+        upsert(batch, F.col("batch_at"))
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return timed.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
