@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 from ..functions.scores import importance
-from ..operators import dedup, matching, overlap, sanitize, stories
-from .items import NOW, NOW_S, document_items, table
+from ..operators import dedup, enrich, matching, overlap, sanitize, stories
+from .items import ITEMS_SQL, NOW, NOW_S, document_items, table
 from .queries import SCORED_SQL, STORIES_SQL, Query, _scored, scored_items
 
 
@@ -146,6 +146,77 @@ def creator_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.creator_items(items, NOW).select("id", "creator_hot_score", "title")
 
 
+def authored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as posts, customers as their authors, a part of whom isn't known."""
+    orders, users = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    known = users.select(F.when(key % 5 > 0, key).alias("id"), F.concat(F.lit("u"), key.cast("string")).alias("username"), F.col("c_name").alias("name"))
+    posts = orders.select(F.col("o_orderkey").cast("string").alias("post_id"), F.col("o_custkey").cast("string").alias("author_id"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderpriority")).alias("text"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))
+    return enrich.authored(posts, known, NOW).select("post_id", "username", "name", "title", "url")
+
+
+AUTHORED_POSTS_SQL = """
+select cast(o_orderkey as varchar) as post_id, case when c_custkey % 5 > 0 then 'u' || cast(c_custkey as varchar) else 'i/web' end as username, case when c_custkey % 5 > 0 then c_name end as name, o_orderpriority as title,
+       'https://x.com/' || case when c_custkey % 5 > 0 then 'u' || cast(c_custkey as varchar) else 'i/web' end || '/status/' || cast(o_orderkey as varchar) as url
+from orders left join customer on o_custkey = c_custkey where o_orderkey % 9 > 0
+"""
+
+
+def titled_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the last CJK title under their URL."""
+    items = document_items(spark, sf_dir)
+    n = F.col("doc_id")
+    others = items.select(F.when(n % 4 == 0, F.concat(F.lit("标题"), n.cast("string"))).otherwise("plain").alias("title"), F.concat("url", F.lit("&utm_x=1")).alias("url"), n.alias("pos"))
+    return enrich.titled(items, others.withColumn("url", F.regexp_replace("url", "#top&utm_x=1", "&utm_x=1"))).select("doc_id", "title_zh")
+
+
+TITLED_ITEMS_SQL = f"""
+with {ITEMS_SQL}, t as (select url, max_by('标题' || cast(doc_id as varchar), doc_id) as z from items where doc_id % 4 = 0 group by url)
+select doc_id, z as title_zh from items left join t using (url)
+"""
+
+_SAID = ["抱歉，我无法处理链接内容。", "“Sorry, 我不能翻译这个标题", "前体", "OpenAI 发布全新的多模态模型", "他对此深感抱歉并将改进产品", "English only", ""]
+
+
+def translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which translations can be shown, and the marks and scores that reviews are kept under."""
+    n = F.col("event_id")
+    text = F.element_at(F.array(*map(F.lit, _SAID)), (n % len(_SAID) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", enrich.valid_translation(text).alias("strict"), enrich.valid_translation(text, strict=False).alias("loose"), enrich.title_mark(F.col("event_type")).alias("mark"), enrich.clamped(F.when(n % 10 > 0, (F.col("value") - 20).cast("string")).otherwise("x")).alias("score"))
+
+
+TRANSLATIONS_SQL = """
+select event_id, event_id % 7 in (3, 4) as strict, event_id % 7 in (3, 4) as loose, left(sha1(event_type), 8) as mark, cast(case when event_id % 10 = 0 then 0 else greatest(0, least(100, round_even(value - 20, 0))) end as integer) as score from events
+"""
+
+
+def review_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best stories with what each persona says of them, as far as kept reviews tell."""
+    n = F.col("event_id")
+    items = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), n.cast("string")).alias("story_id"), F.col("event_type").alias("title"), F.when(n % 3 > 0, F.floor(F.abs("value") / 10)).alias("persona_score"), (n % 100 / 100.0).alias("importance"))
+    cache = items.select(enrich.review_key(F.col("story_id"), F.lit("cynic"), F.lit("v1")).alias("key"), enrich.title_mark(F.col("title")).alias("title_mark"), F.lit("seen").alias("review"), F.lit("77.5").alias("score"), F.lit(NOW).alias("scored_at"))
+    told = enrich.reviewed(enrich.top_stories(items), [("pragmatic", "v1"), ("cynic", "v1")], enrich.kept_reviews(cache, NOW))
+    return told.select("rank", "story_id", "persona", "review", "score")
+
+
+REVIEW_BOARD_SQL = """
+with i as (select 's' || cast(event_id as varchar) as story_id, floor(abs(value) / 10) as p, event_id % 100 / 100.0 as imp from events where event_id % 3 > 0), t as (
+  select *, cast(row_number() over (order by p desc, imp desc, story_id) as integer) as rank from i
+)
+select rank, story_id, 'pragmatic' as persona, cast(null as varchar) as review, cast(null as integer) as score from t where rank <= 3 union all select rank, story_id, 'cynic', 'seen', 78 from t where rank <= 3
+"""
+
+
+def wiki_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    updates = table(spark, sf_dir, "pages").select(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 7).cast("int")), "yyyy-MM-dd").alias("date"), F.concat(F.lit("t"), n.cast("string")).alias("title"), F.concat(F.lit("https://w.example/"), n.cast("string")).alias("url"))
+    blocked = updates.where("date = '2024-01-07'").select(F.lit("url").alias("kind"), F.col("url").alias("value")).union(updates.limit(0).select("date", "title"))
+    return enrich.wiki_updates(updates, blocked)[1]
+
+
+WIKI_COUNTS_SQL = "select '2024-01-06' as latest_date, count_if(page_id % 7 = 5) as count_today, count(*) as count_7d from pages where page_id % 7 <> 6"
+
+
 #: name: (query, SQL or None)
 AUDITS: dict[str, tuple[Query, str | None]] = {
     "source_quality": (source_quality, SOURCE_QUALITY_SQL),
@@ -157,4 +228,9 @@ AUDITS: dict[str, tuple[Query, str | None]] = {
     "shape_gate": (shape_gate, SHAPE_GATE_SQL),
     "snapshot_drop": (snapshot_drop, SNAPSHOT_DROP_SQL),
     "creator_board": (creator_board, None),
+    "authored_posts": (authored_posts, AUTHORED_POSTS_SQL),
+    "titled_items": (titled_items, TITLED_ITEMS_SQL),
+    "translations": (translations, TRANSLATIONS_SQL),
+    "review_board": (review_board, REVIEW_BOARD_SQL),
+    "wiki_counts": (wiki_counts, WIKI_COUNTS_SQL),
 }

@@ -449,10 +449,27 @@ def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html_context(F.col("html")).alias("context"))
 
 
+PAGE_CONTEXT_SQL = r"""
+with said as (
+  select page_id, regexp_extract(html, '(?is)<meta[^>]+name=["'']description["''][^>]*content=["'']([^"'']*)', 1) as d, regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1)[1:3] as ps from pages
+)
+select page_id, left(array_to_string(list_filter(list_transform(list_concat([d], list_transform(ps, lambda p: regexp_replace(p, '(?s)<[^>]+>', ' ', 'g'))), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: t <> ''), chr(10)), 800) as context
+from said
+"""
+
+
 def public_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", snippet(F.coalesce("text", F.lit(""))).alias("snippet"))
 
 
+PUBLIC_SNIPPETS_SQL = rf"""
+with c as (
+  select conv_id, turn, regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '{v.EMAIL_PATTERN}', '[redacted-email]', 'g'), '{_RE2_SECRET}', '[redacted-secret]', 'gi') as t from conversations
+)
+select conv_id, turn, case when length(t) > 240 then rtrim(left(t, 239)) || '…' else t end as snippet from c
+"""
+
+
 def title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard of each document's title and its successor's."""
     items = document_items(spark, sf_dir).select("doc_id", title_tokens(F.col("title")).alias("w"))
@@ -493,6 +510,6 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "section_counts": (section_counts, SECTION_COUNTS_SQL),
     "quality_gate": (quality_gate, QUALITY_GATE_SQL),
     "leaks": (leaks, LEAKS_SQL),
-    "page_context": (page_context, None),
-    "public_snippets": (public_snippets, None),
+    "page_context": (page_context, PAGE_CONTEXT_SQL),
+    "public_snippets": (public_snippets, PUBLIC_SNIPPETS_SQL),
 }
