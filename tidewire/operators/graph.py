@@ -15,10 +15,12 @@ def written(df: DataFrame) -> DataFrame:
     Only on one machine (a local master) a temporary folder takes its place
     where the setting is missing.
     """
-    spark = df.sparkSession
-    path = f"{_shared(spark)}/tidewire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, f"{_shared(df.sparkSession)}/tidewire-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _shared(spark: SparkSession) -> str:
@@ -38,9 +40,11 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of two steps: each node's larger neighbours hang on its smallest
     one, then its smaller ones do. The number of rounds grows with the
     logarithm of the longest path; a round is two combinable minima and two
-    equi-joins, which adaptive execution splits at hot nodes.
+    equi-joins, which adaptive execution splits at hot nodes. Rounds take turns
+    in two folders, so no more than two of them are kept.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    folders = [f"{_shared(links.sparkSession)}/tidewire-{uuid.uuid4().hex}" for _ in range(2)]
+    edges = _written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folders[0])
     before = None
     while (now := tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())) != before and now[0]:
         before = now
@@ -49,5 +53,6 @@ def components(links: DataFrame) -> DataFrame:
         hung = both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = hung.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         ends = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
-        edges = written(hung.join(least, F.col("a") == F.col("n")).select(ends.alias("a"), F.col("m").alias("b")).distinct())
+        folders.reverse()
+        edges = _written(hung.join(least, F.col("a") == F.col("n")).select(ends.alias("a"), F.col("m").alias("b")).distinct(), folders[0])
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
