@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shared_folder, written
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -19,13 +19,16 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     then its smaller neighbours likewise, until nothing moves: the number of
     rounds grows with the logarithm of the longest path. Links stay in tables;
     minima are combined before each shuffle, and the joins that fetch them are
-    plain equi-joins that adaptive execution splits when a node is hot. Null
+    plain equi-joins that adaptive execution splits when a node is hot. Rounds
+    take turns in two folders, so no more than two of them are kept. Null
     ends and loops count as no link. An empty table gives no rows.
     """
+    folders = [shared_folder(links.sparkSession) for _ in range(2)]
     edges = written(
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .distinct()
+        .distinct(),
+        folders[0],
     )
     stamp = _stamp(edges)
     while stamp[0]:
@@ -43,7 +46,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
             .distinct()
         )
-        edges = written(small)
+        folders.reverse()
+        edges = written(small, folders[0])
         now = _stamp(edges)
         if now == stamp:
             break

@@ -34,11 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidewire-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts its lineage."""
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder (over what lies at `path`, if given) and reads it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
+    path = path or shared_folder(spark)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
