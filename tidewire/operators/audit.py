@@ -42,3 +42,26 @@ def spark_line(events: DataFrame, key: str, at: Column, now: Column, buckets: in
 def section_counts(items: DataFrame, section: Column) -> DataFrame:
     """Items of each section, and of all under "all"."""
     return items.rollup(section.alias("section")).agg(F.count("*").alias("n")).select(F.coalesce("section", F.lit("all")).alias("section"), "n")
+
+
+def label_moves(items: DataFrame, before: tuple[Column, Column], after: tuple[Column, Column], most: int = 20) -> DataFrame:
+    """(label_before, label_after, n): the commonest changes of label among items that both (kept, label) scorers keep."""
+    (kept_a, label_a), (kept_b, label_b) = before, after
+    rows = items.where(kept_a & kept_b & (label_a != label_b))
+    return rows.groupBy(label_a.alias("label_before"), label_b.alias("label_after")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label_before", "label_after").limit(most)
+
+
+def flips(items: DataFrame, kept_before: Column, kept_after: Column, most: int = 30) -> DataFrame:
+    """The first `most` items, by id, that only the first scorer keeps ("dropped"), and as many that only the second one does ("added")."""
+    of = lambda test, name: items.where(test).orderBy("id").limit(most).withColumn("flip", F.lit(name))
+    return of(kept_before & ~kept_after, "dropped").union(of(~kept_before & kept_after, "added"))
+
+
+def relevance_audit(items: DataFrame, least: float = 0.45, threshold: float = 0.65, most: int = 20) -> DataFrame:
+    """(part, name, n, share): items by label, kept ones and their share by site, and the `most` best-scored items under the threshold."""
+    by = lambda part, key, *more: items.groupBy(key.alias("name")).agg(*more).select(F.lit(part).alias("part"), "name", "n", "share")
+    none = F.max(F.lit(None).cast("double")).alias("share")
+    labels = by("label", F.coalesce("ai_label", F.lit("unknown")), F.count("*").alias("n"), none)
+    sites = by("site", F.col("site_id"), F.count_if("ai_is_related").alias("n"), F.round(F.count_if("ai_is_related") / F.count("*"), 4).alias("share"))
+    band = items.where((F.col("ai_score") >= least) & (F.col("ai_score") < threshold)).orderBy(F.desc("ai_score"), "id").limit(most)
+    return labels.union(sites).union(band.select(F.lit("review"), F.col("id"), F.lit(1).cast("bigint"), F.col("ai_score")))

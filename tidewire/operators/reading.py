@@ -233,3 +233,15 @@ def radar_stories(stories: DataFrame, generated: datetime, now: datetime, most:
     """The most important stories of a snapshot that isn't stale, else none."""
     fresh = (now - generated).total_seconds() <= stale_hours * 3600
     return stories.where(F.lit(fresh)).orderBy(F.desc("score"), "story_id").limit(most)
+
+
+def story_rows(stories: DataFrame, members: DataFrame) -> DataFrame:
+    """(story_id, section, signals, others): the section of each story's primary item, its distinct source signals, and its members under another URL than the primary's, or all if there is none.
+
+    stories: story_id, primary_id, url; members: viewed items with story_id.
+    """
+    other = F.count_if(F.col("m.url") != F.col("s.url"))
+    rows = members.alias("m").join(stories.alias("s"), F.col("m.story_id") == F.col("s.story_id"))
+    return rows.groupBy(F.col("s.story_id").alias("story_id")).agg(
+        F.max(F.when(F.col("m.id") == F.col("s.primary_id"), F.col("m.section"))).alias("section"), F.array_sort(F.collect_set("m.signal")).alias("signals"), F.when(other > 0, other).otherwise(F.count("*")).alias("others"),
+    )

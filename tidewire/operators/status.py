@@ -47,6 +47,6 @@ def totals(raw: DataFrame, kept: DataFrame) -> DataFrame:
     return a.join(b)  # two tables of one row
 
 
-def status_order(table: DataFrame, rank: Column) -> list[Column]:
+def status_order(rank: Column) -> list[Column]:
     """How sites are listed: by tier, then share kept, then items, then name."""
     return [rank.asc(), F.desc(F.col("count") / F.greatest(F.lit(1), F.col("raw_count"))), F.desc("count"), F.asc("site_name")]

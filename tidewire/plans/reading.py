@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import reading as r
-from ..operators import reading, stories
+from ..functions.scores import site_rank
+from ..operators import audit, reading, status, stories
 from ..operators.graph import written
 from .items import NOW, NOW_S, table
 from .queries import SCORED_SQL, STORIES_SQL, Query, _scored, scored_items
@@ -305,6 +306,64 @@ select url as story_id, cast(1 as bigint) as reports,
 from m
 """
 
+def story_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories as rows of the list: section, source signals, further members."""
+    keyed = written(stories.by_article(reading.viewed(scored_items(spark, sf_dir), NOW)).withColumnRenamed("story_key", "story_id"))
+    records = stories.story_records(keyed.withColumnRenamed("story_id", "story_key"), NOW).drop("story_id").withColumnRenamed("story_key", "story_id")
+    return reading.story_rows(records.select("story_id", "primary_id", "url"), keyed).select("story_id", "section", F.array_join("signals", "|").alias("signals"), "others")
+
+
+STORY_ROWS_SQL = f"""
+with {STORIES_SQL}, {SEEN_SQL.replace(SCORED_SQL + ", ", "")}
+select url as story_id, max(case when id = primary_id then section end) as section, array_to_string(list_sort(list_distinct(list(signal))), '|') as signals, count(*) as others from seen join stories on url = story_key group by url
+"""
+
+
+def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 60 sites of the status list: by tier, share kept, items and name."""
+    items = written(scored_items(spark, sf_dir))
+    asked = items.select("source").distinct().select(F.col("source").alias("site_id"), F.col("source").alias("site_name"))
+    order = status.status_order(site_rank(F.col("site_id")))
+    first = status.site_table(items, items.where("ai_is_related"), asked).orderBy(*order).limit(60)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+SOURCE_HEALTH_SQL = f"""
+with {SCORED_SQL}, t as (
+  select site_id, max(source) as site_name, count_if(ai_is_related) as count, count(*) as raw_count, max(source_tier_rank) as r from scored group by 1 union all select distinct source, source, 0, 0, 9 from scored
+)
+select site_id, site_name, count, raw_count, cast(place as integer) as place from (select *, row_number() over (order by r, count / greatest(1, raw_count) desc, count desc, site_name) as place from t) where place <= 60
+"""
+
+
+def relevance_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.relevance_audit(written(scored_items(spark, sf_dir)))
+
+
+RELEVANCE_AUDIT_SQL = f"""
+with {SCORED_SQL}
+select 'label' as part, ai_label as name, count(*) as n, cast(null as double) as share from scored group by 2 union all select 'site', site_id, count_if(ai_is_related), round(count_if(ai_is_related) / count(*), 4) from scored group by 2
+union all select 'review', id, 1, ai_score from (select * from scored where ai_score >= 0.45 and ai_score < 0.65 order by ai_score desc, id limit 20)
+"""
+
+
+def scoring_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commonest label changes, and the first items that either of two scorers keeps alone."""
+    items, label = written(scored_items(spark, sf_dir)), F.col("ai_label")
+    before = (F.col("ai_is_related"), label)
+    after = ((F.col("ai_is_related") & (F.col("ai_score") >= 0.7)) | (F.size("ai_signals") >= 3), F.when(F.col("source_tier") == "official", "official").otherwise(label))
+    moves = audit.label_moves(items, before, after).select(F.lit("move").alias("part"), F.concat_ws(">", "label_before", "label_after").alias("name"), "n")
+    return moves.union(audit.flips(items, before[0], after[0]).select(F.col("flip"), "id", F.lit(1).cast("bigint")))
+
+
+SCORING_MOVES_SQL = f"""
+with {SCORED_SQL}, c as (
+  select id, ai_is_related as x, (ai_is_related and ai_score >= 0.7) or len(signals) >= 3 as y, ai_label as m, case when source_tier = 'official' then 'official' else ai_label end as k from scored
+)
+select * from (select 'move' as part, m || '>' || k as name, count(*) as n from c where x and y and m <> k group by m, k order by n desc, m, k limit 20)
+union all select * from (select 'dropped', id, 1 from c where x and not y order by id limit 30) union all select * from (select 'added', id, 1 from c where not x and y order by id limit 30)
+"""
+
 #: name: (query, SQL or None)
 READING: dict[str, tuple[Query, str | None]] = {
     "item_view": (item_view, ITEM_VIEW_SQL),
@@ -321,4 +380,8 @@ READING: dict[str, tuple[Query, str | None]] = {
     "story_search": (story_search, STORY_SEARCH_SQL),
     "curated_stories": (curated_stories, CURATED_STORIES_SQL),
     "story_times": (story_times, STORY_TIMES_SQL),
+    "story_rows": (story_rows, STORY_ROWS_SQL),
+    "source_health": (source_health, SOURCE_HEALTH_SQL),
+    "relevance_audit": (relevance_audit, RELEVANCE_AUDIT_SQL),
+    "scoring_moves": (scoring_moves, SCORING_MOVES_SQL),
 }
