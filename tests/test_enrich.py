@@ -43,4 +43,4 @@ def test_stories_are_found_by_their_members(spark):
     assert ids(reading.matching_stories(stories, members, query=" HELLO ")) == ["a"] and ids(reading.matching_stories(stories, members, query="title")) == ["a"]
     assert ids(reading.matching_stories(stories, members, author="@ann")) == ["a"] and ids(reading.matching_stories(stories, members, site="zeli")) == ["b", "c"]
     assert ids(reading.matching_stories(stories, members)) == ["a", "b", "c"] and ids(reading.safe_stories(stories, members)) == ["a", "c"]
-    assert reading.radar_stories(stories.withColumn("score", F.lit(0.5)), NOW - timedelta(hours=49), NOW).count() == 0
+    assert reading.leading_stories(stories.withColumn("score", F.lit(0.5)), NOW - timedelta(hours=49), NOW).count() == 0

@@ -219,7 +219,7 @@ def report_times(members: DataFrame) -> DataFrame:
     return members.groupBy("story_id", key.alias("key")).agg(F.min("at").alias("at")).where("at is not null").select("story_id", "at")
 
 
-def radar(items: DataFrame, most: int, label: str | None = None, keyword: str | None = None) -> DataFrame:
+def leading(items: DataFrame, most: int, label: str | None = None, keyword: str | None = None) -> DataFrame:
     """The first `most` related items by tier rank and score, of one label or with one word in title or signals."""
     rows = items.where("ai_is_related")
     if label:
@@ -229,7 +229,7 @@ def radar(items: DataFrame, most: int, label: str | None = None, keyword: str |
     return rows.orderBy("source_tier_rank", F.desc("ai_score"), "id").limit(most)
 
 
-def radar_stories(stories: DataFrame, generated: datetime, now: datetime, most: int = 15, stale_hours: int = 48) -> DataFrame:
+def leading_stories(stories: DataFrame, generated: datetime, now: datetime, most: int = 15, stale_hours: int = 48) -> DataFrame:
     """The most important stories of a snapshot that isn't stale, else none."""
     fresh = (now - generated).total_seconds() <= stale_hours * 3600
     return stories.where(F.lit(fresh)).orderBy(F.desc("score"), "story_id").limit(most)

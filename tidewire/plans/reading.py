@@ -218,17 +218,17 @@ select *, cast(row_number() over (order by shown desc, site_id) as integer) as p
 """
 
 
-def radar_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def leading_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 30 items, the first 20 of a label and the first 20 with a word."""
     items = _scored(spark, sf_dir)
     out = None
     for name, most, label, word in (("top", 30, None, None), ("label", 20, "ai_general", None), ("word", 20, None, "THE")):
-        part = reading.radar(items, most, label, word).select(F.lit(name).alias("list"), "doc_id", "ai_score")
+        part = reading.leading(items, most, label, word).select(F.lit(name).alias("list"), "doc_id", "ai_score")
         out = part if out is None else out.union(part)
     return out
 
 
-RADAR_LISTS_SQL = f"with {SCORED_SQL}\n" + "\nunion all\n".join(
+LEADING_LISTS_SQL = f"with {SCORED_SQL}\n" + "\nunion all\n".join(
     f"select '{name}' as list, doc_id, ai_score from (select * from scored where ai_is_related and {test} order by source_tier_rank, ai_score desc, id limit {most})"
     for name, most, test in (("top", 30, "true"), ("label", 20, "ai_label = 'ai_general'"), ("word", 20, "contains(lower(concat_ws(' ', title, array_to_string(signals, ' '))), 'the')"))
 )
@@ -375,7 +375,7 @@ READING: dict[str, tuple[Query, str | None]] = {
     "event_boards": (event_boards, EVENT_BOARDS_SQL),
     "source_groups": (source_groups, SOURCE_GROUPS_SQL),
     "site_groups": (site_groups, SITE_GROUPS_SQL),
-    "radar_lists": (radar_lists, RADAR_LISTS_SQL),
+    "leading_lists": (leading_lists, LEADING_LISTS_SQL),
     "hot_board": (hot_board, HOT_BOARD_SQL),
     "story_search": (story_search, STORY_SEARCH_SQL),
     "curated_stories": (curated_stories, CURATED_STORIES_SQL),
