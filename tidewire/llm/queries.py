@@ -145,6 +145,12 @@ from best where n = 1
 """
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -157,6 +163,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
+        "op11_license_scan": op11_license_scan,
     }
 
 
