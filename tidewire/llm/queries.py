@@ -151,6 +151,12 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -164,8 +170,11 @@ def queries() -> dict[str, Query]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
         "op11_license_scan": op11_license_scan,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL}
+    from .vector_codes import codes_sql
+
+    return {"op7_top_k": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_url_filter": OP10_SQL, "op13_vector_codes": codes_sql()}
