@@ -151,6 +151,12 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import vector_codes
 
@@ -170,6 +176,7 @@ def queries() -> dict[str, Query]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_url_filter": op10_url_filter,
         "op11_license_scan": op11_license_scan,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_vector_codes": op13_vector_codes,
     }
 
