@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import times
 from tidewire.functions.text import bigram_tokens, garbled, needs_context, overlap_title, repaired
-from tidewire.operators import overlap, sanitize
+from tidewire.operators import matching, overlap, sanitize
+from tidewire.operators.sets import alike_sets
 from tidewire.sources import payloads
 
 NOW = datetime(2026, 7, 1, tzinfo=timezone.utc)
@@ -24,6 +25,8 @@ def test_overlap_matches_a_plain_loop(spark):
         words = draw.choice(titles).split(" ")
         for _ in range(draw.randrange(4)):
             words[1 + draw.randrange(6)] = draw.choice(names)
+        if k % 5 == 0:  # inflected: few words in common
+            words = [words[0], *(w + draw.choice(["s", "ed", ""]) for w in words[1:])]
         at = NOW - timedelta(hours=draw.randrange(200)) if draw.random() < 0.9 else None
         rows.append((f"i{k:03}", "mine" if k % 3 == 0 else f"s{k % 4}", " ".join(words), f"https://x.example/{draw.randrange(250)}", at))
     known = {"openai", "claude", "gemini"}
@@ -36,13 +39,11 @@ def test_overlap_matches_a_plain_loop(spark):
         found = [(0, -1.0, b[0], "url_exact") for b in same]
         for b in [] if same else base:
             x, y = set(c[2].split()), set(b[2].split())
-            if len(x & y) < 0.3 * len(x | y):
-                continue
             ratio = lambda p, q: SequenceMatcher(None, p, q).ratio()
             score = 1.0 if c[2] == b[2] else round(max(ratio(c[2], b[2]), len(x & y) / len(x | y), ratio(" ".join(sorted(x)), " ".join(sorted(y)))), 3)
             near = not c[4] or not b[4] or abs(c[4] - b[4]) <= timedelta(days=2)
             if c[2] == b[2]:
-                found.append((0, -1.0, b[0], "title_exact"))
+                found.append((0, -score if c[2] else 0.0, b[0], "title_exact"))
             elif score >= 0.88:
                 found.append((0, -score, b[0], "title_similarity"))
             elif score >= 0.62 and x & y & known and near:
@@ -114,3 +115,49 @@ def test_payloads_that_cannot_be_read_give_no_rows(spark):
     pages = odd.withColumn("source", F.lit("s"))
     for kind in (payloads.news_page, payloads.changelog_page, payloads.breakfast, payloads.channel_posts, payloads.page_posts):
         assert kind(pages, NOW).collect() == []
+
+
+def test_untitled_and_shared_word_overlap(spark):
+    rows = [("a", "mine", "", None, None), ("b", "mine", "2026", None, None), ("c", "mine", "aa bb cc dd ee ff gg hh ii extraordinarilylongwordthatfillsthetitle", None, None), ("d", "mine", "openai", None, None),
+            ("x", "s1", " ", None, None), ("y", "s2", "", None, None), ("z", "s1", "2025", None, None), ("w", "s1", "ii hh gg ff ee dd cc bb aa", None, NOW), ("v", "s1", "openai", None, NOW)]
+    frame = spark.createDataFrame(rows, ITEMS)
+    got = {r.id: (r.match, r.best_id, r.score) for r in overlap.compared(frame.where("site_id = 'mine'"), frame).collect()}
+    assert got == {"a": ("title_exact", "x", 0.0), "c": ("title_similarity", "w", 0.9), "d": ("title_exact", "v", 1.0)}
+
+
+def test_soft_matches_of_unknown_times(spark):
+    """A named thing within two days, or whenever a time is unknown on either side."""
+    title, other = "openai plans many small data centers abroad", "openai plans some small power centers overseas"
+    at = lambda days: NOW - timedelta(days=days) if days is not None else None
+    for mine, theirs in ((0, 1), (0, 3), (0, None), (None, 0), (None, None), (1.9, 3.95)):
+        frame = spark.createDataFrame([("a", "mine", title, "https://x.example/1", at(mine)), ("b", "s", other, "https://x.example/2", at(theirs))], ITEMS)
+        got = [r.match for r in overlap.compared(frame.where("site_id = 'mine'"), frame).collect()]
+        assert got == ([] if (mine, theirs) in ((0, 3), (1.9, 3.95)) else ["entity_time_possible"])
+
+
+def test_common_words_still_lead_to_matches(spark):
+    """A word in over 400 titles; with a cap it leads nowhere, as do copies of one title."""
+    rows = [(f"n{k:03}", f"s{k % 3}", f"common{k % 2} words meet x{k} y{k} z{k} q{k}", f"https://x.example/{k}", None) for k in range(450)]
+    rows += [("a", "s1", "common0 words meet", None, None), ("b", "s2", "common0 words meet now", None, None), ("c", "s2", "common1 words meet", None, None), ("d", "s2", "common1 words meet", None, None)]
+    rows += [("u", "s9", "", "https://x.example/7", None), ("v", "s9", None, None, None), ("w", "s9", "...", "", None)]
+    items = matching.keyed(spark.createDataFrame(rows, ITEMS))
+    words = lambda r: set((r[2] or "").replace(".", " ").split())
+    def told(across, cap=None):
+        n = {}
+        for r in rows:
+            for w in words(r):
+                n[w] = n.get(w, 0) + 1
+        fits = lambda a, b: words(a) and len(words(a) & words(b)) >= 0.6 * len(words(a) | words(b)) and (cap is None or any(n[w] <= cap for w in words(a) & words(b)))
+        return {a[0] for a in rows for b in rows if (not across or a[1] != b[1]) and (a[3] and a[3] == b[3] or fits(a, b))}
+    for across, cap in ((True, None), (False, None), (True, 200), (False, 200), (True, 400)):
+        assert {r.id for r in matching.told_elsewhere(items, items, across, cap).collect()} == told(across, cap)
+    assert {"a", "b", "u"} <= told(True) and told(True, 200) == {"n007", "u"}
+
+
+def test_alike_sets_are_all_pairs(spark):
+    draw = random.Random(6)
+    sets = sorted({tuple(sorted(draw.sample("abcdefghijkl", draw.randrange(1, 8)))) for _ in range(120)})
+    frame = spark.createDataFrame([(list(s),) for s in [*sets, ()]], "words array<string>")
+    for least in (0.3, 0.6, 0.8795, 1.0):
+        got = sorted((tuple(r.words), tuple(r.other)) for r in alike_sets(frame, frame, least).collect())
+        assert got == [(a, b) for a in sets for b in sets if len({*a} & {*b}) >= least * len({*a} | {*b}) - 1e-9]

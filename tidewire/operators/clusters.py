@@ -13,16 +13,22 @@ from ..functions.text import mergeable, models, story_title, title_tokens, vendo
 from ..functions.urls import canonical
 from .dedup import compatible, similarity
 from .graph import components, written
+from .tiles import tiled
+from .titles import Title, ceiling, ceilings, may_reach, pairs_within, sets_within
 
-HOURS, LEAST, SHARED = 6.0, 0.86, 0.5
-OUT = "id string, story_id string, merged_into string, reason string, similarity double"
+HOURS, LEAST = 6.0, 0.86
+#: Similarities are rounded to four digits, so this one counts as LEAST.
+ROUNDED = LEAST - 0.00005 - 1e-9
+#: Of matching blocks at least, however many words two titles share: 0.6 of it and all of the other 0.4 make LEAST.
+FLOOR = (ROUNDED - 0.4) / 0.6
 
 
-def blocking_words(title: Column) -> Column:
-    """Title tokens, of CJK runs their pairs of neighbours: one changed character leaves most of a run's pairs."""
-    run = F.regexp_extract_all(title, F.lit(r"([\x{4e00}-\x{9fff}]{2,})"), 1)
-    pairs = F.flatten(F.transform(run, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda k: F.substring(t, k, F.lit(2)))))
-    return F.array_distinct(F.concat(F.filter(title_tokens(title), lambda t: t.rlike("^[a-z0-9]")), pairs))
+def may_be_alike(a: Title, b: Title, tokens_a: set, tokens_b: set) -> bool:
+    """False only if the similarity of two titles is below LEAST; far cheaper than the similarity."""
+    if not tokens_a or not tokens_b or not may_reach(a, b, FLOOR):
+        return False
+    shared = len(tokens_a & tokens_b) / len(tokens_a | tokens_b)
+    return ceiling(a, b) >= min(ROUNDED, (ROUNDED - 0.4 * shared) / 0.6) - 1e-9
 
 
 class _Block:
@@ -53,12 +59,12 @@ class _Block:
         return None
 
     def _by_title(self, row):
-        if not row.mergeable or row.at is None or row.at != row.at:
+        if not row.mergeable:
             return None
-        self.recent = [x for x in self.recent if row.at - x.at <= HOURS * 3.6e9]
+        if row.at == row.at:  # a time is known
+            self.recent = [x for x in self.recent if not row.at - x.at > HOURS * 3.6e9]
         for leader in self.recent:
-            union = len(row.words | leader.words)
-            if not union or len(row.words & leader.words) < SHARED * union:
+            if not may_be_alike(row.form, leader.form, row.tokens, leader.tokens):
                 continue
             if not (compatible(row.vendors, leader.vendors) and compatible(row.models, leader.models)):
                 continue
@@ -68,29 +74,52 @@ class _Block:
         return None
 
 
+def _alike_titles(titles: DataFrame) -> DataFrame:
+    """(hub, other) of titles (hub, slice, title, tokens) that are as alike as a story asks for.
+
+    Titles of one slice of six hours or of neighbouring ones are compared, and
+    those without a time with all: blocks of one slice hold its titles, those
+    of the slice after go past them, and a block of its own holds those
+    without a time. Bounds drop no pair that is alike enough.
+    """
+    never = F.lit(-(1 << 62))
+    own = F.coalesce("slice", never)
+    held = titles.select(own.alias("block"), "hub", "title", "tokens", F.lit(True).alias("own"))
+    places = F.array_distinct(F.when(F.col("slice").isNull(), F.array(never)).otherwise(F.array(F.col("slice"), F.col("slice") - 1, never)))
+    past = titles.select(F.explode(places).alias("block"), "hub", "title", "tokens", own.alias("o")).select("block", "hub", "title", "tokens", (F.col("block") == F.col("o")).alias("own"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = [Title(t) for t in left["title"]], [Title(t) for t in right["title"]]
+        x, y = [set(t) for t in left["tokens"]], [set(t) for t in right["tokens"]]
+        hubs, others, own = left["hub"].tolist(), right["hub"].tolist(), left["own"].tolist()
+        once = lambda pairs: [(i, j) for i, j in pairs if not own[i] or hubs[i] > others[j]]
+        pairs = once(pairs_within(a, b, ROUNDED))
+        left_over = {p for p, c in zip(pairs, ceilings(a, b, pairs)) if c >= ROUNDED}
+        # Matching blocks may fall short only where nearly all words are shared.
+        left_over |= {(i, j) for i, j in once(sets_within(x, y, ROUNDED)) if may_be_alike(a[i], b[j], x[i], y[j])}
+        out = []
+        for i, j in sorted(left_over):
+            # Matching blocks depend on which title comes first.
+            if max(similarity(a[i].text, b[j].text, x[i], y[j]), similarity(b[j].text, a[i].text, y[j], x[i])) >= LEAST:
+                out.append((hubs[i], others[j]))
+        return pd.DataFrame(out, columns=["hub", "other"], dtype="int64")
+
+    return tiled(past, held, compare, "hub long, other long")
+
+
 def _blocks(firsts: DataFrame) -> DataFrame:
-    """firsts with a block: rows that may meet in one story, by URL or by words within the hours, are in one.
+    """firsts with a block: rows that may meet in one story, by URL or by alike titles within the hours, are in one.
 
-    Equal titles of one stretch of time are one node; nodes meet at their
-    rarest words alone (two sets that share half of what they have share one
-    of the rarer half of each), so common words rarely become keys. Rows hang
-    on their URL and on their title as on hubs, never on each other.
+    Equal titles of one slice of time are one node, so copies of a title cost
+    nothing. Rows hang on their URL and on their title as on hubs, never on
+    each other.
     """
-    timed = firsts.where("at is not null and size(words) > 0")
-    titles = timed.groupBy("title", F.floor(F.col("at") / (HOURS * 3.6e9)).alias("slice")).agg(F.first("words").alias("words"), F.min("node").alias("hub"))
-    titles = written(titles)
-    rarity = titles.select(F.explode("words").alias("w")).groupBy("w").count()
-    ordered = titles.select("hub", "slice", F.explode("words").alias("w")).join(rarity, "w").groupBy("hub", "slice").agg(F.array_sort(F.collect_list(F.struct("count", "w"))).alias("o"))
-    n = F.size("o")
-    keys = ordered.select("hub", "slice", F.explode(F.slice(F.col("o.w"), F.lit(1), n - F.ceil(n * F.lit(SHARED)).cast("int") + 1)).alias("w"))
-    near = keys.select(F.col("hub").alias("other"), F.explode(F.array(F.col("slice"), F.col("slice") + 1)).alias("slice"), "w")
-    met = keys.join(near, ["w", "slice"]).where("hub <> other").select("hub", "other").distinct()
-    words = titles.select("hub", "words")
-    both = met.join(words, "hub").join(words.select(F.col("hub").alias("other"), F.col("words").alias("others")), "other")
-    alike = both.where(F.size(F.array_intersect("words", "others")) >= F.lit(SHARED) * F.size(F.array_union("words", "others")))
-    of_title = timed.withColumn("slice", F.floor(F.col("at") / (HOURS * 3.6e9))).join(titles.select("title", "slice", "hub"), ["title", "slice"])
+    sliced = firsts.withColumn("slice", F.floor(F.col("at") / (HOURS * 3.6e9)))
+    titled = sliced.where(F.size("tokens") > 0)
+    titles = written(titled.groupBy("title", "slice").agg(F.first("tokens").alias("tokens"), F.min("node").alias("hub")))
+    of_title = titled.join(titles.select(F.col("title").alias("t"), F.col("slice").alias("s"), "hub"), (F.col("title") == F.col("t")) & F.col("slice").eqNullSafe(F.col("s")))
     of_url = firsts.where("url <> ''").join(firsts.where("url <> ''").groupBy("url").agg(F.min("node").alias("hub")), "url")
-    links = [df.select(F.col(a).alias("a"), F.col(b).alias("b")) for df, a, b in ((alike, "hub", "other"), (of_title, "node", "hub"), (of_url, "node", "hub"))]
+    links = [df.select(F.col(a).alias("a"), F.col(b).alias("b")) for df, a, b in ((_alike_titles(titles), "hub", "other"), (of_title, "node", "hub"), (of_url, "node", "hub"))]
     blocks = components(links[0].union(links[1]).union(links[2])).withColumnRenamed("component", "block")
     return firsts.join(blocks, "node", "left").withColumn("block", F.coalesce("block", "node"))
 
@@ -101,15 +130,15 @@ def clustered(items: DataFrame) -> DataFrame:
     In the order of time (unknown first, then by id) an item joins a story
     that has its canonical URL, unless the story's first item is of the same
     site under a clearly different title; else the first story begun at most
-    six hours before by an item with a similar title and no other vendors or
-    models; else it begins a story. merged_into is the id of the story's first
-    item, its own for that one (reason "new").
+    six hours before (or whenever, if either time is unknown) by an item with a
+    similar title and no other vendors or models; else it begins a story.
+    merged_into is the id of the story's first item, its own for that one
+    (reason "new").
 
     Items alike in URL, site and title follow their first one, so only first
     ones are compared. These are cut into blocks that can't meet, and each
     block streams through a task in order, with only the stories' first items
-    held. A title pair must share half of its words (of CJK runs: of their
-    pairs of characters) to be compared; items without a time merge by URL alone.
+    held. Titles are compared in tiles behind bounds that lose no pair.
     """
     url = canonical(F.coalesce("url", F.lit("")))
     title = story_title(F.coalesce("title", F.lit("")))
@@ -118,15 +147,16 @@ def clustered(items: DataFrame) -> DataFrame:
     rows = written(rows.withColumn("own", F.when(F.col("url") == "", F.col("id")).otherwise("")))
     alike = ["url", "own", "site", "title"]
     firsts = rows.groupBy(*alike).agg(F.min(F.struct(F.coalesce("at", F.lit(-(1 << 62))), "id", "at")).alias("f")).select(*alike, "f.id", "f.at")
-    firsts = firsts.withColumns({"mergeable": mergeable(F.col("title")), "words": blocking_words(F.col("title")), "node": F.monotonically_increasing_id()})
+    firsts = firsts.withColumns({"mergeable": mergeable(F.col("title")), "tokens": title_tokens(F.col("title")), "node": F.monotonically_increasing_id()})
     firsts = _blocks(written(firsts))
-    told = firsts.select("block", "id", "site", "url", "title", "at", "mergeable", "words", title_tokens(F.col("title")).alias("tokens"), vendors(F.col("title")).alias("vendors"), models(F.col("title")).alias("models"))
+    told = firsts.select("block", "id", "site", "url", "title", F.col("at").cast("double").alias("at"), "mergeable", "tokens", vendors(F.col("title")).alias("vendors"), models(F.col("title")).alias("models"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, block = None, None
         for frame in frames:
-            for column in ("words", "tokens", "vendors", "models"):
+            for column in ("tokens", "vendors", "models"):
                 frame[column] = frame[column].map(set)
+            frame["form"] = frame["title"].map(Title)
             out = []
             for row in frame.itertuples():
                 if row.block != key:

@@ -8,34 +8,36 @@ from pyspark.sql import functions as F
 from ..functions.text import bigram_tokens
 from ..functions.urls import normalized
 from .graph import written
+from .sets import alike_sets
 
-#: Least Jaccard of two titles, and the items that a word may be in to lead to a comparison.
-LEAST, COMMON = 0.6, 400
+#: Fixed value: least Jaccard of two titles.
+LEAST = 0.6
 
 
 def keyed(items: DataFrame) -> DataFrame:
-    """(id, site_id, url, tokens) of items, URLs normalized and titles as sets of words."""
-    return items.select("id", F.coalesce("site_id", F.lit("unknown")).alias("site_id"), normalized(F.coalesce("url", F.lit(""))).alias("url"), bigram_tokens(F.col("title")).alias("tokens"))
+    """(id, site_id, url, tokens) of items, URLs normalized and titles as sets of words, sorted."""
+    return items.select("id", F.coalesce("site_id", F.lit("unknown")).alias("site_id"), normalized(F.coalesce("url", F.lit(""))).alias("url"), F.array_sort(bigram_tokens(F.coalesce("title", F.lit("")))).alias("tokens"))
 
 
-def told_elsewhere(items: DataFrame, others: DataFrame, across_sites: bool = False) -> DataFrame:
-    """(id) of keyed items that match one of the others, of another site only if `across_sites` (never with itself).
+def told_elsewhere(items: DataFrame, others: DataFrame, across_sites: bool = False, common: int | None = None) -> DataFrame:
+    """(id) of keyed items that match one of the others, of another site only if `across_sites`.
 
-    Words in over COMMON of the others lead to no comparison, though they
-    count in it: no word makes more than that many pairs for an item. URLs
-    compare by their least and greatest site and id, so a hot URL is one row.
+    Titles of the same words are one set, and a set knows its least and
+    greatest site alone, so copies of a title, and of a URL, cost one row.
+    With `common`, words in more of the others than that lead to no comparison,
+    though they count in it.
     """
-    differs = F.col("o_site") != F.col("site_id") if across_sites else F.lit(True)
-    urls = others.where("url <> ''").groupBy("url").agg(F.min("site_id").alias("a"), F.max("site_id").alias("b"))
-    same = items.where("url <> ''").join(urls, "url").where((F.col("a") != F.col("site_id")) | (F.col("b") != F.col("site_id")) if across_sites else F.lit(True)).select("id")
-    words = others.select(F.col("id").alias("o_id"), F.col("site_id").alias("o_site"), F.explode("tokens").alias("t"))
-    rare = words.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") <= COMMON).select("t")
-    pairs = items.select("id", "site_id", F.explode("tokens").alias("t")).join(words.join(rare, "t"), "t").where(differs)
-    if across_sites:
-        pairs = pairs.where("o_id <> id")
-    pairs = pairs.select("id", "o_id").distinct()
-    both = pairs.join(items.select("id", "tokens"), "id").join(others.select(F.col("id").alias("o_id"), F.col("tokens").alias("o_tokens")), "o_id")
-    alike = both.where(F.size(F.array_intersect("tokens", "o_tokens")) >= F.lit(LEAST) * F.size(F.array_union("tokens", "o_tokens"))).select("id")
+    spread = [F.min("site_id").alias("a"), F.max("site_id").alias("b")]
+    elsewhere = (F.col("a") != F.col("site_id")) | (F.col("b") != F.col("site_id")) if across_sites else F.lit(True)
+    same = items.where("url <> ''").join(others.where("url <> ''").groupBy("url").agg(*spread), "url").where(elsewhere).select("id")
+    held = written(others.where(F.size("tokens") > 0).groupBy(F.col("tokens").alias("other")).agg(*spread, F.count("*").alias("n")))
+    pairs = alike_sets(items.select(F.col("tokens").alias("words")).distinct(), held.select(F.col("other").alias("words")), LEAST)
+    if common is not None:
+        rare = held.select("n", F.explode("other").alias("w")).groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") <= common).select("w")
+        told = pairs.select("words", "other", F.explode(F.array_intersect("words", "other")).alias("w"))
+        pairs = told.join(rare, "w", "left_semi").select("words", "other").distinct()
+    met = pairs.join(held, "other").groupBy("words").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    alike = items.join(met, F.col("tokens") == F.col("words")).where(elsewhere).select("id")
     return same.union(alike).distinct()
 
 

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from ..functions.text import overlap_entities, overlap_title, stripped, title_tokens
 from ..functions.urls import normalized
 from .graph import written
+from .sets import alike_sets
+from .tiles import tiled
+from .titles import Title, ceilings, pairs_within, sets_within
 
 #: Scores from which titles are the same, or may be, and the days that may lie between the latter.
 SAME, MAYBE, DAYS = 0.88, 0.62, 2
-#: Share of words that two titles have in common at least to be compared.
-SHARED = 0.3
+#: Scores are rounded to three digits, so these count as SAME and MAYBE.
+SAME_ROUNDED, MAYBE_ROUNDED = SAME - 0.0005 - 1e-9, MAYBE - 0.0005 - 1e-9
 
 
 def classified(candidates: DataFrame, baseline: DataFrame, least: float = 0.88) -> DataFrame:
@@ -24,10 +27,8 @@ def classified(candidates: DataFrame, baseline: DataFrame, least: float = 0.88)
 
     url_exact before title_exact before title_similarity (Jaccard of title
     tokens). Both exact stages are equi-joins on the distinct keys of the
-    baseline; only what they leave goes on to tokens. There a pair meets at its
-    rarest tokens alone: two sets with a Jaccard of `least` share one of each
-    other's first n - ceil(least n) + 1 tokens by rarity, so common tokens
-    rarely become keys and no pair is lost.
+    baseline; only what they leave goes on to tokens, as sets that meet at
+    their rarest ones.
     """
     base = written(baseline.select(F.col("id").alias("base_id"), F.col("site_id").alias("base_site"), normalized(F.coalesce("url", F.lit(""))).alias("url_key"), F.lower("title").alias("title_key"), title_tokens(F.coalesce("title", F.lit(""))).alias("base_tokens")))
     mine = written(candidates.select("id", "site_id", normalized(F.coalesce("url", F.lit(""))).alias("url_key"), F.lower("title").alias("title_key"), title_tokens(F.coalesce("title", F.lit(""))).alias("tokens")))
@@ -45,16 +46,12 @@ def classified(candidates: DataFrame, baseline: DataFrame, least: float = 0.88)
     rest = mine.join(urls, "id", "left_anti")
     titles = written(exact(rest, "title_key", "title_exact"))
     rest = written(rest.join(titles, "id", "left_anti"))
-    rarity = base.select(F.explode("base_tokens").alias("t")).union(rest.select(F.explode("tokens").alias("t"))).groupBy("t").count()
-
-    def prefixes(df: DataFrame, key: str, tokens: str) -> DataFrame:
-        ordered = df.select(key, F.explode(tokens).alias("t")).join(rarity, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "t"))).alias("o"))
-        n = F.size("o")
-        return ordered.select(key, F.explode(F.slice(F.col("o.t"), F.lit(1), n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("t"))
-
-    pairs = prefixes(rest, "id", "tokens").join(prefixes(base, "base_id", "base_tokens"), "t").select("id", "base_id").distinct()
-    both = pairs.join(rest, "id").join(base.select("base_id", "base_site", "base_tokens"), "base_id").where("base_site is distinct from site_id")
-    near = both.withColumn("similarity", F.size(F.array_intersect("tokens", "base_tokens")) / F.size(F.array_union("tokens", "base_tokens"))).where(F.col("similarity") >= least)
+    sets = lambda df, c: df.select(F.array_sort(c).alias("words")).distinct()
+    alike_ = alike_sets(sets(rest, "tokens"), sets(base, "base_tokens"), least)
+    # Of each set the smallest id of each site goes on.
+    ids = base.groupBy(F.array_sort("base_tokens").alias("other"), "base_site").agg(F.min("base_id").alias("base_id"))
+    shared = F.size(F.array_intersect("words", "other")) / F.size(F.array_union("words", "other"))
+    near = alike_.withColumn("similarity", shared).join(ids, "other").join(rest, F.col("words") == F.array_sort("tokens")).where("base_site is distinct from site_id")
     best = near.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "base_id")).alias("b"))
     similar = best.select("id", F.lit("title_similarity").alias("match"), F.col("b.base_id").alias("best_id"), F.round(-F.col("b.s"), 3).alias("similarity"))
     sure = urls.union(titles).withColumn("similarity", F.lit(1.0))
@@ -76,30 +73,63 @@ def alike(a: str, b: str) -> float:
     return round(max(SequenceMatcher(None, a, b).ratio(), len(x & y) / len(x | y), SequenceMatcher(None, " ".join(sorted(x)), " ".join(sorted(y))).ratio()), 3)
 
 
-def _title_pairs(mine: DataFrame, base: DataFrame) -> DataFrame:
-    """(normal, base_normal, score) of distinct titles that share SHARED of their words and score MAYBE or more.
+def _sorted_words(title: str) -> str:
+    return " ".join(sorted(set(title.split())))
 
-    Titles meet at their rarest words alone, as many as leave no such pair out.
-    """
-    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: F.length(w) > 1)
-    left, right = (df.select(c).distinct().where(F.size(words(F.col(c))) > 0) for df, c in ((mine, "normal"), (base, "base_normal")))
-    rarity = left.select(F.explode(words(F.col("normal"))).alias("w")).union(right.select(F.explode(words(F.col("base_normal"))).alias("w"))).groupBy("w").count()
 
-    def rarest(df: DataFrame, key: str) -> DataFrame:
-        ordered = df.select(key, F.explode(words(F.col(key))).alias("w")).join(rarity, "w").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "w"))).alias("o"))
-        n = F.size("o")
-        return ordered.select(key, F.explode(F.slice(F.col("o.w"), F.lit(1), n - F.ceil(n * F.lit(SHARED)).cast("int") + 1)).alias("w"))
+def _title_pairs(mine: DataFrame, base: DataFrame) -> DataFrame:
+    """(normal, base_normal, score) of all distinct titles that may make a match.
 
-    met = rarest(left, "normal").join(rarest(right, "base_normal"), "w").select("normal", "base_normal").distinct()
-    a, b = words(F.col("normal")), words(F.col("base_normal"))
-    met = met.where(F.size(F.array_intersect(a, b)) >= F.lit(SHARED) * F.size(F.array_union(a, b)))
+    What scores SAME has alike blocks in the titles or in their sorted words,
+    and so alike lengths (blocks of lengths and their neighbours, screened by
+    bounds), or alike sets of words. What scores less counts only if both name
+    a known thing within some days: blocks of such a name and a stretch of
+    days (and one for unknown times), screened by the bounds at MAYBE.
+    """
+    # Lengths of a pair of the ratio r differ by a factor of (2 - r) / r at most: they lie in one band or in neighbouring ones.
+    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit((2 - SAME_ROUNDED) / SAME_ROUNDED)) + 1e-9).cast("long")
+    in_order = F.array_join(F.array_sort(F.array_distinct(F.split("normal", " "))), " ")
+    days = F.floor(F.unix_micros("at") / (DAYS * 86_400_000_000)).cast("long")
+    left, right = mine.select("normal", "at"), base.select(F.col("base_normal").alias("normal"), F.col("base_at").alias("at"))
+
+    def blocks(df: DataFrame, around: bool) -> DataFrame:
+        near = (lambda c: F.explode(F.array(c - 1, c, c + 1))) if around else (lambda c: F.explode(F.array(c)))
+        block = lambda kind, *parts: F.concat_ws(":", F.lit(str(kind)), *(p.cast("string") for p in parts)).alias("block")
+        titles = df.where("normal <> ''").select("normal").distinct()
+        by_size = [titles.select("normal", near(band(c)).alias("k")).select(block(kind, F.col("k")), F.lit(kind).alias("kind"), "normal") for kind, c in ((0, F.col("normal")), (1, in_order))]
+        named = df.where("normal <> ''").select("normal", days.alias("d")).distinct().select("normal", "d", F.explode(overlap_entities(F.col("normal"))).alias("e"))
+        dated = named.where("d is not null").select("normal", "e", near(F.col("d")).alias("k")).select(block(2, F.col("e"), F.col("k")), F.lit(2).alias("kind"), "normal")
+        # Unknown times meet all others: those of the one side in a block for all of the other.
+        mark = lambda m: block(2, F.col("e"), F.lit(m))
+        any_time = named.select(mark("left unknown" if not around else "right unknown"), F.lit(2).alias("kind"), "normal")
+        unknown = named.where("d is null").select(mark("right unknown" if not around else "left unknown"), F.lit(2).alias("kind"), "normal")
+        return by_size[0].union(by_size[1]).union(dated).union(any_time).union(unknown).distinct()
+
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        kind, a, b = int(one["kind"].iloc[0]), one["normal"].tolist(), two["normal"].tolist()
+        pairs = set()
+        for turned in [False] if kind == 0 else [True] if kind == 1 else [False, True]:
+            x, y = ([Title(_sorted_words(t) if turned else t) for t in ts] for ts in (a, b))
+            least = MAYBE_ROUNDED if kind == 2 else SAME_ROUNDED
+            near = list(pairs_within(x, y, least))
+            pairs |= {(a[i], b[j]) for (i, j), c in zip(near, ceilings(x, y, near)) if c >= least}
+        if kind == 2:  # what blocks don't tell, shared words may
+            pairs |= {(a[i], b[j]) for i, j in sets_within([set(t.split()) for t in a], [set(t.split()) for t in b], MAYBE_ROUNDED)}
+        return pd.DataFrame(sorted(pairs), columns=["normal", "base_normal"], dtype="str")
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame["score"] = [alike(x, y) for x, y in zip(frame["normal"], frame["base_normal"])]
             yield frame[frame["score"] >= MAYBE]
 
-    return met.mapInPandas(score, "normal string, base_normal string, score double")
+    met = tiled(blocks(left, True), blocks(right, False), compare, "normal string, base_normal string")
+    # Words of a title are told apart in its text, which is why texts go with their sets.
+    sets = lambda df: df.where("normal <> ''").select(F.array_sort(F.array_distinct(F.split("normal", " "))).alias("words"), "normal").distinct()
+    ours, theirs = sets(left), sets(right).select(F.col("words").alias("other"), F.col("normal").alias("base_normal"))
+    shared = alike_sets(ours.select("words").distinct(), theirs.select(F.col("other").alias("words")).distinct(), SAME_ROUNDED)
+    met = met.union(shared.join(ours, "words").join(theirs, "other").select("normal", "base_normal")).distinct()
+    none = mine.sparkSession.createDataFrame([("", "", 0.0)], "normal string, base_normal string, score double")
+    return met.mapInPandas(score, "normal string, base_normal string, score double").union(none)
 
 
 def compared(candidates: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -118,12 +148,18 @@ def compared(candidates: DataFrame, baseline: DataFrame) -> DataFrame:
     # Of each URL the smallest id of each site goes on, so a hot URL makes a row a site.
     urls = mine.where("url <> ''").join(ids, (F.col("url") == F.col("base_url")) & (F.col("site_id") != F.col("base_site"))).groupBy("id").agg(F.min("i").alias("best_id"))
     sure = written(urls.select("id", F.lit("url_exact").alias("match"), "best_id", F.lit(1.0).alias("score"), F.lit(True).alias("hard")))
-    rest = mine.join(sure, "id", "left_anti")
-    both = rest.join(_title_pairs(rest, base), "normal").join(base, "base_normal").where("site_id <> base_site")
+    rest = written(mine.join(sure, "id", "left_anti"))
+    pairs = written(_title_pairs(rest, base))
+    exact = (F.col("normal") == F.col("base_normal")) & (F.col("low") == F.col("base_low"))
+    # Of each title the smallest id of each site goes on, so a hot title makes a row a site.
+    ids = base.groupBy("base_normal", "base_low", "base_site").agg(F.min("base_id").alias("base_id"))
+    same = rest.join(pairs.where((F.col("score") >= SAME) | (F.col("normal") == "")), "normal").join(ids, "base_normal").where("site_id <> base_site")
+    same = same.withColumn("match", F.when(exact, "title_exact").when(F.col("score") >= SAME, "title_similarity"))
     named = F.size(F.array_intersect(overlap_entities(F.col("normal")), overlap_entities(F.col("base_normal")))) > 0
     near = F.coalesce(F.abs(F.unix_micros("at") - F.unix_micros("base_at")) <= DAYS * 86_400_000_000, F.lit(True))
-    match = F.when((F.col("normal") == F.col("base_normal")) & (F.col("low") == F.col("base_low")), "title_exact").when(F.col("score") >= SAME, "title_similarity").when(named & near, "entity_time_possible")
-    found = both.withColumn("match", match).where("match is not null").withColumn("hard", F.col("match") != "entity_time_possible")
+    maybe = rest.join(pairs.where((F.col("score") < SAME) & (F.col("normal") != "") & named), "normal").join(base, "base_normal").where("site_id <> base_site").where(near).withColumn("match", F.lit("entity_time_possible"))
+    columns = ["id", "base_id", "score", "match"]
+    found = same.select(*columns).union(maybe.select(*columns)).where("match is not null").withColumn("hard", F.col("match") != "entity_time_possible")
     best = found.groupBy("id").agg(F.min(F.struct((~F.col("hard")).alias("soft"), (-F.col("score")).alias("s"), F.col("base_id").alias("best_id"), "match")).alias("b"))
     return sure.union(best.select("id", "b.match", "b.best_id", -F.col("b.s"), ~F.col("b.soft")))
 

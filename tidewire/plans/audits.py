@@ -27,15 +27,12 @@ _IMPORTANCE = STORIES_SQL.split("ranked as (")[1].split(" as score")[0].split("s
 SOURCE_QUALITY_SQL = f"""
 with {STORIES_SQL}, k as (
   select id, site_id, url, ai_is_related as related, {_IMPORTANCE} as importance, {_AUDIT_TOKENS} as w from scored
-), kw as (select id, site_id, unnest(w) as t from k), rare as (select t from kw group by t having count(*) <= 400), rare_official as (select t from kw where site_id = 'official_ai' group by t having count(*) <= 400
-), pairs as (
-  select distinct a.id, b.id as o from kw a join kw b using (t) join rare using (t) where a.site_id <> b.site_id
-), pairs_official as (
-  select distinct a.id, b.id as o from kw a join kw b using (t) join rare_official using (t) where b.site_id = 'official_ai'
+), kw as (select id, site_id, len(w) as n, unnest(w) as t from k), pairs as (
+  select a.id, a.site_id, b.id as o, b.site_id as o_site from kw a join kw b using (t) group by a.id, a.site_id, b.id, b.site_id, a.n, b.n having count(*) >= 0.6 * (a.n + b.n - count(*))
 ), near as (
-  select p.id from pairs p join k a on a.id = p.id join k b on b.id = p.o where len(list_intersect(a.w, b.w)) >= 0.6 * len(list_distinct(list_concat(a.w, b.w)))
+  select id from pairs where site_id <> o_site
 ), near_official as (
-  select p.id from pairs_official p join k a on a.id = p.id join k b on b.id = p.o where len(list_intersect(a.w, b.w)) >= 0.6 * len(list_distinct(list_concat(a.w, b.w)))
+  select id from pairs where o_site = 'official_ai'
 ), elsewhere as (
   select id from near union select a.id from k a join k b on a.url = b.url and a.site_id <> b.site_id
 ), hit as (
