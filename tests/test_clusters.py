@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.functions.vocabulary import MODEL_PATTERN, TITLE_STOPWORDS, VENDOR_ALIASES
 from tidewire.operators import clusters as C
@@ -172,3 +173,25 @@ def test_brief_spreads_over_sources_and_skips_rewrites(spark):
     assert got == plain_brief(rows, 20)
     assert "w1" in got and "w2" not in got and len(got) == 20
     assert C.diverse(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_brief_of_rewrites_matches_a_plain_loop(spark, seed):
+    """Few titles told again and again by few sources, and scores that tie: rounds end early and begin again."""
+    draw = random.Random(seed)
+    titles = ["agents learn to plan longer tasks number " + "abcdefgh"[k] * 9 for k in range(8)]
+    rows = [(f"r{k:03}", draw.choice(titles) + draw.choice(["", " now", " today"]), f"src{draw.randrange(4)}", round(0.8 + draw.randrange(12) / 100, 2)) for k in range(150)]
+    frame = spark.createDataFrame(rows, "story_id string, title string, source string, score double").repartition(3)
+    got = [r.story_id for r in sorted(C.diverse(frame, 8).collect(), key=lambda r: r.place)]
+    assert got == plain_brief(rows, 8)
+
+
+def test_the_brief_brings_few_rows_to_the_driver(spark, monkeypatch):
+    """A hot source with near-equal scores: a fixed number of rows a round, whatever the table's size."""
+    brought = []
+    heads = C._heads
+    monkeypatch.setattr(C, "_heads", lambda *a: brought.append(heads(*a).count()) or heads(*a))
+    n = F.col("id")
+    stories = spark.range(200_000).select(n.cast("string").alias("story_id"), F.concat(F.lit("story of things "), F.sha1(n.cast("string"))).alias("title"), F.when(n % 10 > 0, "hot").otherwise(F.concat(F.lit("s"), n % 3000)).alias("source"), (F.lit(0.9) - n / 1e9).alias("score"))
+    got = C.diverse(stories, 20).collect()
+    assert len(got) == 20 and all(n <= 400 for n in brought) and len(brought) <= 3

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mergeable, models, story_title, title_tokens, vendors
@@ -185,30 +185,73 @@ def merge_log(placed: DataFrame) -> DataFrame:
     return placed.where("reason <> 'new'").select("story_id", F.col("id").alias("item_id"), "reason", F.round("similarity", 4).alias("similarity"))
 
 
+def _open_to(told: DataFrame, taken: list) -> DataFrame:
+    """told without the taken stories and the rewrites of their titles; only titles that share two fifths of a taken one's words go to Python."""
+    if not taken:
+        return told
+    told = told.where(~F.col("story_id").isin([x.story_id for x in taken]))
+    shares = F.lit(False)
+    for x in taken:
+        own = F.array(*map(F.lit, x.tokens)) if x.tokens else F.array().cast("array<string>")
+        shares = shares | (F.size(F.array_intersect("tokens", own)) >= F.lit(0.4) * F.size(F.array_union("tokens", own)))
+    doubtful = F.col("mergeable") & shares
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[not any(_repeats(row, x) for x in taken) for row in frame.itertuples()]]
+
+    return told.where(~doubtful).union(told.where(doubtful).mapInPandas(check, told.schema))
+
+
+def _heads(told: DataFrame, per_source: dict[str, int], most: int, penalty: float) -> DataFrame:
+    """The `most` best stories of each of the `most` sources whose best one counts most, as far as they count now.
+
+    Ranks are cut in each task before the shuffle, so a hot source sends `most` rows a task.
+    """
+    worth = F.col("score")
+    for source, n in per_source.items():
+        worth = F.when(F.col("source") == source, F.col("score") - F.lit(penalty * n)).otherwise(worth)
+    order = [F.desc("score"), "t", "story_id"]
+    ranked = told.withColumn("worth", worth).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("r") <= most)
+    first = ranked.where("r = 1").orderBy(F.desc("worth"), *order).limit(most).select("source")
+    return ranked.join(F.broadcast(first), "source")
+
+
 def diverse(stories: DataFrame, most: int = 20, penalty: float = 0.03) -> DataFrame:
     """(story_id, place): the best stories (story_id, title, source, score), one at a time.
 
     A story's score counts less by `penalty` for each story already taken from
     its source; one whose title nearly repeats a taken one's is passed over.
-    Rows come to the driver in the order of their score, and only until no
-    later row can win: some more than `most` of them.
+    A round brings the heads of the sources that can win to the driver, at most
+    `most` rows of `most` sources, and takes what they settle; rewrites of
+    taken titles are dropped where the stories are before the next round. Each
+    round takes one story at least, so there are `most` rounds at most, and one
+    or two where few titles repeat.
     """
     title = story_title(F.coalesce("title", F.lit("")))
     told = stories.select("story_id", F.coalesce("title", F.lit("")).alias("t"), title.alias("title"), F.coalesce("source", F.lit("")).alias("source"), F.col("score").cast("double").alias("score"))
-    told = told.select("*", title_tokens(F.col("title")).alias("tokens"), mergeable(F.col("title")).alias("mergeable"), vendors(F.col("title")).alias("vendors"), models(F.col("title")).alias("models"))
-    coming = told.orderBy(F.desc("score"), "t", "story_id").toLocalIterator()
-    ahead, left, taken, per_source = next(coming, None), [], [], {}
-    while len(taken) < most and (left or ahead):
-        worth = lambda x: x.score - penalty * per_source.get(x.source, 0)
-        best = max(left, key=worth, default=None)  # the first of equals
-        if ahead and (best is None or worth(best) < ahead.score):
-            left.append(ahead)
-            ahead = next(coming, None)
-            continue
-        left.remove(best)
-        if not any(_repeats(best, x) for x in taken):
-            taken.append(best)
-            per_source[best.source] = per_source.get(best.source, 0) + 1
+    told = written(told.select("*", title_tokens(F.col("title")).alias("tokens"), mergeable(F.col("title")).alias("mergeable"), vendors(F.col("title")).alias("vendors"), models(F.col("title")).alias("models")))
+    taken, per_source = [], {}
+    while len(taken) < most:
+        wanted = most - len(taken)
+        heads: dict[str, list] = {}
+        for x in sorted(_heads(_open_to(told, taken), per_source, wanted, penalty).collect(), key=lambda x: x.r):
+            heads.setdefault(x.source, []).append(x)
+        if not heads:
+            break
+        place = lambda x: (-(x.score - penalty * per_source.get(x.source, 0)), -x.score, x.t, x.story_id)
+        # Sources that were not brought may hold what comes after this.
+        last = max(place(own[0]) for own in heads.values()) if len(heads) == wanted else None
+        left, began, short = {k: list(v) for k, v in heads.items()}, len(taken), False
+        while len(taken) < most and not short and any(left.values()):
+            best = min((own[0] for own in left.values() if own), key=place)
+            if last is not None and place(best) > last and len(taken) > began:
+                break
+            left[best.source].pop(0)
+            if not any(_repeats(best, x) for x in taken):
+                taken.append(best)
+                per_source[best.source] = per_source.get(best.source, 0) + 1
+            short = not left[best.source] and len(heads[best.source]) == wanted
     return stories.sparkSession.createDataFrame([(x.story_id, n + 1) for n, x in enumerate(taken)], "story_id string, place int")
 
 
