@@ -60,10 +60,12 @@ def brute(rows):
     return {r[0] for r in rows} - gone
 
 
+WORDS = ["river", "stone", "market", "cloudy", "senate", "passes", "billing", "reform", "after", "debate", "winter", "storm"]
+
+
 def test_near_duplicates_as_brute_force(spark):
     rng = random.Random(3)
-    words = ["river", "stone", "market", "cloudy", "senate", "passes", "billing", "reform", "after", "debate", "winter", "storm"]
-    base = [" ".join(rng.sample(words, 6)) for _ in range(12)]
+    base = [" ".join(rng.sample(WORDS, 6)) for _ in range(12)]
     rows = []
     for k in range(400):
         title = rng.choice(base).split()
@@ -72,9 +74,20 @@ def test_near_duplicates_as_brute_force(spark):
         rows.append((f"i{k:03d}", rng.choice(["p", "q"]), " ".join(title), NOW + timedelta(minutes=rng.randrange(0, 6000)), rng.choice([0.5, 0.7]), rng.choice([1, 2])))
     got = {r.id for r in dedup.without_near_duplicates(item(spark, rows)).collect()}
     assert got == brute(rows) and len(got) < 400
+    # Slices of a few rows whose guesses fail, one after the other, end alike.
+    for size, warm in ((20, 0), (7, 3), (60, 20)):
+        assert {r.id for r in dedup.without_near_duplicates(item(spark, rows), slice_rows=size, warm=warm).collect()} == got
     assert dedup.without_near_duplicates(item(spark, [("n", None, None, None, None, None)])).count() == 1
 
 
+def test_near_duplicates_of_a_busy_site_spread_over_tasks(spark):
+    n = F.col("id")
+    rows = spark.range(30_000).select(n.cast("string").alias("id"), F.lit("p").alias("site_id"), F.regexp_replace(F.sha1(F.floor(n / 3).cast("string")), "(.{8})", "$1 ").alias("title"), (F.lit(NOW) + F.make_dt_interval(secs=n * 2)).alias("event_time"), F.lit(0.5).alias("ai_score"), F.lit(1).alias("source_tier_rank"))
+    sliced = dedup._sliced(rows.select(F.col("site_id").alias("site"), F.unix_micros("event_time").alias("at")), 1000)
+    assert sliced.groupBy("slice").count().agg(F.max("count"), F.count("*")).first()[:] <= (1030, 31)
+    assert dedup.without_near_duplicates(rows, slice_rows=1000).count() == 10_000
+
+
 def test_distinct_items_prefers_tier_then_time(spark):
     rows = [("a", "zeli", "Same title", NOW, 0.5, 5), ("b", "official_ai", "Same title ", NOW - timedelta(days=1), 0.5, 0), ("c", "zeli", "Same title", NOW, 0.5, 5), ("d", "zeli", "Other", None, None, None)]
     items = item(spark, rows).withColumn("url", F.when(F.col("id") == "c", "https://y.example/").otherwise("https://x.example/?utm_a=1"))

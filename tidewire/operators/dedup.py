@@ -15,6 +15,7 @@ from ..functions.scores import site_rank, with_creator_ranking, with_relevance,
 from ..functions.text import displayed_source, mergeable, models, repaired, story_title, stripped, title_tokens, vendors
 from ..functions.urls import host_of, normalized
 from ..functions.vocabulary import CREATOR_SITES
+from .graph import written
 
 
 def tier_order(site: Column | None = None) -> list[Column]:
@@ -76,46 +77,102 @@ class _Kept:
         return None
 
 
-def without_near_duplicates(items: DataFrame, hours: float = 6.0, least: float = 0.9, look_back: int = 60) -> DataFrame:
+#: Rows of a slice of a site (a minute is never cut), and rows before a slice that its look-back is guessed from.
+SLICE, WARM = 4096, 240
+
+
+def _sliced(rows: DataFrame, size: int) -> DataFrame:
+    """rows with a slice: numbers from 1 for each site, in the order of time, of about `size` rows."""
+    rows = rows.withColumn("minute", F.floor(F.col("at") / 6e7))
+    before = Window.partitionBy("site").orderBy("minute")
+    minutes = rows.groupBy("site", "minute").count()
+    minutes = minutes.withColumn("part", F.floor(F.coalesce(F.sum("count").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / size))
+    numbered = minutes.select("site", "minute", F.dense_rank().over(Window.partitionBy("site").orderBy("part")).alias("slice"))
+    return rows.join(numbered, ["site", "minute"]).drop("minute")
+
+
+def without_near_duplicates(items: DataFrame, hours: float = 6.0, least: float = 0.9, look_back: int = 60, slice_rows: int = SLICE, warm: int = WARM) -> DataFrame:
     """items without rewrites of a title on the same site within some hours.
 
     Each row is compared with the last `look_back` rows kept of its site,
     newest first; the better by tier, score and earlier time stays, in the
-    place of the kept one. Nothing reaches across a pause longer than `hours`,
-    so a site is cut at its pauses into runs that go to tasks by themselves; a
-    run streams through its task with at most `look_back` rows held. Rows
-    without an event_time are all kept. items: id, site_id, title, event_time,
-    source_tier_rank, ai_score.
+    place of the kept one. Rows without an event_time are all kept. items: id,
+    site_id, title, event_time, source_tier_rank, ai_score.
+
+    A site is cut into slices that go to tasks by themselves. What a slice
+    looks back on is first guessed, by running the rows just before it; each
+    slice tells what it was run on and what it leaves. Slices that were run on
+    something else than what the one before leaves are run again on that, until
+    none is: the same as one pass over the site. Guesses rarely fail, as 60
+    kept rows make what came before irrelevant; a slice holds at most that many
+    rows beside a batch.
     """
     title = story_title(F.coalesce("title", F.lit("")))
+    kind_of_id = items.schema["id"].dataType.simpleString()
     rows = items.where("event_time is not null and id is not null").select(
-        "id", F.coalesce("site_id", F.lit("")).alias("site"), "event_time", F.unix_micros("event_time").alias("at"), title.alias("words"),
+        F.col("id").cast("string").alias("id"), F.coalesce("site_id", F.lit("")).alias("site"), F.unix_micros("event_time").alias("at"), title.alias("words"),
         title_tokens(title).alias("tokens"), mergeable(title).alias("mergeable"), vendors(title).alias("vendors"), models(title).alias("models"),
-        F.coalesce("source_tier_rank", F.lit(99)).alias("rank"), F.coalesce(F.col("ai_score").cast("double"), F.lit(0.0)).alias("score"),
+        F.coalesce("source_tier_rank", F.lit(99)).cast("int").alias("rank"), F.coalesce(F.col("ai_score").cast("double"), F.lit(0.0)).alias("score"),
     )
-    # A slice of `hours` without any row is a pause; slices are few, so finding pauses sorts no items.
-    rows = rows.withColumn("slice", F.floor(F.col("at") / (hours * 3.6e9)))
-    before = Window.partitionBy("site").orderBy("slice")
-    slices = rows.select("site", "slice").distinct().withColumn("pause", F.col("slice") - F.lag("slice").over(before) > 1)
-    runs = rows.join(slices.withColumn("run", F.sum(F.coalesce(F.col("pause"), F.lit(False)).cast("int")).over(before)).drop("pause"), ["site", "slice"])
-
-    def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, None
+    rows = written(_sliced(rows, slice_rows))
+    carried = [c for c in rows.columns if c not in ("site", "slice")]
+    state = "array<struct<" + ",".join(f"{c}:{rows.schema[c].dataType.simpleString()}" for c in carried) + ">>"
+    reach = hours * 3.6e9
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, kept, used, gone, began, out = None, None, None, [], 0, []
+
+        def told():
+            return (*at, began, used, gone, [{c: list(v) if isinstance(v := getattr(r, c), set) else v for c in carried} for r in kept.rows])
+
         for frame in frames:
             for column in ("tokens", "vendors", "models"):
                 frame[column] = frame[column].map(set)
-            gone = []
-            for row in frame.itertuples():
-                if (row.site, row.run) != key:
-                    key, kept = (row.site, row.run), _Kept(hours, least, look_back)
-                if (lost := kept.loser(row)) is not None:
+            for row in frame.itertuples(index=False):
+                if (row.site, row.slice) != at:
+                    if used is not None:
+                        out.append(told())
+                    at, kept, used, gone = (row.site, row.slice), _Kept(hours, least, look_back), None, []
+                if row.step == 0:
+                    kept.rows.append(row)
+                    continue
+                if row.step == 2 and used is None:
+                    began = row.at
+                    used = [r.id if began - r.at <= reach else "" for r in kept.rows]
+                    used = used[next((k for k, x in enumerate(used) if x), len(used)) :]
+                lost = kept.loser(row)
+                if lost is not None and row.step == 2:
                     gone.append(lost)
-            if gone:
-                yield pd.DataFrame({"id": pd.Series(gone, dtype=frame["id"].dtype)})
-
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartition(parts, "site", "run").sortWithinPartitions("site", "run", "at", "id")
-    return items.join(dealt.mapInPandas(drop, f"id {items.schema['id'].dataType.simpleString()}").distinct(), "id", "left_anti")
+            if out:
+                yield pd.DataFrame(out, columns=["site", "slice", "began", "used", "gone", "left"])
+                out = []
+        if used is not None:
+            yield pd.DataFrame([told()], columns=["site", "slice", "began", "used", "gone", "left"])
+
+    def passed(before: DataFrame, own: DataFrame) -> DataFrame:
+        """What each slice was run on, drops and leaves. step: 0 what the look-back holds, 1 rows it is guessed from, 2 the slice's own."""
+        both = before.unionByName(own.withColumns({"step": F.lit(2), "place": F.lit(0)}))
+        dealt = both.repartition(parts, "site", "slice").sortWithinPartitions("site", "slice", "step", "place", "at", "id")
+        return written(dealt.mapInPandas(run, f"site string, slice int, began long, used array<string>, gone array<string>, left {state}"))
+
+    last = F.row_number().over(Window.partitionBy("site", "slice").orderBy(F.desc("at"), F.desc("id")))
+    ahead = rows.withColumn("n", last).where(F.col("n") <= warm).withColumn("slice", F.col("slice") + 1).withColumns({"step": F.lit(1), "place": F.lit(0)}).drop("n")
+    slices = rows.select("site", "slice").distinct()
+    done = passed(ahead.join(slices, ["site", "slice"], "left_semi"), rows)
+    while True:
+        leaves = done.select("site", (F.col("slice") + 1).alias("slice"), F.col("left").alias("held"))
+        near = F.transform("held", lambda r: F.when(F.col("began") - r["at"] <= reach, r["id"]).otherwise(""))
+        first = F.array_position(F.transform(near, lambda x: x != ""), True)
+        due = F.when(first > 0, F.slice(near, first.cast("int"), F.size(near))).otherwise(F.array().cast("array<string>"))
+        wrong = written(done.join(leaves, ["site", "slice"]).where(due != F.col("used")).select("site", "slice", "held"))
+        if not wrong.limit(1).count():
+            break
+        held = wrong.select("site", "slice", F.posexplode("held").alias("place", "r")).select("site", "slice", "r.*", "place", F.lit(0).alias("step"))
+        again = passed(held, rows.join(wrong.select("site", "slice"), ["site", "slice"], "left_semi"))
+        done = written(done.join(wrong.select("site", "slice"), ["site", "slice"], "left_anti").unionByName(again))
+    gone = done.select(F.explode("gone").alias("id")).select(F.col("id").cast(kind_of_id)).distinct()
+    return items.join(gone, "id", "left_anti")
 
 
 def creator_items(archive: DataFrame, now: datetime, days: int = 7, related_only: bool = False) -> DataFrame:
