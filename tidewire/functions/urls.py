@@ -70,3 +70,8 @@ def public(url: Column) -> Column:
     sensitive = lambda k: F.regexp_replace(F.lower(F.coalesce(F.try_url_decode(k), k)), "[^a-z0-9]", "").isin(SENSITIVE_QUERY_KEYS)
     shown = lambda p: _assembled(p, F.regexp_replace(F.lower(p["host"]), r"^.*@", ""), _query(p["query"], lambda k: ~sensitive(k)))
     return let(let(stripped(url), _parts), lambda p: F.when(F.lower(p["scheme"]).isin("http", "https"), shown(p)).otherwise(""))
+
+
+def joined(base: str, href: Column) -> Column:
+    """A link as it stands on a page of `base` (scheme and host, no path)."""
+    return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(F.lit(base.split("//")[0]), href)).when(href == "", F.lit(base)).otherwise(F.concat(F.lit(base), F.when(F.startswith(href, F.lit("/")), "").otherwise("/"), href))
