@@ -8,8 +8,10 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire.operators import sanitize
 from tidewire.sources import embedded as E
 from tidewire.sources import markup as M
+from tidewire.sources import payloads as P
 from tidewire.sources import wiki as W
 
 NOW = datetime(2026, 1, 2, 20, tzinfo=timezone.utc)
@@ -153,3 +155,28 @@ def test_elements_of_odd_markup(spark):
     assert rows.where("page = 1 and tag = 'a'").first().attributes == {"href": "1"}
     assert rows.where("page = 4").agg(F.max("depth")).first()[0] == 3000 and rows.where("page in (2, 3)").count() == 0
     assert {r.tag for r in M.elements(spark.createDataFrame([(1, html)], "page int, html string"), ["a", "li"]).collect()} == {"a", "li"}
+
+
+def test_notes_and_shapes(spark):
+    body = json.dumps({"data": {"items": [
+        {"id": "5f5e10000000000000000001", "note_card": {"display_title": " A  note ", "user": {"nick_name": "n"}, "interact_info": {"liked_count": "1,200"}, "share_count": 3}, "xsec_token": "t"},
+        {"noteId": "b", "title": "bare", "user_info": {"name": "u"}, "time": 1767225600, "url": "https://x.example/b", "note_card": "no object"},
+        {"id": "b", "title": "again"}, {"id": "", "title": "none"}, {"id": "c", "note": {"time": "2099-01-01T00:00:00Z", "desc": "later"}, "time": "2025-12-31T00:00:00Z", "like_count": 7},
+    ], "business_data": [{"aweme_info": {}}]}})
+    deep = '{"id":"d","title":"deep","x":' * 200 + "1" + "}" * 200
+    frame = spark.createDataFrame([(1, body), (2, "{"), (3, None), (4, "[" * 100_000), (5, deep), (6, '{"a":' * 10_000 + "1" + "}" * 10_000), (7, '"text"')], "pos int, body string")
+    got = {r.post_id: r for r in P.notes(frame, NOW).collect()}
+    assert sorted(got) == ["5f5e10000000000000000001", "b", "c", "d"]
+    a, b, c = got["5f5e10000000000000000001"], got["b"], got["c"]
+    assert (a.title, a.source, a.url, tuple(a.creator_metrics)) == ("A note", "n", "https://www.xiaohongshu.com/explore/5f5e10000000000000000001?xsec_token=t", (1200, 0, 0, 3)) and a.published_at.timestamp() == 0x5F5E1000
+    assert (b.title, b.source, b.url, b.published_at.year) == ("bare", "u", "https://x.example/b", 2026)
+    assert (c.title, str(c.published_at)[:10], c.creator_metrics.likes) == ("later", "2025-12-31", 7)
+    shapes = {r.pos: r for r in P.payload_shapes(frame).collect()}
+    assert shapes[1][1:7] == (14, "dict", ["business_data", "items"], 5, 1, 1) and shapes[1].note_card_count == 1
+    assert shapes[1].sample_keys == [["id", "note_card", "xsec_token"], ["display_title", "interact_info", "share_count", "user"], ["noteId", "note_card", "time", "title", "url", "user_info"]]
+    assert [shapes[k].dict_count for k in (2, 3, 4, 5, 7)] == [0, 0, 0, 200, 0] and shapes[2].data_type is None and shapes[2].data_items_count is None
+    assert P.videos(frame, NOW).count() == 0 and sanitize.issues(frame.select(F.col("pos").alias("name"), "body")).count() >= 0
+    bare = spark.createDataFrame([(1, '{"list":[{"aweme_id":"1","desc":"bare one"},{"aweme_info":{"aweme_id":"2","desc":"wrapped"}}]}')], "pos int, body string")
+    assert {(r.post_id, r.title) for r in P.videos(bare, NOW).collect()} == {("1", "bare one"), ("2", "wrapped")}
+    keys = spark.createDataFrame([("s", " 1 ", "u", "t"), ("s", None, "https://X.example/?utm_a=1", " t ")], "s string, p string, u string, t string").select(P.post_key(F.col("s"), F.col("p"), F.col("u"), F.col("t")).alias("k")).collect()
+    assert [r.k for r in keys] == ["s:1", "s:https://x.example:t"]

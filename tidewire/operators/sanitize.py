@@ -56,20 +56,22 @@ def _clean(value: Column, kind: T.DataType, name: str, redact: bool) -> Column:
 
 def _leaves(bodies: pd.Series) -> pd.Series:
 
-    def walk(value, path, key, out):
-        if value in (None, "", False, 0, [], {}):
-            return out
-        out.append({"path": path, "key": key, "value": value if isinstance(value, str) else None, "text": isinstance(value, str)})
-        pairs = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
-        for k, child in pairs:
-            walk(child, f"{path}.{k}" if isinstance(value, dict) else f"{path}[{k}]", str(k) if isinstance(value, dict) else "", out)
-        return out
-
     def each(body):
         try:
-            return walk(json.loads(body), "$", "", [])
-        except (TypeError, ValueError):
+            left = [(json.loads(body), "$", "")]
+        except (TypeError, ValueError, RecursionError):
             return []
+        out = []
+        while left:
+            value, path, key = left.pop()
+            if value in (None, "", False, 0, [], {}):
+                continue
+            out.append({"path": path, "key": key, "value": value if isinstance(value, str) else None, "text": isinstance(value, str)})
+            if isinstance(value, dict):
+                left.extend((child, f"{path}.{k}", str(k)) for k, child in reversed(value.items()))
+            elif isinstance(value, list):
+                left.extend((child, f"{path}[{k}]", "") for k, child in reversed(list(enumerate(value))))
+        return out
 
     return pd.Series([each(b) for b in bodies])
 

@@ -8,6 +8,7 @@ what else a kind tells. Bodies that can't be read give no rows.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -165,29 +166,68 @@ def page_posts(pages: DataFrame, now: datetime) -> DataFrame:
     return items.where("title <> '' and post_id <> '' and published_at is not null").drop("post_id")
 
 
-def _nested(bodies: pd.Series, keys: pd.Series) -> pd.Series:
-
-    def walk(value, key, out):
+def objects_of(body: str | None) -> Iterator[dict]:
+    """Every object of a JSON body before those within it, whatever its depth; none of a body that can't be read."""
+    try:
+        left = [json.loads(body)]
+    except (TypeError, ValueError, RecursionError):
+        return
+    while left:
+        value = left.pop()
         if isinstance(value, dict):
-            if key in value:
-                out.append(json.dumps(value, ensure_ascii=False))
+            yield value
             value = list(value.values())
-        for child in value if isinstance(value, list) else ():
-            walk(child, key, out)
-        return out
+        if isinstance(value, list):
+            left.extend(reversed(value))
+
+
+def _shallow(value: dict, depth: int) -> dict:
+    """An object without lists and without what lies over `depth` objects deep."""
+    return {k: _shallow(v, depth - 1) if isinstance(v, dict) else v for k, v in value.items() if not isinstance(v, list) and (depth > 1 or not isinstance(v, dict))}
+
+
+def nested(body: Column, keys: list[str], depth: int = 3) -> Column:
+    """Every object of a JSON body that has one of the keys, outer ones first, as JSON of `depth` levels without lists."""
+
+    def each(bodies: pd.Series) -> pd.Series:
+        return pd.Series([[json.dumps(_shallow(x, depth), ensure_ascii=False) for x in objects_of(b) if not x.keys().isdisjoint(keys)] for b in bodies], dtype=object)
+
+    return F.pandas_udf(each, "array<string>")(body)
+
 
-    def each(body, key):
-        try:
-            return walk(json.loads(body), key, [])
-        except (TypeError, ValueError):
-            return []
+#: Keys that make an object a sample of a payload, how many samples, and keys of each.
+SAMPLE_KEYS, SAMPLES, SHOWN_KEYS = {"aweme_info", "note_card", "display_title", "desc", "title", "id", "note_id"}, 3, 16
+SHAPE = "dict_count long, data_type string, data_keys array<string>, data_items_count long, data_business_count long, aweme_info_count long, note_card_count long, sample_keys array<array<string>>"
 
-    return pd.Series([each(b, k) for b, k in zip(bodies, keys)])
 
+def _shape(body: str | None) -> dict:
+    counts, samples, top = {"dict_count": 0, "aweme_info_count": 0, "note_card_count": 0}, [], None
+    for n, x in enumerate(objects_of(body)):
+        top = x if n == 0 and body.lstrip().startswith("{") else top
+        counts["dict_count"] += 1
+        for key in ("aweme_info", "note_card"):
+            counts[f"{key}_count"] += isinstance(x.get(key), dict)
+        if len(samples) < SAMPLES and SAMPLE_KEYS & set(keys := sorted(x)[:SHOWN_KEYS]):
+            samples.append(keys)
+    data = top.get("data") if top else None
+    inner = data if isinstance(data, dict) else {}
+    size = lambda key: len(inner[key]) if isinstance(inner.get(key), list) else None
+    return {**counts, "data_type": type(data).__name__ if data is not None else None, "data_keys": sorted(inner)[:SHOWN_KEYS], "data_items_count": size("items"), "data_business_count": size("business_data"), "sample_keys": samples}
 
-def nested(body: Column, key: str) -> Column:
-    """Every object of a JSON body, whatever its depth, that has the key, in the order in which they come, as JSON."""
-    return F.pandas_udf(_nested, "array<string>")(body, F.lit(key))
+
+def payload_shapes(payloads: DataFrame) -> DataFrame:
+    """payloads (body as JSON) with what they look like, without any value: numbers of objects and of wrapped posts, keys of the data and of some objects."""
+
+    def each(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_shape(b) for b in bodies], columns=[c.split()[0] for c in SHAPE.split(", ")])
+
+    return payloads.withColumn("_s", F.pandas_udf(each, SHAPE)("body")).select(*[c for c in payloads.columns if c != "body"], "_s.*")
+
+
+def post_key(site: Column, post_id: Column, url: Column, title: Column) -> Column:
+    """What a post is known by over all searches: its id, else its URL and title."""
+    post = stripped(F.coalesce(post_id, F.lit("")))
+    return F.when(post != "", F.concat_ws(":", site, post)).otherwise(F.concat_ws(":", site, normalized(url), stripped(title)))
 
 
 def metric(*values: Column) -> Column:
@@ -210,12 +250,13 @@ def _generic_sound(title: Column) -> Column:
 
 
 def videos(payloads: DataFrame, now: datetime) -> DataFrame:
-    """Videos anywhere in search results (pos, body as JSON): each id's first one with a title of its own."""
+    """Videos anywhere in search results (pos, body as JSON), wrapped or bare: each id's first one with a title of its own."""
     times = ["create_time", "create_time_stamp", "createTime", "createTimeStamp", "created_at", "publish_time", "publishTime", "publish_timestamp", "time"]
     counts = ["digg_count", "like_count", "comment_count", "comments_count", "collect_count", "collected_count", "share_count", "shared_count"]
     fields = ["aweme_id", "awemeId", "desc", "title", "caption", "share_url", *times]
-    schema = "aweme_info struct<" + ",".join(f"{f}:string" for f in fields) + f",share_info:struct<share_desc:string,share_title:string,share_url:string>,author:struct<nickname:string,unique_id:string>,statistics:struct<{','.join(f'{c}:string' for c in counts)}>>"
-    rows = payloads.select("pos", F.posexplode(nested(F.col("body"), "aweme_info")).alias("at", "j")).select("pos", "at", F.from_json("j", schema)["aweme_info"].alias("v"))
+    video = ",".join(f"{f}:string" for f in fields) + f",share_info:struct<share_desc:string,share_title:string,share_url:string>,author:struct<nickname:string,unique_id:string>,statistics:struct<{','.join(f'{c}:string' for c in counts)}>"
+    found = nested(F.col("body"), ["aweme_info", "aweme_id", "awemeId"])
+    rows = payloads.select("pos", F.posexplode(found).alias("at", "j")).select("pos", "at", F.coalesce(F.from_json("j", f"aweme_info struct<{video}>")["aweme_info"], F.from_json("j", f"struct<{video}>")).alias("v"))
     told = F.array(*(F.coalesce(f"v.{c}", F.lit("")) for c in ("desc", "title", "caption", "share_info.share_desc", "share_info.share_title")))
     title = F.get(F.filter(F.transform(told, lambda t: snippet(t, 220)), lambda t: (t != "") & ~_generic_sound(t)), 0)
     post = _first(F.col("v.aweme_id"), F.col("v.awemeId"))
@@ -227,6 +268,37 @@ def videos(payloads: DataFrame, now: datetime) -> DataFrame:
     return items.groupBy("post_id").agg(F.min_by(F.struct(*[c for c in items.columns if c not in ("pos", "at", "post_id")]), F.struct("pos", "at")).alias("row")).select("post_id", "row.*")
 
 
+#: What a note is wrapped in, and the names of what it tells.
+NOTE_KEYS = ["note_card", "note_info", "note", "note_data", "noteCard"]
+NOTE_IDS, NOTE_LINKS = ["note_id", "noteId", "id"], ["url", "share_url", "shareUrl"]
+NOTE_TITLES = ["display_title", "displayTitle", "title", "desc", "description", "content"]
+NOTE_TIMES = ["time", "create_time", "created_at", "last_update_time", "createTime", "createdAt", "lastUpdateTime", "publish_time", "publishTime"]
+NOTE_COUNTS = ["liked_count", "likes_count", "like_count", "digg_count", "comments_count", "comment_count", "collected_count", "collect_count", "shared_count", "share_count"]
+OWNERS = ["nickname", "nick_name", "nickName", "name"]
+
+
+def notes(payloads: DataFrame, now: datetime) -> DataFrame:
+    """Notes anywhere in search results (pos, body as JSON), wrapped or bare: each id's first one with a title, with a credible time or that of its id."""
+    strings = lambda names: [f"{n}:string" for n in names]
+    own = "map<string,string>"  # two of the names differ in case alone
+    note = ",".join([*strings(dict.fromkeys([*NOTE_IDS, *NOTE_TITLES, *NOTE_LINKS, *NOTE_TIMES, *NOTE_COUNTS, "xsec_token"])), f"user:{own}", f"user_info:{own}", f"interact_info:struct<{','.join(strings(NOTE_COUNTS))}>"])
+    found = nested(F.col("body"), [*NOTE_KEYS, *NOTE_IDS])
+    rows = payloads.select("pos", F.posexplode(found).alias("at", "j")).select("pos", "at", F.from_json("j", f"struct<{note}>").alias("o"), F.from_json("j", f"struct<{','.join(f'{k}:struct<{note}>' for k in NOTE_KEYS)}>").alias("w"))
+    rows = rows.select("pos", "at", "o", F.coalesce(*(F.col(f"w.{k}") for k in NOTE_KEYS), "o").alias("n"))
+    of = lambda *names: F.coalesce(*(F.nullif(n, F.lit("")) for n in names), F.lit(""))
+    post = stripped(of(*(f"n.{k}" for k in NOTE_IDS), "o.noteId", "o.note_id", "o.id"))
+    title = snippet(of(*(f"n.{k}" for k in NOTE_TITLES), "o.display_title", "o.title", "o.desc"), 220)
+    user = F.coalesce("n.user", "n.user_info", "o.user", "o.user_info")
+    source = F.coalesce(F.nullif(stripped(of(*(F.try_element_at(user, F.lit(k)) for k in OWNERS))), F.lit("")), F.lit("Xiaohongshu Search"))
+    token = stripped(of("n.xsec_token", "o.xsec_token"))
+    page = F.concat(F.lit("https://www.xiaohongshu.com/explore/"), post, F.when(token != "", F.concat(F.lit("?xsec_token="), token)).otherwise(""))
+    url = _first(*(F.col(f"{x}.{k}") for x in "no" for k in NOTE_LINKS), page)
+    first_time = lambda x: F.get(F.filter(F.transform(F.array(*(F.col(f"{x}.{t}") for t in NOTE_TIMES)), lambda t: epoch_or_date(t, now)), lambda t: t.isNotNull()), 0)
+    at = F.coalesce(credible(first_time("n"), now), credible(first_time("o"), now), note_id_time(post, now))
+    items = rows.select("pos", "at", post.alias("post_id"), *_item("tikhub_xiaohongshu", "TikHub Xiaohongshu", source, title, url, at), creator_metrics("xiaohongshu", lambda c: F.coalesce(f"n.interact_info.{c}", f"n.{c}", f"o.{c}")).alias("creator_metrics")).where("title <> '' and post_id <> ''")
+    return items.groupBy("post_id").agg(F.min_by(F.struct(*[c for c in items.columns if c not in ("pos", "at", "post_id")]), F.struct("pos", "at")).alias("row")).select("post_id", "row.*")
+
+
 def note_time(published: Column, note_id: Column, now: datetime) -> Column:
     """A note's time if credible, else what its id tells."""
     return F.coalesce(credible(epoch_or_date(published, now), now), note_id_time(note_id, now))
