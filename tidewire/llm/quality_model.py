@@ -95,9 +95,9 @@ def learn(
     """Fits the model on labelled rows whose id's remainder isn't `hold_out`.
 
     What is learned from is a bounded sample, so that it fits the driver at any
-    size: of each class `rows` ids at most, those with the least id hash, whole
-    texts only, and of these, in the order of another hash, as many as make
-    `bytes_` bytes; texts of over an eighth of that teach nothing, so one long
+    size: of each class `rows` ids at most, those with the least id hash, one
+    whole text of each (of several the one with the least hash), and of these,
+    in the order of another hash, as many as make `bytes_` bytes; texts of over an eighth of that teach nothing, so one long
     text can't displace the others. Null ids, labels or texts teach nothing. With no label of one class
     the score is the same for all texts: the share of good labels, smoothed.
     """
@@ -106,9 +106,12 @@ def learn(
     for label in (0, 1):
         chosen = known.where(F.col("label") == label).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
         found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-        found = found.withColumn("size", F.octet_length("text")).where(F.col("size") <= bytes_ // 8).select("id", "text", "size", F.xxhash64(F.lit(7), "id").alias("draw"))
-        upto = F.sum("size").over(_in_order())
-        texts[label] = [(r.draw & 1, r.text.encode()) for r in found.withColumn("upto", upto).where(F.col("upto") <= bytes_).orderBy("draw", "text").collect()]
+        found = found.withColumns({"size": F.octet_length("text"), "key": F.xxhash64("text"), "draw": F.xxhash64(F.lit(7), "id")}).where(F.col("size") <= bytes_ // 8)
+        # Sizes alone decide who is chosen: of an id one text counts, so no more than `rows` small rows are put in order.
+        one = found.groupBy("id", "draw").agg(F.min(F.struct("key", "size")).alias("m")).select("id", "draw", "m.key", "m.size")
+        kept = one.withColumn("upto", F.sum("size").over(_in_order())).where(F.col("upto") <= bytes_).select("id", "key")
+        told = found.join(F.broadcast(kept), ["id", "key"]).groupBy("draw", "id").agg(F.min("text").alias("text"))
+        texts[label] = [(r.draw & 1, r.text.encode()) for r in told.orderBy("draw", "id").collect()]
     good, bad = (_dictionary([t for half, t in texts[label] if half]) for label in (1, 0))
     if not good or not bad:
         n, g = sum(map(len, texts.values())), len(texts[1])
@@ -125,7 +128,7 @@ def _in_order():
     """Over the bounded sample only."""
     from pyspark.sql import Window
 
-    return Window.orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return Window.orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def scored(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, hold_out: int = 2) -> DataFrame:

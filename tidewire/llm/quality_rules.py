@@ -200,9 +200,11 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     without bad labels the list is empty.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & (F.crc32(F.col("id").cast("string")) % 4 != hold_out))
-    chosen = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
-    rows = stats.where(~base_failed()).join(F.broadcast(chosen), "id").select("label", F.xxhash64("id").alias("draw"), *(feature(x).alias(x) for x in FEATURES))
-    table = rows.orderBy("draw").toPandas()
+    # An id with both labels is bad; of an id's rows the one with the least statistics counts.
+    chosen = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    rows = stats.where(~base_failed()).join(F.broadcast(chosen), "id").select("id", "label", F.struct(*(feature(x).alias(x) for x in FEATURES)).alias("x"))
+    rows = rows.groupBy("id", "label").agg(F.min("x").alias("x")).select("label", F.xxhash64("id").alias("draw"), "x.*")
+    table = rows.orderBy("draw", *FEATURES).toPandas()
     if not len(table):
         return []
     return cover(table[list(FEATURES)].to_numpy(float), table["label"].to_numpy() == 0, table["draw"].to_numpy())
