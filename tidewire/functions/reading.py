@@ -113,6 +113,27 @@ def section(group: Column, label: Column, hay: Column) -> Column:
     return out.otherwise("all")
 
 
+# What makes an item a tool rather than a model, and sites, sources and words of the community; sites and words of sources under "hn".
+TOOL_WORDS = r"skill|copilot|codex|cli|api|sdk|dashboard|workflow|tool|工具|助手|应用|插件|工作流|支付宝|浏览器|搜索"
+GROUP_SITES = {"hn": ["hackernews", "zeli"], "creator": ["tikhub_douyin", "tikhub_xiaohongshu"], "community": ["waytoagi", "followbuilders", "aibase"]}
+GROUP_SOURCE_WORDS = {"hn": r"hacker news|hackernews|hn algolia", "creator": r"douyin|xiaohongshu|小红书|抖音", "community": r"it之家|36氪|掘金|readhub|aibase|公众号|宝玉|小互|ayi"}
+COMMUNITY_WORDS = r"waytoagi|社区|公众号|阿里|通义|千问|智谱|kimi|月之暗面|minimax|字节|火山|百度|腾讯|华为|蚂蚁|讯飞|国内|中文|开源中国|少数派|虎嗅"
+
+
+def all_sections(site: Column, source: Column, name: Column, label: Column, hay: Column, content: Column) -> Column:
+    """Every section that an item belongs to, "industry" where it is in no other; content is its text without the label."""
+    sources = F.lower(F.concat(_text(source), F.lit(" "), _text(name)))
+    labelled = lambda section: F.coalesce(label.isin([k for k, v in LABEL_SECTIONS.items() if v == section]), F.lit(False))
+    group = lambda g: F.coalesce(site.isin(GROUP_SITES[g]), F.lit(False)) | sources.rlike(GROUP_SOURCE_WORDS[g])
+    within = lambda s: labelled(s) | hay.rlike(SECTION_WORDS[s])
+    tests = {
+        "models": content.rlike(SECTION_WORDS["models"]) | (labelled("models") & ~hay.rlike(TOOL_WORDS)), "products": within("products"), "devtools": within("devtools"), "hn": group("hn"), "industry": within("industry"),
+        "research": within("research"), "creator": group("creator"), "community": group("community") | hay.rlike(COMMUNITY_WORDS),
+    }
+    found = F.array_compact(F.array(*(F.when(test, s) for s, test in tests.items())))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("industry")))
+
+
 def timeline(published: Column, first_seen: Column, generated: datetime) -> Column:
     """Published, but first seen where published lies over ten minutes after the snapshot."""
     late = published > F.lit(generated) + F.make_dt_interval(mins=F.lit(10))

@@ -15,7 +15,12 @@ def written(df: DataFrame) -> DataFrame:
     Only on one machine (a local master) a temporary folder takes its place
     where the setting is missing.
     """
-    return _written(df, f"{_shared(df.sparkSession)}/tidewire-{uuid.uuid4().hex}")
+    return _written(df, shared_folder(df.sparkSession))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name under the shared one."""
+    return f"{_shared(spark)}/tidewire-{uuid.uuid4().hex}"
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -43,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
     equi-joins, which adaptive execution splits at hot nodes. Rounds take turns
     in two folders, so no more than two of them are kept.
     """
-    folders = [f"{_shared(links.sparkSession)}/tidewire-{uuid.uuid4().hex}" for _ in range(2)]
+    folders = [shared_folder(links.sparkSession) for _ in range(2)]
     edges = _written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folders[0])
     before = None
     while (now := tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())) != before and now[0]:

@@ -245,3 +245,45 @@ def story_rows(stories: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("s.story_id").alias("story_id")).agg(
         F.max(F.when(F.col("m.id") == F.col("s.primary_id"), F.col("m.section"))).alias("section"), F.array_sort(F.collect_set("m.signal")).alias("signals"), F.when(other > 0, other).otherwise(F.count("*")).alias("others"),
     )
+
+
+def by_section(items: DataFrame) -> DataFrame:
+    """(section, id, url, source, high): viewed items (with hay) once for each of their sections, and all under "hot": what counts, lists and exclusions are read from."""
+    content = r.haystack(F.col("title"), F.col("source"), F.col("site_name"), F.col("site_id"), signals=F.col("ai_signals"))
+    sections = r.all_sections(F.col("site_id"), F.col("source"), F.col("site_name"), F.col("ai_label"), F.col("hay"), content)
+    return items.select(F.explode(F.concat(F.array(F.lit("hot")), sections)).alias("section"), "id", "url", F.coalesce("source", "site_name", "site_id").alias("source"), "high")
+
+
+def stories_within(stories: DataFrame, members: DataFrame, items: DataFrame) -> DataFrame:
+    """Stories of which a member (story_id, id, url) is among the items by its URL or its id."""
+    hit = members.where("url <> ''").join(items.select("url").distinct(), "url", "left_semi").select("story_id")
+    hit = hit.union(members.join(items.select("id").distinct(), "id", "left_semi").select("story_id"))
+    return stories.join(hit.distinct(), "story_id", "left_semi")
+
+
+def section_stories(inverted: DataFrame, members: DataFrame) -> DataFrame:
+    """(section, items, high, sources, stories): counts of each section, and of the stories that have a member in it."""
+    of_items = inverted.groupBy("section").agg(F.count("*").alias("items"), F.count_if("high").alias("high"), F.count_distinct("source").alias("sources"))
+    by_url = members.where("url <> ''").select("story_id", "url").distinct().join(inverted.where("url <> ''").select("section", "url").distinct(), "url").select("section", "story_id")
+    both = by_url.union(members.select("story_id", "id").join(inverted.select("section", "id"), "id").select("section", "story_id"))
+    return of_items.join(both.distinct().groupBy("section").agg(F.count("*").alias("stories")), "section", "left").withColumn("stories", F.coalesce("stories", F.lit(0)))
+
+
+def story_keys(stories: DataFrame, members: DataFrame) -> DataFrame:
+    """(story_id, key): the identity keys of stories (story_id, title, url) and of their members (story_id, id, title, url)."""
+    own = stories.select("story_id", F.explode(r.identity_keys(F.col("story_id"), F.col("title"), F.col("url"))).alias("key"))
+    return own.union(members.select("story_id", F.explode(r.identity_keys(F.col("id"), F.col("title"), F.col("url"))).alias("key"))).distinct()
+
+
+def item_keys(items: DataFrame) -> DataFrame:
+    """(key) of the items (id, title, url) that headlines are made of."""
+    return items.select(F.explode(r.identity_keys(F.col("id"), F.col("title"), F.col("url"))).alias("key")).distinct()
+
+
+def unshown_stories(stories: DataFrame, members: DataFrame, shown: DataFrame, order: str) -> DataFrame:
+    """Stories that are under no key (key) of what is shown already, each stable key (id, else URL, else title) once, the first by `order`; those without one all stay."""
+    stable = F.coalesce(*(F.nullif(F.coalesce(c, F.lit("")), F.lit("")) for c in ("story_id", "url", "title")))
+    keyed = stories.withColumn("_k", stable)
+    once = keyed.where("_k is not null").groupBy("_k").agg(F.min_by(F.struct(*stories.columns), order).alias("row")).select("row.*").union(keyed.where("_k is null").drop("_k"))
+    known = story_keys(stories, members).join(shown.select("key"), "key", "left_semi").select("story_id").distinct()
+    return once.join(known, "story_id", "left_anti")

@@ -1,10 +1,14 @@
-"""Markup, embedded data, wiki blocks and creators' notes: queries over the given tables, with DuckDB SQL."""
+"""Markup, embedded data, wiki blocks, creators' notes, publication and repairs of titles: queries over the given tables, with DuckDB SQL."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import glossary, publish
+from ..operators.graph import shared_folder
 from ..sources import embedded, markup, payloads, wiki
 from .items import NOW, NOW_S, START_S, table
 from .queries import Query
@@ -158,6 +162,49 @@ select conv_id as pos, cast(2 + sum(2 + case when turn % 2 = 0 then 1 else 0 end
 from conversations group by conv_id
 """
 
+def published_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive after three runs that each rewrite the days they touch: orders of six weeks, line items, line items again later."""
+    root = f"{shared_folder(spark)}/published"
+    site = F.when(F.col("k") % 2 == 0, F.lit("opmlrss")).otherwise(F.lit("zeli"))
+    orders, lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("pos"))
+    seen = F.lit(NOW) - F.make_dt_interval(days=(F.col("k") % 42).cast("int"))
+    old = orders.select(F.col("k").cast("string").alias("id"), site.alias("site_id"), *(F.lit("old").alias(c) for c in ("site_name", "source", "title", "url")), F.lit(None).cast("timestamp").alias("published_at"), seen.alias("first_seen_at"), seen.alias("last_seen_at"))
+    publish.published(spark, root, "0", NOW - timedelta(hours=1), {}, (old, []))
+    batch = lambda rows, name: rows.select(F.col("k").cast("string").alias("id"), site.alias("site_id"), F.lit(name).alias("site_name"), F.lit(name).alias("source"), F.concat(F.lit(name), F.col("pos").cast("string")).alias("title"), F.lit("http://n/").alias("url"), F.lit(None).cast("timestamp").alias("published_at"), "pos")
+    for run, (now, rows) in enumerate(((NOW, batch(lines.where("k % 3 = 0"), "a")), (NOW + timedelta(days=5), batch(lines.where("k % 5 = 0").withColumn("k", F.col("k") + F.when(F.col("k") % 2 == 0, 10**12).otherwise(0)), "b")))):
+        publish.published(spark, root, str(run + 1), now, {}, publish.archived(spark, root, rows, now))
+    return publish.snapshot(spark, root, "archive").select("id", "title", F.unix_seconds("first_seen_at").alias("first_seen"), F.unix_seconds("last_seen_at").alias("last_seen"))
+
+
+PUBLISHED_ARCHIVE_SQL = f"""
+with o as (select o_orderkey as k, 'old' as title, {NOW_S} - 86400 * (o_orderkey % 42) as first_seen, {NOW_S} - 86400 * (o_orderkey % 42) as last_seen from orders), la as (
+  select l_orderkey as k, 'a' || max(l_linenumber) as title from lineitem where l_orderkey % 3 = 0 group by 1
+), a as (
+  select coalesce(la.k, o.k) as k, coalesce(la.title, o.title) as title, coalesce(first_seen, {NOW_S}) as first_seen, case when la.k is not null then {NOW_S} else last_seen end as last_seen from o full join la on la.k = o.k
+), lb as (
+  select l_orderkey + case when l_orderkey % 2 = 0 then 1000000000000 else 0 end as k, 'b' || max(l_linenumber) as title from lineitem where l_orderkey % 5 = 0 group by 1
+), b as (
+  select coalesce(lb.k, a.k) as k, coalesce(lb.title, a.title) as title, coalesce(first_seen, {NOW_S} + 432000) as first_seen, case when lb.k is not null then {NOW_S} + 432000 else last_seen end as last_seen
+  from (select * from a where last_seen >= {NOW_S} - 21 * 86400) a full join lb on lb.k = a.k
+)
+select cast(k as varchar) as id, title, cast(first_seen as bigint) as first_seen, cast(last_seen as bigint) as last_seen from b where last_seen >= {NOW_S} + 432000 - 21 * 86400
+"""
+
+_GLOSSARY = "Codex\n寓言 => Fable @fable\n甲 => 乙\n乙 => 丙 @\n代理 => Agent @agent"
+_ORIGINALS = ["OpenAI Codex", "new Fable 5", "agents at work", "Transformer model", "Transformers movie", "plain"]
+_TRANSLATED = ["开放人工智能 法典", "《寓言 5》 来了", "代理 甲", "变形金刚 模型", "变形金刚 电影", "甲乙 法典 代理"]
+_REPAIRED = ["OpenAI Codex", "Fable 5 来了", "Agent 丙", "Transformer 模型", "变形金刚 电影", "丙丙 法典 代理"]
+
+
+def repaired_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translated titles put right by fixed rules and a glossary's, with each document's source behind them."""
+    k = (F.col("doc_id") % len(_ORIGINALS) + 1).cast("int")
+    told = lambda names: F.concat(F.element_at(F.array(*map(F.lit, names)), k), F.lit(" "), F.coalesce("source", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", glossary.repaired_title(told(_ORIGINALS), told(_TRANSLATED), glossary.read_glossary(_GLOSSARY)[1]).alias("title"))
+
+
+REPAIRED_TITLES_SQL = f"select doc_id, trim(list_extract({_REPAIRED}, cast(doc_id % {len(_REPAIRED)} + 1 as integer)) || ' ' || coalesce(source, '')) as title from documents"
+
 #: name: (query, SQL or None)
 PAGES: dict[str, tuple[Query, str | None]] = {
     "page_links": (page_links, PAGE_LINKS_SQL),
@@ -166,4 +213,6 @@ PAGES: dict[str, tuple[Query, str | None]] = {
     "wiki_updates": (wiki_updates, WIKI_UPDATES_SQL),
     "creator_notes": (creator_notes, CREATOR_NOTES_SQL),
     "payload_shapes": (payload_shapes, PAYLOAD_SHAPES_SQL),
+    "published_archive": (published_archive, PUBLISHED_ARCHIVE_SQL),
+    "repaired_titles": (repaired_titles, REPAIRED_TITLES_SQL),
 }

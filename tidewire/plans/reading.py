@@ -160,6 +160,27 @@ with {SEEN_SQL}, one as (select section, high, source from seen union all select
 select section, count(*) as n, count_if(high) as high, count(distinct source) as sources from one group by section
 """
 
+def section_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section that items belong to, with the stories that have one there; stories are items of one URL."""
+    inverted = written(reading.by_section(_viewed(spark, sf_dir)))
+    members = inverted.where("section = 'hot'").select(F.col("url").alias("story_id"), "id", "url")
+    return reading.section_stories(inverted, members)
+
+
+_IN = lambda s: f"coalesce(list_contains({[k for k, x in r.LABEL_SECTIONS.items() if x == s]}, ai_label), false)"
+_OF = lambda g: f"list_contains({r.GROUP_SITES[g]}, site_id) or regexp_matches(lower(source || ' ' || source), '{r.GROUP_SOURCE_WORDS[g]}')"
+_SECTION_TESTS = {
+    "models": f"regexp_matches(content, '{r.SECTION_WORDS['models']}') or ({_IN('models')} and not regexp_matches(hay, '{r.TOOL_WORDS}'))",
+    **{s: f"{_IN(s)} or regexp_matches(hay, '{r.SECTION_WORDS[s]}')" for s in ("products", "devtools", "industry", "research")},
+    "hn": _OF("hn"), "creator": _OF("creator"), "community": f"{_OF('community')} or regexp_matches(hay, '{r.COMMUNITY_WORDS}')",
+}
+SECTION_STORIES_SQL = f"""
+with {SEEN_SQL}, c as (select *, lower(concat_ws(' ', nullif(title, ''), nullif(source, ''), nullif(source, ''), site_id, nullif(array_to_string(signals, ' '), ''))) as content from seen), l as (
+  select id, url, source, high, list_filter([{', '.join(f"case when {t} then '{s}' end" for s, t in _SECTION_TESTS.items())}], lambda x: x is not null) as s from c
+), e as (select id, url, source, high, unnest(list_concat(['hot'], case when len(s) > 0 then s else ['industry'] end)) as section from l)
+select section, count(*) as items, count_if(high) as high, count(distinct source) as sources, count(distinct url) as stories from e group by section
+"""
+
 _CLUSTERS_SQL = f"""
 {SEEN_SQL}, signed as (select *, cast({_case(r.SIGNAL_PRIORITY, 'signal', f"'{r.OTHER_PRIORITY}'")} as integer) as weight from seen where score_pct > 0), firsts as (
   select *, row_number() over (partition by event order by weight desc, score_pct desc, at_s desc, id) as k, count(*) over (partition by event) as members, max(score_pct) over (partition by event) as top,
@@ -371,6 +392,7 @@ READING: dict[str, tuple[Query, str | None]] = {
     "item_pages": (item_pages, ITEM_PAGES_SQL),
     "item_search": (item_search, ITEM_SEARCH_SQL),
     "section_view": (section_view, SECTION_VIEW_SQL),
+    "section_stories": (section_stories, SECTION_STORIES_SQL),
     "event_clusters": (event_clusters, EVENT_CLUSTERS_SQL),
     "event_boards": (event_boards, EVENT_BOARDS_SQL),
     "source_groups": (source_groups, SOURCE_GROUPS_SQL),
