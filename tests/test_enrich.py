@@ -44,3 +44,12 @@ def test_stories_are_found_by_their_members(spark):
     assert ids(reading.matching_stories(stories, members, author="@ann")) == ["a"] and ids(reading.matching_stories(stories, members, site="zeli")) == ["b", "c"]
     assert ids(reading.matching_stories(stories, members)) == ["a", "b", "c"] and ids(reading.safe_stories(stories, members)) == ["a", "c"]
     assert reading.leading_stories(stories.withColumn("score", F.lit(0.5)), NOW - timedelta(hours=49), NOW).count() == 0
+
+
+def test_contexts_and_fallback_scores(spark):
+    df = spark.createDataFrame([("s", "T", 61.5, [("a",), (None,), ("",)], "old", "x")], "story_id string, title string, importance_score double, sources array<struct<source:string>>, persona_review string, body string")
+    assert enrich.item_context(df).first().context == '{"story_id":"s","title":"T","importance_score":61.5,"sources":[{"source":"a"}]}'
+    got = enrich.fallback_scores(df, NOW).first()
+    assert (got.persona_id, got.persona_score, got.persona_meta.mode) == ("pragmatic", 62, "rules_fallback") and "persona_review" not in enrich.fallback_scores(df, NOW).columns
+    texts = spark.createDataFrame([(None, "t", True), (" t ", "t", True), ("said", "t", False), ("", None, True)], "s string, t string, want boolean")
+    assert all(r.x == r.want for r in texts.select(enrich.summary_missing(F.col("s"), F.col("t")).alias("x"), "want").collect())

@@ -12,6 +12,7 @@ from tidewire.operators import sanitize
 from tidewire.sources import embedded as E
 from tidewire.sources import markup as M
 from tidewire.sources import payloads as P
+from tidewire.sources import social as S
 from tidewire.sources import wiki as W
 
 NOW = datetime(2026, 1, 2, 20, tzinfo=timezone.utc)
@@ -180,3 +181,26 @@ def test_notes_and_shapes(spark):
     assert {(r.post_id, r.title) for r in P.videos(bare, NOW).collect()} == {("1", "bare one"), ("2", "wrapped")}
     keys = spark.createDataFrame([("s", " 1 ", "u", "t"), ("s", None, "https://X.example/?utm_a=1", " t ")], "s string, p string, u string, t string").select(P.post_key(F.col("s"), F.col("p"), F.col("u"), F.col("t")).alias("k")).collect()
     assert [r.k for r in keys] == ["s:1", "s:https://x.example:t"]
+
+
+def test_posts_of_searches_and_lists(spark):
+    post = lambda id_, name="A", **more: {"id_str": id_, "full_text": f"said {id_}", "user": {"screen_name": name}, **more}
+    one = {"tweets": [post("1", tweet_created_at="2026-01-01T00:00:00.000000Z", favorite_count=3), post("2", type="reply"), post("3", "@own"), {"id": 4, "text": " b ", "user": {"screen_name": "bot", "default_profile_image": True}}, post("", "A"), {"id_str": "5", "user": None}, None]}
+    two = {"tweets": [post("1"), post("6", type="Quote"), {"id_str": "7", "text": "no user"}], "next_cursor": "x"}
+    frame = spark.createDataFrame([(1, json.dumps(one)), (2, json.dumps(two)), (3, "{"), (4, None), (5, "[]")], "pos int, body string")
+    got = {r.post_id: (r.source, r.title, r.url, r.published_at.replace(tzinfo=timezone.utc) == NOW, r.counts.favorite_count) for r in S.searched_posts(frame, NOW).collect()}
+    assert got["1"] == ("@A", "said 1", "https://x.com/A/status/1", False, 3) and got["7"] == ("@i/web", "no user", "https://x.com/i/web/status/7", True, None)
+    assert sorted(got) == ["1", "2", "3", "4", "6", "7"] and [r.post_id for r in S.searched_posts(frame, NOW, most=2).collect()] == ["1", "2"]
+    judged = S.judged_list(frame, NOW, ["@OWN", " "])
+    assert sorted(r.post_id for r in S.listed_posts(judged).collect()) == ["1", "6"] and [r.post_id for r in S.listed_posts(judged, 1).collect()] == ["1"]
+    assert {r.skipped: r.n for r in S.skipped_counts(judged).collect()} == {"retweet_or_reply": 1, "excluded_author": 1, "bot_like": 1, "empty": 3, "duplicate": 1}
+
+
+def test_mail_digest_tells_no_address(spark):
+    mails = {"messages": [{"message_id": "m", "from": "N <n@News.example.com>", "subject": " a  b ", "preview": "x@y.co", "created_at": "t", "attachments": ["f"]}, {"from": "broken"}, {"message_id": "o", "from": "p@other.org"}, None]}
+    frame = spark.createDataFrame([(1, json.dumps(mails)), (2, None), (3, "{")], "pos int, body string")
+    got = S.mail_digest(frame).orderBy("at").collect()
+    assert [(r.sender_domain, r.source, r.subject, r.preview, r.received_at, r.attachments) for r in got] == [("news.example.com", "AgentMail · news.example.com", "a b", "[redacted-email]", "t", 1), (None, "AgentMail", "", "", None, 0), ("other.org", "AgentMail · other.org", "", "", None, 0)]
+    assert [r.sender_domain for r in S.mail_digest(frame, ["example.com"]).collect()] == ["news.example.com"] and got[1].id == "agentmail:unknown"
+    asked = spark.createDataFrame([("a", "A"), ("b", "B")], "site_id string, site_name string")
+    assert sorted(map(tuple, S.platform_counts(spark.createDataFrame([("a",), ("a",), ("c",)], "site_id string"), asked).collect())) == [("a", "A", 2), ("b", "B", 0)]

@@ -34,6 +34,9 @@ def titled(items: DataFrame, others: DataFrame) -> DataFrame:
     last = known.groupBy("_url").agg(F.max_by("t", "pos").alias("title_zh"))
     return items.withColumn("_url", normalized(F.coalesce("url", F.lit("")))).join(last, "_url", "left").drop("_url")
 
+#: What a persona is told of a story.
+CONTEXT_FIELDS = ["story_id", "title", "url", "importance_score", "importance_label", "category", "reasons", "source_count"]
+
 
 def refused(text: Column) -> Column:
     """Begins as a refusal to translate does."""
@@ -101,3 +104,23 @@ def frontmatter(texts: DataFrame) -> DataFrame:
     later = lambda p, k: F.exists(F.slice(pairs, k + 2, F.size(pairs)), lambda q: q["k"] == p["k"])
     last = F.map_from_entries(F.filter(pairs, lambda p, k: (p["k"] != "") & ~later(p, k)))
     return found.select("name", last.alias("meta"), stripped(F.col("rest")).alias("body"))
+
+
+def summary_missing(summary: Column, title: Column) -> Column:
+    """The summary is empty or but the title again."""
+    s = stripped(F.coalesce(summary, F.lit("")))
+    return (s == "") | (s == stripped(F.coalesce(title, F.lit(""))))
+
+
+def item_context(stories: DataFrame) -> DataFrame:
+    """(story_id, context as JSON) of what a persona is told of a story: the fields that are there, and the names of its sources (array of structs) that have one."""
+    fields = [F.col(c) for c in CONTEXT_FIELDS if c in stories.columns]
+    if "sources" in stories.columns:
+        fields.append(F.transform(F.filter("sources", lambda s: F.coalesce(s["source"], F.lit("")) != ""), lambda s: F.struct(s["source"].alias("source"))).alias("sources"))
+    return stories.select("story_id", F.to_json(F.struct(*fields)).alias("context"))
+
+
+def fallback_scores(items: DataFrame, now: datetime, persona: str | None = None) -> DataFrame:
+    """items with a persona's score by their importance alone, where no persona can be asked; no review."""
+    left = items.drop("persona_review", "persona_id", "persona_score", "persona_meta")
+    return left.withColumns({"persona_id": F.lit(persona or "pragmatic"), "persona_score": clamped(F.coalesce(F.col("importance_score").cast("string"), F.lit("0"))), "persona_meta": F.struct(F.lit("rules_fallback").alias("mode"), F.lit(now).alias("scored_at"))})

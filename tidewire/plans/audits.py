@@ -148,14 +148,14 @@ def authored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, users = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     known = users.select(F.when(key % 5 > 0, key).alias("id"), F.concat(F.lit("u"), key.cast("string")).alias("username"), F.col("c_name").alias("name"))
-    posts = orders.select(F.col("o_orderkey").cast("string").alias("post_id"), F.col("o_custkey").cast("string").alias("author_id"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderpriority")).alias("text"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))
+    posts = orders.select(F.col("o_orderkey").cast("string").alias("post_id"), F.col("o_custkey").cast("string").alias("author_id"), F.col("o_orderpriority").alias("text"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))
     return enrich.authored(posts, known, NOW).select("post_id", "username", "name", "title", "url")
 
 
 AUTHORED_POSTS_SQL = """
 select cast(o_orderkey as varchar) as post_id, case when c_custkey % 5 > 0 then 'u' || cast(c_custkey as varchar) else 'i/web' end as username, case when c_custkey % 5 > 0 then c_name end as name, o_orderpriority as title,
        'https://x.com/' || case when c_custkey % 5 > 0 then 'u' || cast(c_custkey as varchar) else 'i/web' end || '/status/' || cast(o_orderkey as varchar) as url
-from orders left join customer on o_custkey = c_custkey where o_orderkey % 9 > 0
+from orders left join customer on o_custkey = c_custkey
 """
 
 
@@ -190,14 +190,14 @@ select event_id, event_id % 7 in (3, 4) as strict, event_id % 7 in (3, 4) as loo
 def review_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best stories with what each persona says of them, as far as kept reviews tell."""
     n = F.col("event_id")
-    items = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), n.cast("string")).alias("story_id"), F.col("event_type").alias("title"), F.when(n % 3 > 0, F.floor(F.abs("value") / 10)).alias("persona_score"), (n % 100 / 100.0).alias("importance"))
+    items = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), n.cast("string")).alias("story_id"), F.col("event_type").alias("title"), F.floor(F.abs("value") / 10).alias("persona_score"), (n % 100 / 100.0).alias("importance"))
     cache = items.select(enrich.review_key(F.col("story_id"), F.lit("cynic"), F.lit("v1")).alias("key"), enrich.title_mark(F.col("title")).alias("title_mark"), F.lit("seen").alias("review"), F.lit("77.5").alias("score"), F.lit(NOW).alias("scored_at"))
     told = enrich.reviewed(enrich.top_stories(items), [("pragmatic", "v1"), ("cynic", "v1")], enrich.kept_reviews(cache, NOW))
     return told.select("rank", "story_id", "persona", "review", "score")
 
 
 REVIEW_BOARD_SQL = """
-with i as (select 's' || cast(event_id as varchar) as story_id, floor(abs(value) / 10) as p, event_id % 100 / 100.0 as imp from events where event_id % 3 > 0), t as (
+with i as (select 's' || cast(event_id as varchar) as story_id, floor(abs(value) / 10) as p, event_id % 100 / 100.0 as imp from events), t as (
   select *, cast(row_number() over (order by p desc, imp desc, story_id) as integer) as rank from i
 )
 select rank, story_id, 'pragmatic' as persona, cast(null as varchar) as review, cast(null as integer) as score from t where rank <= 3 union all select rank, story_id, 'cynic', 'seen', 78 from t where rank <= 3

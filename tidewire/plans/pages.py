@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import glossary, publish
 from ..operators.graph import shared_folder
-from ..sources import embedded, markup, payloads, wiki
+from ..sources import embedded, markup, payloads, social, wiki
 from .items import NOW, NOW_S, START_S, table
 from .queries import Query
 
@@ -205,6 +205,50 @@ def repaired_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPAIRED_TITLES_SQL = f"select doc_id, trim(list_extract({_REPAIRED}, cast(doc_id % {len(_REPAIRED)} + 1 as integer)) || ' ' || coalesce(source, '')) as title from documents"
 
+
+def social_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as answers of a list: posts, replies, bots, an excluded author and posts told twice; why each is left out."""
+    turns = table(spark, sf_dir, "conversations")
+    n = F.col("conv_id")
+    post = F.struct(
+        F.concat(F.floor(n / 2).cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id_str"), F.when(F.col("turn") % 4 == 3, "reply").when(F.col("turn") % 4 == 2, "quote").alias("type"), F.col("text").alias("full_text"),
+        F.date_format(F.timestamp_seconds(F.lit(START_S) + n), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("tweet_created_at"), F.struct(F.concat(F.lit("@U"), (n % 7).cast("string")).alias("screen_name"), (n % 5 == 0).alias("default_profile_image")).alias("user"), F.col("turn").alias("reply_count"),
+    )
+    bodies = turns.groupBy(n.alias("pos")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", post.alias("p")))), lambda x: x["p"]).alias("tweets"))).alias("body"))
+    judged = social.judged_list(bodies, NOW, excluded=["@u3 "])
+    return judged.select("pos", F.col("at"), "post_id", "source", "url", F.unix_seconds("published_at").alias("published"), F.col("counts.reply_count").alias("replies"), "skipped", (F.col("title") != "").alias("titled"))
+
+
+SOCIAL_POSTS_SQL = f"""
+with t as (
+  select conv_id as pos, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as "at", (conv_id // 2) || '-' || turn as post_id, 'U' || (conv_id % 7) as u, turn, conv_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) <> '' as titled from conversations
+), w as (
+  select *, case when turn % 4 = 3 then 'retweet_or_reply' when conv_id % 7 = 3 then 'excluded_author' when conv_id % 5 = 0 then 'bot_like' when not titled then 'empty' end as why from t
+)
+select pos, "at", post_id, '@' || u as source, 'https://x.com/' || u || '/status/' || post_id as url, cast({START_S} + conv_id as bigint) as published, cast(turn as bigint) as replies,
+       case when why is null and row_number() over (partition by post_id, why is null order by pos, "at") > 1 then 'duplicate' else why end as skipped, titled
+from w
+"""
+
+
+def mail_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' mails as a digest that tells neither address nor body."""
+    key = F.col("c_custkey")
+    mail = F.struct(
+        F.concat(F.lit("<m"), key.cast("string"), F.lit("@h>")).alias("message_id"), F.concat(F.col("c_name"), F.lit(" <u"), key.cast("string"), F.lit("@"), F.when(key % 3 == 0, "News.Example.com").when(key % 3 == 1, "example.com").otherwise("other.org"), F.lit(">")).alias("from"),
+        F.concat(F.lit("Subject  of "), F.col("c_name")).alias("subject"), F.concat(F.lit("write to a.b@c.de or "), F.col("c_mktsegment")).alias("preview"), F.when(key % 2 == 0, "2024-01-01").alias("timestamp"), F.lit("2024-01-02").alias("created_at"),
+        F.sequence(F.lit(0), (key % 3).cast("int")).alias("attachments"),
+    )
+    bodies = table(spark, sf_dir, "customer").groupBy((key % 50).alias("pos")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(mail)).alias("messages"))).alias("body"))
+    return social.mail_digest(bodies, ["example.com"]).drop("at")
+
+
+MAIL_DIGESTS_SQL = """
+select c_custkey % 50 as pos, 'agentmail:' || left(sha1('<m' || c_custkey || '@h>'), 12) as id, case c_custkey % 3 when 0 then 'news.example.com' else 'example.com' end as sender_domain, 'AgentMail · ' || case c_custkey % 3 when 0 then 'news.example.com' else 'example.com' end as source,
+       'Subject of ' || c_name as subject, 'write to [redacted-email] or ' || c_mktsegment as preview, case when c_custkey % 2 = 0 then '2024-01-01' else '2024-01-02' end as received_at, cast(c_custkey % 3 + 1 as integer) as attachments
+from customer where c_custkey % 3 < 2
+"""
+
 #: name: (query, SQL or None)
 PAGES: dict[str, tuple[Query, str | None]] = {
     "page_links": (page_links, PAGE_LINKS_SQL),
@@ -214,5 +258,7 @@ PAGES: dict[str, tuple[Query, str | None]] = {
     "creator_notes": (creator_notes, CREATOR_NOTES_SQL),
     "payload_shapes": (payload_shapes, PAYLOAD_SHAPES_SQL),
     "published_archive": (published_archive, PUBLISHED_ARCHIVE_SQL),
+    "social_posts": (social_posts, SOCIAL_POSTS_SQL),
+    "mail_digests": (mail_digests, MAIL_DIGESTS_SQL),
     "repaired_titles": (repaired_titles, REPAIRED_TITLES_SQL),
 }
