@@ -93,15 +93,19 @@ ZONES = {
     "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "CET": "+0100", "CEST": "+0200", "EST": "-0500", "EDT": "-0400", "PST": "-0800", "PDT": "-0700",
     "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "BST": "+0100", "JST": "+0900",
 }
-#: Forms of dates, the zone's offset behind them.
-FORMS = (
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]xx", "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]xx", "yyyy-MM-dd'T'HH:mmxx", "yyyy-MM-dd HH:mmxx", "yyyy-MM-ddxx", "yyyy/M/dxx", "yyyy-MM-dd h:mm:ssaxx",
-    "d MMM yyyy HH:mm:ssxx", "d MMM yyyy HH:mmxx", "d MMM yyyyxx", "MMM d, yyyyxx", "MMMM d, yyyyxx",
-)
+#: How a date looks, and the forms that such a one may have, the zone's offset behind them.
+FORMS = {
+    r"^\d{4}-\d{2}-\d{2}T": ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]xx", "yyyy-MM-dd'T'HH:mmxx"),
+    r"^\d{4}-\d{2}-\d{2} ": ("yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]xx", "yyyy-MM-dd HH:mmxx", "yyyy-MM-dd h:mm:ssaxx"),
+    r"^\d{4}-": ("yyyy-MM-ddxx",),
+    r"^\d{4}/": ("yyyy/M/dxx",),
+    r"^\d+ [A-Za-z]": ("d MMM yyyy HH:mm:ssxx", "d MMM yyyy HH:mmxx", "d MMM yyyyxx"),
+    r"^[A-Za-z]": ("MMM d, yyyyxx", "MMMM d, yyyyxx"),
+}
 
 
 def written_date(text: Column) -> Column:
-    """A date as feeds write it, in any of FORMS, UTC where no zone is told; null for anything else."""
+    """A date as feeds write it, in any of FORMS, UTC where no zone is told; null for anything else. Only the forms that it looks like are tried."""
     offsets = F.create_map(*(F.lit(x) for pair in ZONES.items() for x in pair))
 
     def whole(plain: Column) -> Column:
@@ -112,7 +116,14 @@ def written_date(text: Column) -> Column:
         return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(plain, F.lit("+0000"))).otherwise(let(offset, lambda o: F.when(o.isNull(), F.concat(plain, F.lit("+0000"))).otherwise(F.concat(bare, o))))
 
     plain = F.regexp_replace(F.regexp_replace(stripped(text), r"^[A-Za-z]{3,9},\s*", ""), r"\s+", " ")
-    return let(let(plain, whole), lambda w: F.coalesce(*(F.try_to_timestamp(w, F.lit(p)) for p in FORMS)))
+
+    def parsed(w: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+        for look, forms in FORMS.items():
+            out = out.when(w.rlike(look), F.coalesce(*(F.try_to_timestamp(w, F.lit(p)) for p in forms)))
+        return out
+
+    return let(let(plain, whole), parsed)
 
 
 def any_date(text: Column, now: datetime) -> Column:
@@ -120,8 +131,10 @@ def any_date(text: Column, now: datetime) -> Column:
 
     def read(plain: Column) -> Column:
         twelve = F.regexp_extract(plain, r"(\d{4}-\d{2}-\d{2}\s+\d{1,2}:\d{2}:\d{2}[AP]M)\s+UTC", 1)
-        dated = F.coalesce(relative_time_zh(plain, now), written_date(F.coalesce(F.nullif(twelve, F.lit("")), plain)))
-        return F.when(plain.rlike(r"^\d{9,}$"), unix_time(plain)).otherwise(dated)
+        written = let(F.coalesce(F.nullif(twelve, F.lit("")), plain), written_date)
+        # Only texts with Chinese letters, or a bare time of day, tell a relative time.
+        relative = plain.rlike(r"[\x{4e00}-\x{9fff}]|^\s*\d{1,2}:\d{2}$")
+        return F.when(plain.rlike(r"^\d{9,}$"), unix_time(plain)).when(relative, F.coalesce(relative_time_zh(plain, now), written)).otherwise(written)
 
     return let(F.regexp_replace(stripped(text), r"^\$D", ""), read)
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 
@@ -107,10 +106,6 @@ def ceilings(left: list[Title], right: list[Title], pairs: list[tuple[int, int]]
     return out
 
 
-def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
-
-
 def differing(left: list[int], right: list[int], bits: int = BITS) -> np.ndarray:
     """(left, right): in how many bits two numbers differ."""
     table = lambda numbers: np.frombuffer(b"".join(n.to_bytes(bits // 8, "little") for n in numbers), np.uint64).reshape(len(numbers), bits // 64).T

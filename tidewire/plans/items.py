@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words_of
+from ..operators.graph import written
 
 SITES = ["official_ai", "curated_media", "aibase", "opmlrss", "hackernews", "newsnow", "zeli"]
 #: Documents appear one a minute from here.
@@ -21,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SNAPSHOTS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def snapshot(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """What several queries of one session read of a folder's items: derived and written by the first of them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SNAPSHOTS:
+        _SNAPSHOTS[key] = written(make(spark, sf_dir))
+    return _SNAPSHOTS[key]
+
+
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items: the first line is the title, copies share a URL."""
     docs = table(spark, sf_dir, "documents")

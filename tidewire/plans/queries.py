@@ -14,7 +14,7 @@ from ..functions.urls import canonical, host_of, normalized, public
 from ..operators import archive, audit, dedup, govern, overlap, stories
 from ..operators.graph import written
 from ..sources.landing import html_context
-from .items import ITEMS_SQL, NOW, NOW_S, SITES, START_S, document_items, table
+from .items import ITEMS_SQL, NOW, NOW_S, SITES, START_S, document_items, snapshot, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,7 +114,7 @@ def scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored once and written: what follows reads it as often as it needs, under a small plan."""
-    return written(scored_items(spark, sf_dir))
+    return snapshot(spark, sf_dir, "scored", scored_items)
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from ..functions import reading as r
 from ..functions.scores import site_rank
 from ..operators import audit, reading, status, stories
 from ..operators.graph import written
-from .items import NOW, NOW_S, table
-from .queries import SCORED_SQL, STORIES_SQL, Query, _scored, scored_items
+from .items import NOW, NOW_S, snapshot, table
+from .queries import SCORED_SQL, STORIES_SQL, Query, _scored
 
 MIX = ["aihot", "socialdata_x", "hackernews", "tikhub_douyin", "zeli", "newsnow", "waytoagi"]
 NAMES = ["AI HOT", "X", "Hacker News", "TikHub Douyin", "Zeli", "NewsNow", "WaytoAGI"]
@@ -18,7 +18,7 @@ NAMES = ["AI HOT", "X", "Hacker News", "TikHub Douyin", "Zeli", "NewsNow", "Wayt
 
 def _viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot that lists are read from, derived once and written."""
-    return written(reading.viewed(reading.safe(scored_items(spark, sf_dir)), NOW))
+    return snapshot(spark, sf_dir, "viewed", lambda *_: reading.viewed(reading.safe(_scored(spark, sf_dir)), NOW))
 
 
 def _pct(x: str) -> str:
@@ -329,7 +329,7 @@ from m
 
 def story_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories as rows of the list: section, source signals, further members."""
-    keyed = written(stories.by_article(reading.viewed(scored_items(spark, sf_dir), NOW)).withColumnRenamed("story_key", "story_id"))
+    keyed = written(stories.by_article(reading.viewed(_scored(spark, sf_dir), NOW)).withColumnRenamed("story_key", "story_id"))
     records = stories.story_records(keyed.withColumnRenamed("story_id", "story_key"), NOW).drop("story_id").withColumnRenamed("story_key", "story_id")
     return reading.story_rows(records.select("story_id", "primary_id", "url"), keyed).select("story_id", "section", F.array_join("signals", "|").alias("signals"), "others")
 
@@ -342,7 +342,7 @@ select url as story_id, max(case when id = primary_id then section end) as secti
 
 def source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 60 sites of the status list: by tier, share kept, items and name."""
-    items = written(scored_items(spark, sf_dir))
+    items = _scored(spark, sf_dir)
     asked = items.select("source").distinct().select(F.col("source").alias("site_id"), F.col("source").alias("site_name"))
     order = status.status_order(site_rank(F.col("site_id")))
     first = status.site_table(items, items.where("ai_is_related"), asked).orderBy(*order).limit(60)
@@ -358,7 +358,7 @@ select site_id, site_name, count, raw_count, cast(place as integer) as place fro
 
 
 def relevance_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.relevance_audit(written(scored_items(spark, sf_dir)))
+    return audit.relevance_audit(_scored(spark, sf_dir))
 
 
 RELEVANCE_AUDIT_SQL = f"""
@@ -370,7 +370,7 @@ union all select 'review', id, 1, ai_score from (select * from scored where ai_s
 
 def scoring_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commonest label changes, and the first items that either of two scorers keeps alone."""
-    items, label = written(scored_items(spark, sf_dir)), F.col("ai_label")
+    items, label = _scored(spark, sf_dir), F.col("ai_label")
     before = (F.col("ai_is_related"), label)
     after = ((F.col("ai_is_related") & (F.col("ai_score") >= 0.7)) | (F.size("ai_signals") >= 3), F.when(F.col("source_tier") == "official", "official").otherwise(label))
     moves = audit.label_moves(items, before, after).select(F.lit("move").alias("part"), F.concat_ws(">", "label_before", "label_after").alias("name"), "n")
