@@ -89,7 +89,9 @@ def test_dates_in_many_forms(spark):
     told = {
         "Tue, 30 Jun 2026 22:01:15 GMT": "2026-06-30 22:01:15", "2026-06-30T10:00:00.123+08:00": "2026-06-30 02:00:00.123", "30 Jun 2026 10:00:00 EST": "2026-06-30 15:00:00", "Jun 3, 2026": "2026-06-03 00:00:00",
         "2026-02-19 11:54:21AM UTC": "2026-02-19 11:54:21", "1782900000": "2026-07-01 10:00:00", "1782900000000": "2026-07-01 10:00:00", "3分钟前": "2026-06-30 23:57:00", "今天 08:00": "2026-06-30 08:00:00", "00:04": "2026-07-01 00:04:00",
-        "7月4日": "2025-07-04 00:00:00", "7月2日": "2026-07-02 00:00:00", "2月30日": None, "25:61": None, "": None, "soon": None, None: None, "$D2026-06-30": "2026-06-30 00:00:00",
+        "7月4日": "2025-07-04 00:00:00", "7月2日": "2026-07-02 00:00:00", "2月30日": None, "25:61": None, "Wed Jun  3 10:00:00 2026": "2026-06-03 10:00:00", "June 3rd, 2026": "2026-06-03 00:00:00", "3 June 2026 10:05": "2026-06-03 10:05:00", "Wednesday, June 3, 2026 9:05 PM": "2026-06-03 21:05:00", "Jun. 3 2026": "2026-06-03 00:00:00", "6/3/2026": "2026-06-03 00:00:00",
+        "13/6/2026 08:00": "2026-06-13 08:00:00", "2026.6.3": "2026-06-03 00:00:00", "2026-6-3 7:05": None, "20260603T100000Z": "2026-06-03 10:00:00", "3-Jun-2026": "2026-06-03 00:00:00", "2026-06-03 9:05 PM": "2026-06-03 21:05:00", "Jun 3, 2026 10:00 AM EST": "2026-06-03 15:00:00", "May 5 2026": "2026-05-05 00:00:00",
+        "": None, "soon": None, None: None, "$D2026-06-30": "2026-06-30 00:00:00",
     }
     df = spark.createDataFrame([(k,) for k in told], "t string").select("t", F.date_format(times.any_date(F.col("t"), NOW), "yyyy-MM-dd HH:mm:ss[.SSS]").alias("at"))
     got = {r.t: r.at and r.at.removesuffix(".000") for r in df.collect()}

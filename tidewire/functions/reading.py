@@ -47,6 +47,7 @@ OTHER_PRIORITY = 50
 # What the parts of an item's priority weigh, and the least of each grade.
 PRIORITY_WEIGHTS = {"editorial": 0.3, "tier": 0.22, "score": 0.2, "freshness": 0.18, "signals": 0.1}
 GRADES = {"A+": 92, "A": 82, "B": 70}
+# Models whose name stands for an event, and punctuation that event texts are without.
 MODEL_KEYS = r"(bitcpmcann|deepseekv\d+(?:pro)?|grokv\d+(?:medium)?|gemini\d+(?:\.\d+)?(?:flash|pro)?|gpt\d+(?:\.\d+)?|llama\d+)"
 EVENT_PUNCTUATION = r"[，。、“”‘’：:；;！!？?（）()\[\]【】《》<>·.,/\\|_-]"
 

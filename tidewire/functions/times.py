@@ -96,11 +96,16 @@ ZONES = {
 #: How a date looks, and the forms that such a one may have, the zone's offset behind them.
 FORMS = {
     r"^\d{4}-\d{2}-\d{2}T": ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]xx", "yyyy-MM-dd'T'HH:mmxx"),
-    r"^\d{4}-\d{2}-\d{2} ": ("yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]xx", "yyyy-MM-dd HH:mmxx", "yyyy-MM-dd h:mm:ssaxx"),
-    r"^\d{4}-": ("yyyy-MM-ddxx",),
-    r"^\d{4}/": ("yyyy/M/dxx",),
-    r"^\d+ [A-Za-z]": ("d MMM yyyy HH:mm:ssxx", "d MMM yyyy HH:mmxx", "d MMM yyyyxx"),
-    r"^[A-Za-z]": ("MMM d, yyyyxx", "MMMM d, yyyyxx"),
+    r"^\d{4}-\d{2}-\d{2} ": ("yyyy-MM-dd HH:mm:ss[.SSSSSSSSS]xx", "yyyy-MM-dd HH:mmxx", "yyyy-MM-dd h:mm:ssaxx", "yyyy-MM-dd h:mm[:ss] axx"),
+    r"^\d{4}-": ("yyyy-M-d[ HH:mm[:ss]]xx",),
+    r"^\d{4}/": ("yyyy/M/d[ HH:mm[:ss]]xx",),
+    r"^\d{4}\.": ("yyyy.M.d[ HH:mm[:ss]]xx",),
+    r"^\d{8}": ("yyyyMMdd['T'HHmmss]xx",),
+    r"^\d+/\d+/": ("M/d/yyyy[ HH:mm[:ss]]xx", "M/d/yyyy h:mm[:ss] axx", "d/M/yyyy[ HH:mm[:ss]]xx"),
+    r"^\d+[ -][A-Za-z]{3}[ -]": ("d MMM yyyy[ HH:mm[:ss]]xx", "d MMM yyyy h:mm[:ss] axx", "d-MMM-yyyy[ HH:mm[:ss]]xx"),
+    r"^\d+ [A-Za-z]": ("d MMMM yyyy[ HH:mm[:ss]]xx", "d MMMM yyyy h:mm[:ss] axx"),
+    r"^[A-Za-z]{3} \d": ("MMM d, yyyy[ HH:mm[:ss]]xx", "MMM d yyyy[ HH:mm[:ss]]xx", "MMM d, yyyy h:mm[:ss] axx", "MMM d yyyy h:mm[:ss] axx", "MMM d HH:mm:ss yyyyxx"),
+    r"^[A-Za-z]": ("MMMM d, yyyy[ HH:mm[:ss]]xx", "MMMM d yyyy[ HH:mm[:ss]]xx", "MMMM d, yyyy h:mm[:ss] axx", "MMMM d yyyy h:mm[:ss] axx"),
 }
 
 
@@ -115,7 +120,8 @@ def written_date(text: Column) -> Column:
         bare = F.regexp_replace(plain, r"\s?([A-Z]{1,4}|[+-]\d{2}:?\d{2})$", "")
         return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(plain, F.lit("+0000"))).otherwise(let(offset, lambda o: F.when(o.isNull(), F.concat(plain, F.lit("+0000"))).otherwise(F.concat(bare, o))))
 
-    plain = F.regexp_replace(F.regexp_replace(stripped(text), r"^[A-Za-z]{3,9},\s*", ""), r"\s+", " ")
+    day = r"^(?:[A-Za-z]{3,9},\s*|(?i:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*\.?\s+))"
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(stripped(text), day, ""), r"\s+", " "), r"(?<=\d)(st|nd|rd|th)\b|(?<=[A-Za-z]{3})\.(?= \d)", "")
 
     def parsed(w: Column) -> Column:
         out = F.when(F.lit(False), F.lit(None).cast("timestamp"))
