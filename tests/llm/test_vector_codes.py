@@ -60,6 +60,8 @@ def test_few_rows_hot_label_and_lengths(spark):
     # Another length and too large a component take no part.
     odd = few + [(9, 1, [1.0] * 7), (10, 1, [1e30] * 8), (11, 1, [])]
     assert sorted(map(tuple, V.vector_codes(frame(odd)).collect()), key=str) == brute(few)
+    large = few + [(12, 2, [120_000.0] * 8), (13, 2, [-120_000.5] * 7 + [0.25]), (14, None, [119_999.75] * 8)]
+    assert sorted(map(tuple, V.vector_codes(frame(large)).collect()), key=str) == brute(large)
     # Ten components are filled up to sixteen.
     ten = [(k, 1, [k / 3] * 10) for k in range(30)]
     assert sorted(map(tuple, V.vector_codes(frame(ten)).collect()), key=str)[0][1:4] == brute([(i, label, v + [0.0] * 6) for i, label, v in ten])[0][1:4]
@@ -67,7 +69,7 @@ def test_few_rows_hot_label_and_lengths(spark):
     assert V.vector_codes(frame(few).limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("size", [8, 1000, 1 << 23])
+@pytest.mark.parametrize("size", [8, 1000, 1 << 23, 1 << 26])
 def test_intervals_hold_the_nearest_entry(size):
     """Entries that float32 can't tell apart, at sizes where its products round."""
     rng = np.random.default_rng(size)

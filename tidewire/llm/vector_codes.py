@@ -1,12 +1,12 @@
 """Vector codes by product quantization; nearest entries by float32 screening with rounding-error intervals.
 
 A product in float32 tells most nearest entries apart, but not ties or close
-ones. For whole numbers of at most 2**24 the inputs are exact, so a float32
-inner product of d terms, summed in any order, is off by at most
-g |x| |c| with g = d u / (1 - d u), u = 2**-24. That gives every entry an
-interval for |c|^2 - 2 x.c; an entry whose interval lies above the smallest
-upper end can't be nearest. Where more than one is left, exactly these are
-evaluated again in int64, and ties go to the lowest index.
+ones. An inner product of d terms, both factors rounded to float32 and summed in
+any order, is off by at most g |x| |c| with g = n u / (1 - n u), n = d + 2,
+u = 2**-24. That gives every entry an interval for |c|^2 - 2 x.c; an entry whose
+interval lies above the smallest upper end can't be nearest. Where more than one
+is left, exactly these are evaluated again in int64, and ties go to the lowest
+index.
 
 Each round is one pass in which a task adds up what its rows give to an entry;
 Spark adds up tasks. Codebooks alone (entries times components) meet at the
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
-#: Components at most, in size: float32 holds them, and sums of squares stay in int64 up to 8,192 components.
-LARGEST = 1 << 24
+#: A vector's length times its largest component's square is below this, so that squared distances fit int64.
+LARGEST = 1 << 61
 #: Rows that are screened at a time.
 BLOCK = 1 << 14
 
@@ -35,9 +35,9 @@ BLOCK = 1 << 14
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Of each row of x the index of its nearest entry, the squared distance, and how many rows were evaluated again.
 
-    x and book hold int64 of at most LARGEST; ties go to the lowest index.
+    x and book hold int64 within LARGEST; ties go to the lowest index.
     """
-    terms = x.shape[1]
+    terms = x.shape[1] + 2
     u32, u64 = 2.0**-24, 2.0**-53
     g = terms * u32 / (1 - terms * u32)
     product = (x.astype(np.float32) @ book.T.astype(np.float32)).astype(np.float64)
@@ -68,7 +68,8 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def scaled(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, label, v): floor(scale x) of each component x as a double, of rows whose vector can take part."""
-    ok = F.forall("v", lambda x: F.coalesce(F.abs(F.lit(float(scale)) * x.cast("double")) < F.lit(float(LARGEST)), F.lit(False)))
+    largest = F.sqrt(F.lit(float(LARGEST)) / F.greatest(F.size("v"), F.lit(1))) - 1
+    ok = F.forall("v", lambda x: F.coalesce(F.abs(F.lit(float(scale)) * x.cast("double")) < largest, F.lit(False)))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     return rows.where(F.col("v").isNotNull() & ok).withColumn("v", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int")))
 
@@ -125,8 +126,9 @@ def vector_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     all final entries' components.
 
     No part take vectors that are null or hold a component that is null, not
-    finite or of 2**24 or more after scaling, and those of another length than
-    the one of the smallest id. A length that doesn't divide is filled up with
+    finite or so large that squared distances might not fit int64 (some 46,000
+    for 64 components), and those of another length than the one of the
+    smallest id. A length that doesn't divide is filled up with
     zeros, which change no distance. Of fewer rows than entries each is one.
     Rows of one id keep their order by their vectors, null ids come last; all
     rows are kept. An empty table gives no rows. Other columns play no part.
