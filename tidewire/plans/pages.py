@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import glossary, publish
-from ..operators.graph import shared_folder
+from ..operators.graph import shared_folder, written
 from ..sources import embedded, markup, payloads, social, wiki
 from .items import NOW, NOW_S, START_S, table
 from .queries import Query
@@ -18,7 +18,7 @@ _LINK = r'<a href="([^"]*)">([^<]*)</a>'
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and headings of raw pages, whose paragraphs and bold runs are often left open: how deep they stand, and whether in a navigation."""
-    all_ = markup.elements(table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), "html"), ["nav", "a", "h1"])
+    all_ = written(markup.elements(table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), "html"), ["nav", "a", "h1"]))
     inside = markup.within(all_.where("tag = 'nav'"), all_.where("tag <> 'nav'")).select("page", "pos").distinct().withColumn("in_nav", F.lit(True))
     rows = all_.where("tag <> 'nav'").join(inside, ["page", "pos"], "left")
     return rows.groupBy(F.col("page").alias("page_id"), "tag").agg(

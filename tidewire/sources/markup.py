@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.text import stripped
 from ..functions.times import any_date
 from ..functions.urls import joined
+from ..operators.graph import written
 from .payloads import _item
 
 #: Elements without an end, and those whose text is no text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SILENT = {"script", "style"}
+#: Characters of pages whose elements are handed on together.
+FRAME_CHARS = 1 << 20
 
 
 class _Elements(HTMLParser):
@@ -87,10 +90,15 @@ def elements(pages: DataFrame, tags: list[str] | None = None) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out, size = [], 0
             for page, html in zip(frame["page"], frame["html"]):
-                found = _Elements(names).read(html or "")
-                if found:
-                    yield pd.DataFrame([{"page": page, **x} for x in found], columns=columns)
+                out += [{"page": page, **x} for x in _Elements(names).read(html or "")]
+                size += len(html or "")
+                if size > FRAME_CHARS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     kind = pages.schema["page"].dataType.simpleString()
     return pages.select("page", "html").mapInPandas(run, f"page {kind}, pos int, last int, depth int, tag string, attributes map<string,string>, text string")
@@ -123,7 +131,7 @@ def _of(all_: DataFrame, tag: str | None, *classes: str) -> DataFrame:
 
 def publisher_items(pages: DataFrame, now: datetime) -> DataFrame:
     """Items of an aggregator's page (page, html) of publishers' blocks: links with a source and a hint of their time."""
-    all_ = elements(pages)
+    all_ = written(elements(pages))
     block = _of(all_, "div", "publisher-block")
     label = within(block, _of(all_, None, "publisher-text"))
     inner = lambda name: within(label.select("page", "pos", "last"), _of(all_, None, name)).drop("outer")
@@ -142,7 +150,7 @@ def publisher_items(pages: DataFrame, now: datetime) -> DataFrame:
 
 def headline_items(pages: DataFrame, now: datetime) -> DataFrame:
     """Items of a page (page, html) of links under /news/ with a heading."""
-    all_ = elements(pages, ["a", "h3", "div", "span"])
+    all_ = written(elements(pages, ["a", "h3", "div", "span"]))
     link = _of(all_, "a").where(F.startswith(F.col("attributes")["href"], F.lit("/news/")))
     title = first_within(link, _of(all_, "h3"), F.col("text"), "title")
     grey = within(_of(all_, "div", "text-sm", "text-gray-400").select("page", "pos", "last"), _of(all_, "span")).drop("outer")
@@ -153,7 +161,7 @@ def headline_items(pages: DataFrame, now: datetime) -> DataFrame:
 
 def newsletter_links(pages: DataFrame, now: datetime) -> DataFrame:
     """Items of a newsletter's page (page, html) where its list can't be had: links with titles of eight characters or more, each URL once."""
-    all_ = elements(pages, ["a", "time"])
+    all_ = written(elements(pages, ["a", "time"]))
     link = _of(all_, "a").where(F.contains(F.col("attributes")["href"], F.lit("/newsletter")))
     at = first_within(link, _of(all_, "time"), F.coalesce(F.nullif(F.col("attributes")["datetime"], F.lit("")), F.col("text")), "hint")
     url = joined("https://www.bestblogs.dev", stripped(F.col("attributes")["href"]))

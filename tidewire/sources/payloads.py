@@ -169,9 +169,10 @@ def page_posts(pages: DataFrame, now: datetime) -> DataFrame:
 def objects_of(body: str | None) -> Iterator[dict]:
     """Every object of a JSON body before those within it, whatever its depth; none of a body that can't be read."""
     try:
-        left = [json.loads(body)]
+        whole = json.loads(body)
     except (TypeError, ValueError, RecursionError):
         return
+    left = [whole]
     while left:
         value = left.pop()
         if isinstance(value, dict):
@@ -186,11 +187,25 @@ def _shallow(value: dict, depth: int) -> dict:
     return {k: _shallow(v, depth - 1) if isinstance(v, dict) else v for k, v in value.items() if not isinstance(v, list) and (depth > 1 or not isinstance(v, dict))}
 
 
-def nested(body: Column, keys: list[str], depth: int = 3) -> Column:
-    """Every object of a JSON body that has one of the keys, outer ones first, as JSON of `depth` levels without lists."""
+def nested(body: Column, keys: list[str], wrappers: list[str], depth: int = 3) -> Column:
+    """Every object of a JSON body that has one of the keys or wrappers, outer ones first, as JSON of `depth` levels without lists.
+
+    What an object wraps (the first of its wrappers that holds an object) comes with it and not again by itself.
+    """
+    wanted = {*keys, *wrappers}
+
+    def found(body: str | None) -> list[str]:
+        out, inner = [], set()
+        for x in objects_of(body):
+            child = next((x[w] for w in wrappers if isinstance(x.get(w), dict)), None)
+            if child is not None:
+                inner.add(id(child))  # all objects of a body are alive until its walk ends
+            if id(x) not in inner and not x.keys().isdisjoint(wanted):
+                out.append(json.dumps(_shallow(x, depth), ensure_ascii=False))
+        return out
 
     def each(bodies: pd.Series) -> pd.Series:
-        return pd.Series([[json.dumps(_shallow(x, depth), ensure_ascii=False) for x in objects_of(b) if not x.keys().isdisjoint(keys)] for b in bodies], dtype=object)
+        return pd.Series([found(b) for b in bodies], dtype=object)
 
     return F.pandas_udf(each, "array<string>")(body)
 
@@ -255,7 +270,7 @@ def videos(payloads: DataFrame, now: datetime) -> DataFrame:
     counts = ["digg_count", "like_count", "comment_count", "comments_count", "collect_count", "collected_count", "share_count", "shared_count"]
     fields = ["aweme_id", "awemeId", "desc", "title", "caption", "share_url", *times]
     video = ",".join(f"{f}:string" for f in fields) + f",share_info:struct<share_desc:string,share_title:string,share_url:string>,author:struct<nickname:string,unique_id:string>,statistics:struct<{','.join(f'{c}:string' for c in counts)}>"
-    found = nested(F.col("body"), ["aweme_info", "aweme_id", "awemeId"])
+    found = nested(F.col("body"), ["aweme_id", "awemeId"], ["aweme_info"])
     rows = payloads.select("pos", F.posexplode(found).alias("at", "j")).select("pos", "at", F.coalesce(F.from_json("j", f"aweme_info struct<{video}>")["aweme_info"], F.from_json("j", f"struct<{video}>")).alias("v"))
     told = F.array(*(F.coalesce(f"v.{c}", F.lit("")) for c in ("desc", "title", "caption", "share_info.share_desc", "share_info.share_title")))
     title = F.get(F.filter(F.transform(told, lambda t: snippet(t, 220)), lambda t: (t != "") & ~_generic_sound(t)), 0)
@@ -282,7 +297,7 @@ def notes(payloads: DataFrame, now: datetime) -> DataFrame:
     strings = lambda names: [f"{n}:string" for n in names]
     own = "map<string,string>"  # two of the names differ in case alone
     note = ",".join([*strings(dict.fromkeys([*NOTE_IDS, *NOTE_TITLES, *NOTE_LINKS, *NOTE_TIMES, *NOTE_COUNTS, "xsec_token"])), f"user:{own}", f"user_info:{own}", f"interact_info:struct<{','.join(strings(NOTE_COUNTS))}>"])
-    found = nested(F.col("body"), [*NOTE_KEYS, *NOTE_IDS])
+    found = nested(F.col("body"), NOTE_IDS, NOTE_KEYS)
     rows = payloads.select("pos", F.posexplode(found).alias("at", "j")).select("pos", "at", F.from_json("j", f"struct<{note}>").alias("o"), F.from_json("j", f"struct<{','.join(f'{k}:struct<{note}>' for k in NOTE_KEYS)}>").alias("w"))
     rows = rows.select("pos", "at", "o", F.coalesce(*(F.col(f"w.{k}") for k in NOTE_KEYS), "o").alias("n"))
     of = lambda *names: F.coalesce(*(F.nullif(n, F.lit("")) for n in names), F.lit(""))
