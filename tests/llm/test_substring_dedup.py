@@ -74,3 +74,31 @@ def test_ids_must_be_whole_numbers(spark):
 
 def test_empty_table(spark):
     assert D.without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_many_texts_under_one_id(spark):
+    draw = random.Random(4)
+    runs = [" ".join(f"r{k}_{j}" for j in range(60)) for k in range(12)]
+    texts = [f"{draw.choice(runs)} own{k} {draw.choice(runs)}" for k in range(60)]
+    rows = [(0, runs[0]), (1, texts[0]), (1, "short"), (1, None)] + [(7, t) for t in texts] + [(7, "short"), (7, runs[0]), (8, texts[1]), (8, texts[0])]
+    got = D.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_words) for r in got), key=str) == brute(rows, 50)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_texts_are_shuffled_once(spark, monkeypatch, tmp_path, small):
+    if not small:
+        monkeypatch.setattr(D, "counted", lambda df: (D.written(df), 1 << 30))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    rows = [(d, " ".join(f"w{d % 3 if k < 70 else d}_{k}" for k in range(80))) for d in range(30)] + [(1, " ".join(f"w2_{k}" for k in range(70)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    out = D.without_repeats(spark.read.parquet(f"{tmp_path}/docs"))
+    try:
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_words) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted(brute(rows, 50))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    shuffled = [k for k, line in enumerate(plan) if "- Exchange hashpartitioning" in line and "text#" in plan[k + 1] and "MapInArrow" not in plan[k + 1]]
+    assert len(shuffled) == 1, plan
+    assert sum("ReusedExchange" in line and "text#" in line for line in plan) == 2

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import counted, whole_ids
+from .shared import counted, whole_ids, written
 from .words import Words, byte_slices, split_words
 
 #: Perfect difference sets by period: every residue is a difference of two members.
@@ -41,8 +41,6 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Bytes of text that meet in a batch to settle repeats.
 BATCH_BYTES = 8 << 20
-#: Places are whole numbers of 32 bits, under the 31 bits that tell rows of one id apart.
-PLACE = 32
 
 
 def period_for(length: int) -> int:
@@ -101,7 +99,7 @@ def _place(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Cover:
-    """The words of rows (id, text) that repeat a window of a document with a smaller id."""
+    """The words of rows (id, text, text_key) that repeat a window of a document with a smaller id."""
 
     def __init__(self, length: int) -> None:
         self.length, self.period = length, period_for(length)
@@ -109,10 +107,10 @@ class Cover:
         self.member = np.isin(np.arange(self.period), COVERS[self.period])
 
     def anchors(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, id, at, settled): anchors by place."""
+        """(key, id, text_key, at, settled): anchors by place."""
         for batch in batches:
             for part in byte_slices(batch, limit=BATCH_BYTES):
-                ids = part.column("id").to_numpy(zero_copy_only=False)
+                ids, texts = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_key"))
                 split = split_words(part.column("text"))
                 long = split.counts >= self.length
                 owner = _owners(split)
@@ -120,41 +118,37 @@ class Cover:
                 hashes, _ = word_hashes(split)
                 take = np.flatnonzero(long[owner] & self.member[at % self.period] & (at + self.anchor <= split.counts[owner]))
                 keys = Rolling(hashes, BASES[0]).of(take, self.anchor)
-                who, where = ids[owner[take]], at[take]
+                who, which, where = ids[owner[take]], texts[owner[take]], at[take]
                 low, high = _least(keys[:, None], who)
                 settled = low != high
                 # Of what repeats in the batch, one row for each hash goes on under it, without a place.
                 _, one = np.unique(keys[settled], return_index=True)
                 known = np.flatnonzero(settled)
                 columns = (
-                    (keys[~settled], who[~settled], where[~settled], False),
-                    (_place(who[known], where[known]), who[known], where[known], True),
-                    (keys[known[one]], low[known[one]], np.full(len(one), -1), True),
+                    (keys[~settled], who[~settled], which[~settled], where[~settled], False),
+                    (_place(who[known], where[known]), who[known], which[known], where[known], True),
+                    (keys[known[one]], low[known[one]], np.zeros(len(one), np.int64), np.full(len(one), -1), True),
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([c[0] for c in columns]).view(np.int64)),
                         pa.array(np.concatenate([c[1] for c in columns]), pa.int64()),
-                        pa.array(np.concatenate([c[2] for c in columns]), pa.int32()),
-                        pa.array(np.concatenate([np.full(len(c[0]), c[3]) for c in columns])),
+                        pa.array(np.concatenate([c[2] for c in columns]), pa.int64()),
+                        pa.array(np.concatenate([c[3] for c in columns]), pa.int32()),
+                        pa.array(np.concatenate([np.full(len(c[0]), c[4]) for c in columns])),
                     ],
-                    ["key", "id", "at", "settled"],
+                    ["key", "id", "text_key", "at", "settled"],
                 )
 
     def windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, more, id, spot, settled): the windows around marked places, and in one list a row those that a smaller document of the batch has.
-
-        A spot is a window's place under its row's number.
-        """
+        """(key, more, id, text_key, spot, settled): the windows around marked places, and in one list a row those that a smaller document of the batch has."""
         for batch in batches:
             for part in byte_slices(batch, limit=BATCH_BYTES):
-                ids, rows = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
+                ids, texts = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_key"))
                 split = split_words(part.column("text"))
                 marks = part.column("marks")
-                # Rows of one id share their marks; a mark beyond a text is another row's.
-                spots, whose = marks.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), np.diff(marks.offsets.to_numpy()))
-                fit = spots + self.anchor <= split.counts[whose]
-                spots, whose = spots[fit] + split.offsets[whose[fit]], whose[fit]
+                whose = np.repeat(np.arange(len(ids)), np.diff(marks.offsets.to_numpy()))
+                spots = marks.flatten().to_numpy(zero_copy_only=False) + split.offsets[whose]
                 owner = _owners(split)
                 n = len(owner)
                 reach = np.zeros(n + 1, np.int64)
@@ -165,7 +159,7 @@ class Cover:
                 first, second = word_hashes(split)
                 keys = np.stack([Rolling(first, BASES[0]).of(take, self.length), Rolling(second, BASES[1]).of(take, self.length)], axis=1)
                 doc = owner[take]
-                spot = (rows[doc] << PLACE) + at[take]
+                spot = at[take].astype(np.int32)
                 settled = _least(keys, ids[doc])[0] < ids[doc]
                 lists, starts = np.unique(doc[settled], return_index=True)
                 open_ = ~settled
@@ -174,34 +168,35 @@ class Cover:
                         pa.array(np.concatenate([keys[open_, 0], _place(ids[lists], starts)]).view(np.int64)),
                         pa.array(np.concatenate([keys[open_, 1], np.zeros(len(lists), np.uint64)]).view(np.int64)),
                         pa.array(np.concatenate([ids[doc[open_]], ids[lists]]), pa.int64()),
-                        pa.array(np.concatenate([spot[open_], np.full(len(lists), -1)]), pa.int64()),
-                        pa.array([None] * int(open_.sum()) + np.split(spot[settled], starts[1:])[: len(lists)], pa.list_(pa.int64())),
+                        pa.array(np.concatenate([texts[doc[open_]], texts[lists]]), pa.int64()),
+                        pa.array(np.concatenate([spot[open_], np.full(len(lists), -1)]), pa.int32()),
+                        pa.array([None] * int(open_.sum()) + np.split(spot[settled], starts[1:])[: len(lists)], pa.list_(pa.int32())),
                     ],
-                    ["key", "more", "id", "spot", "settled"],
+                    ["key", "more", "id", "text_key", "spot", "settled"],
                 )
 
     def removed(self, texts: DataFrame) -> DataFrame:
-        """(id, spots): the windows to remove from the texts of an id.
+        """(id, text_key, spots): the windows to remove from a text.
 
-        texts: (id long, text string, row long) with no null id and no copies, spread by id: all uses read that one shuffle.
+        texts: (id long, text string, text_key long) with no null id and no copies, spread by id and key: all uses read that one shuffle.
         """
-        anchors = texts.select("id", "text").mapInArrow(self.anchors, "key long, id long, at int, settled boolean")
+        anchors = texts.mapInArrow(self.anchors, "key long, id long, text_key long, at int, settled boolean")
         same = Window.partitionBy("key")
         marked = anchors.withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same)).withColumn("known", F.max("settled").over(same))
-        places = marked.where("at >= 0 and (known or low <> high)").groupBy("id").agg(F.collect_list("at").alias("marks"))
-        near = texts.join(places, "id").select("id", "text", "row", "marks")
-        windows = near.mapInArrow(self.windows, "key long, more long, id long, spot long, settled array<long>")
+        places = marked.where("at >= 0 and (known or low <> high)").groupBy("id", "text_key").agg(F.collect_list("at").alias("marks"))
+        near = texts.join(places, ["id", "text_key"]).select("id", "text", "text_key", "marks")
+        windows = near.mapInArrow(self.windows, "key long, more long, id long, text_key long, spot int, settled array<int>")
         low = F.min("id").over(Window.partitionBy("key", "more"))
         gone = windows.withColumn("low", low).where("settled is not null or low < id")
-        return gone.groupBy("id").agg(F.collect_list(F.coalesce("settled", F.array("spot"))).alias("spots")).select("id", F.flatten("spots").alias("spots"))
+        spots = F.collect_list(F.coalesce("settled", F.array("spot"))).alias("spots")
+        return gone.groupBy("id", "text_key").agg(spots).select("id", "text_key", F.flatten("spots").alias("spots"))
 
 
 def _copied(docs: DataFrame, length: int) -> DataFrame:
-    """(id, copied): of each id the row numbers of its texts that a smaller id has just so, if they can hold `length` words."""
-    own = docs.where(F.length("text") >= 2 * length - 1).select("id", "row", F.unhex(F.md5("text")).alias("digest"))
+    """(id, text_key) of texts (id, text, text_key) that a smaller id has just so, if they can hold `length` words."""
+    own = written(docs.where(F.length("text") >= 2 * length - 1).select("id", "text_key", F.unhex(F.md5("text")).alias("digest")))
     again, _ = counted(own.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest", "low"))
-    copies = own.join(again, "digest").where("id > low").groupBy("id").agg(F.collect_set("row").alias("copied"))
-    return counted(copies)[0]
+    return counted(own.join(again, "digest").where("id > low").select("id", "text_key").distinct())[0]
 
 
 def _keep(starts: np.ndarray, count: int, length: int) -> np.ndarray:
@@ -233,29 +228,28 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut out; text_key is Spark's xxhash64 of the text as it was. Null texts have no words and stay null; rows with a null id lose
     nothing and take nothing from others. Repeated rows are all returned, and
     different texts under one id each lose what smaller ids have, told apart by
-    31 bits of their hash. Ids must be whole numbers. Other columns play no part.
+    their text_key. Ids must be whole numbers. Other columns play no part.
     """
     cover = Cover(length)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # An alias that renames nothing would hide from Spark that all uses of `texts` are one exchange.
     text = F.col(text_col).cast("string").alias("text") if (text_col, "string") not in docs.dtypes or text_col != "text" else F.col("text")
     docs = whole_ids(docs, id_col).select(F.col(id_col).cast("long").alias("id"), text).withColumn("text_key", F.xxhash64("text"))
-    row = F.shiftrightunsigned("text_key", 33).alias("row")
     known = docs.where("id is not null")
-    # Every use needs all three columns of the exchange, so that it stays one.
-    texts = known.repartition(parts, "id").join(_copied(known.select("id", "text", row), length), "id", "left").select("id", "text", "text_key", row, "copied")
-    texts = texts.withColumn("copy", F.coalesce(F.array_contains("copied", F.col("row")), F.lit(False))).drop("copied")
+    # Every use needs all three columns of the exchange, so that it stays one. An id of many texts is spread by their keys.
+    key = ["id", "text_key"]
+    copies = _copied(known, length).withColumn("copied", F.lit(True))
+    texts = known.repartition(parts, *key).join(copies, key, "left").select("id", "text", "text_key", F.coalesce("copied", F.lit(False)).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch):
                 counts, removed, kept, left = [], [], [], []
                 split = split_words(part.column("text"))
-                originals, rows, copies, spots = (part.column(c) for c in ("text", "row", "copy", "spots"))
+                originals, copies, spots = (part.column(c) for c in ("text", "copy", "spots"))
                 for i, joined in enumerate(split.joined()):
                     n, gone = int(split.counts[i]), spots[i].values
-                    gone = np.empty(0, np.int64) if gone is None else gone.to_numpy(zero_copy_only=False)
-                    gone = gone[gone >> PLACE == rows[i].as_py()] & ((1 << PLACE) - 1)
+                    gone = np.empty(0, np.int32) if gone is None else gone.to_numpy(zero_copy_only=False)
                     counts.append(n)
                     if not len(gone) and not (copies[i].as_py() and n >= length):
                         removed.append(0)
@@ -272,6 +266,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     ["id", "text_key", "n_words", "n_removed", "kept_words", "text"],
                 )
 
-    marked = texts.join(cover.removed(texts.where("not copy").select("id", "text", "row")), "id", "left").select("id", "text", "text_key", "row", "copy", "spots")
-    marked = marked.union(docs.where("id is null").select("id", "text", "text_key", row, F.lit(False), F.lit(None).cast("array<long>")))
+    marked = texts.join(cover.removed(texts.where("not copy").select("id", "text", "text_key")), key, "left").select("id", "text", "text_key", "copy", "spots")
+    marked = marked.union(docs.where("id is null").select("id", "text", "text_key", F.lit(False), F.lit(None).cast("array<int>")))
     return marked.mapInArrow(run, "id long, text_key long, n_words long, n_removed long, kept_words string, text string").withColumnRenamed("id", id_col)
