@@ -135,6 +135,43 @@ def all_sections(site: Column, source: Column, name: Column, label: Column, hay:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("industry")))
 
 
+# What readers see of sections, in the order in which labels are given.
+SECTION_NAMES = {"models": "模型", "products": "产品", "devtools": "开发者", "hn": "HN", "industry": "行业", "research": "研究", "creator": "自媒体", "community": "社区"}
+SITE_TAGS = {"official_ai": "官方", "aihot": "AI HOT"}
+SECTION_TAGS = {"models": "模型发布", "devtools": "开发者", "hn": "社区热议", "research": "研究", "creator": "自媒体", "community": "社区"}
+IMPACTS = {"devtools": "开发者", "products": "产品", "industry": "企业 / 投资", "research": "研究", "models": "模型团队", "community": "社区", "hn": "社区"}
+MANY_SOURCES, NO_IMPACT, NO_DAY, LABELS = "多源验证", "AI 观察者", "时间未知", 3
+WEEKDAYS = ["星期日", "星期一", "星期二", "星期三", "星期四", "星期五", "星期六"]
+
+
+def _labels(*labels: Column) -> Column:
+    """The first few labels that are there, each once."""
+    return F.slice(F.array_distinct(F.array_compact(F.array(*labels))), 1, LABELS)
+
+
+def tags(sections: Column, site: Column, confirmed: Column, active: str = "hot") -> Column:
+    """What an item is marked with in the list of the `active` section; confirmed: its event has other items."""
+    of = [F.when(F.array_contains(sections, s), F.lit(t)) for s, t in SECTION_TAGS.items()]
+    return _labels(F.lit(SECTION_NAMES.get(active)), F.when(confirmed, F.lit(MANY_SOURCES)), *(F.when(site == s, F.lit(t)) for s, t in SITE_TAGS.items()), *of)
+
+
+def impacts(sections: Column) -> Column:
+    """Whom an item of these sections concerns."""
+    found = _labels(*(F.when(F.array_contains(sections, s), F.lit(t)) for s, t in IMPACTS.items()))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_IMPACT)))
+
+
+def day_label(at: Column, now: datetime, zone: str = "Asia/Shanghai") -> Column:
+    """The local day, with its year unless that is the present one."""
+    local, today = F.from_utc_timestamp(at, zone), F.from_utc_timestamp(F.lit(now), zone)
+    return F.when(at.isNull(), NO_DAY).when(F.year(local) == F.year(today), F.date_format(local, "M月d日")).otherwise(F.date_format(local, "yyyy年M月d日"))
+
+
+def weekday(at: Column, zone: str = "Asia/Shanghai") -> Column:
+    """The local day of the week; empty for an unknown time."""
+    return F.when(at.isNull(), "").otherwise(F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.dayofweek(F.from_utc_timestamp(at, zone))))
+
+
 def timeline(published: Column, first_seen: Column, generated: datetime) -> Column:
     """Published, but first seen where published lies over ten minutes after the snapshot."""
     late = published > F.lit(generated) + F.make_dt_interval(mins=F.lit(10))

@@ -247,11 +247,26 @@ def story_rows(stories: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def sections_of() -> Column:
+    """All sections of a viewed item (with hay)."""
+    content = r.haystack(F.col("title"), F.col("source"), F.col("site_name"), F.col("site_id"), signals=F.col("ai_signals"))
+    return r.all_sections(F.col("site_id"), F.col("source"), F.col("site_name"), F.col("ai_label"), F.col("hay"), content)
+
+
+def labelled(items: DataFrame, now: datetime, active: str = "hot") -> DataFrame:
+    """Viewed items with sections, tags, impacts, day and weekday, as the list of the `active` section shows them.
+
+    Only events of several items are joined back, so the join's small side holds repeated titles alone.
+    """
+    several = items.groupBy("event").agg(F.count("*").alias("_n")).where("_n > 1").select("event", F.lit(True).alias("_confirmed"))
+    rows = items.join(several, "event", "left").withColumn("sections", sections_of())
+    marks = r.tags(F.col("sections"), F.col("site_id"), F.coalesce("_confirmed", F.lit(False)), active)
+    return rows.withColumns({"tags": marks, "impacts": r.impacts(F.col("sections")), "day": r.day_label(F.col("at"), now), "weekday": r.weekday(F.col("at"))}).drop("_confirmed")
+
+
 def by_section(items: DataFrame) -> DataFrame:
     """(section, id, url, source, high): viewed items (with hay) once for each of their sections, and all under "hot": what counts, lists and exclusions are read from."""
-    content = r.haystack(F.col("title"), F.col("source"), F.col("site_name"), F.col("site_id"), signals=F.col("ai_signals"))
-    sections = r.all_sections(F.col("site_id"), F.col("source"), F.col("site_name"), F.col("ai_label"), F.col("hay"), content)
-    return items.select(F.explode(F.concat(F.array(F.lit("hot")), sections)).alias("section"), "id", "url", F.coalesce("source", "site_name", "site_id").alias("source"), "high")
+    return items.select(F.explode(F.concat(F.array(F.lit("hot")), sections_of())).alias("section"), "id", "url", F.coalesce("source", "site_name", "site_id").alias("source"), "high")
 
 
 def stories_within(stories: DataFrame, members: DataFrame, items: DataFrame) -> DataFrame:

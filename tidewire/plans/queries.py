@@ -13,7 +13,7 @@ from ..functions.text import jaccard, mergeable, mostly_english, redacted, snipp
 from ..functions.urls import canonical, host_of, normalized, public
 from ..operators import archive, audit, dedup, govern, overlap, stories
 from ..operators.graph import written
-from ..sources.landing import html_context
+from ..sources.landing import html_context, reader_context
 from .items import ITEMS_SQL, NOW, NOW_S, SITES, START_S, document_items, snapshot, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,6 +445,24 @@ union all select doc_id, 'source' from documents where regexp_matches(source, '{
 """
 
 
+def reader_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader's text says in short, of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", reader_context(F.col("text")).alias("context"))
+
+
+_BLANK = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+READER_CONTEXTS_SQL = rf"""
+with a as (
+  select doc_id, list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0B\f\r\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '', 'g')) as ls from documents
+), b as (
+  select doc_id, list_filter(ls, lambda x: starts_with(lower(x), 'title:'))[1:1] as title,
+         list_filter(ls[1:40], lambda x: not regexp_matches(lower(x), '^(title:|url source:|markdown content:)') and length(trim(regexp_replace(regexp_replace(
+           regexp_replace(regexp_replace(x, '!?\[[^\]]*\]\([^)]*\)', '', 'g'), '^[*+-]{_BLANK}+|^\p{{Nd}}+\.{_BLANK}+', ''), '[#>*_`|]', ' ', 'g'), '{_BLANK}+', ' ', 'g'))) >= 20) as body from a
+)
+select doc_id, array_to_string(list_concat(title, body[1:3]), chr(10)) as context from b
+"""
+
+
 def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html_context(F.col("html")).alias("context"))
 
@@ -511,5 +529,6 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "quality_gate": (quality_gate, QUALITY_GATE_SQL),
     "leaks": (leaks, LEAKS_SQL),
     "page_context": (page_context, PAGE_CONTEXT_SQL),
+    "reader_contexts": (reader_contexts, READER_CONTEXTS_SQL),
     "public_snippets": (public_snippets, PUBLIC_SNIPPETS_SQL),
 }

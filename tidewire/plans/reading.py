@@ -174,6 +174,32 @@ _SECTION_TESTS = {
     **{s: f"{_IN(s)} or regexp_matches(hay, '{r.SECTION_WORDS[s]}')" for s in ("products", "devtools", "industry", "research")},
     "hn": _OF("hn"), "creator": _OF("creator"), "community": f"{_OF('community')} or regexp_matches(hay, '{r.COMMUNITY_WORDS}')",
 }
+def item_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections, tags, concerned readers and day of every item, as the list of models shows them."""
+    rows = reading.labelled(_viewed(spark, sf_dir), NOW, active="models")
+    return rows.select("doc_id", *(F.array_join(c, "|").alias(c) for c in ("sections", "tags", "impacts")), "day", "weekday")
+
+
+_SECTIONS = f"list_filter([{', '.join(f"case when {t} then '{s}' end" for s, t in _SECTION_TESTS.items())}], lambda x: x is not null)"
+_LABELS = lambda pairs: f"list_filter([{', '.join(f"case when {t} then '{x}' end" for x, t in pairs)}], lambda x: x is not null)"
+_HAS = lambda s: f"list_contains(sections, '{s}')"
+# Of labels that two tests give, the tests are one.
+ITEM_LABELS_SQL = f"""
+with {SEEN_SQL}, c as (
+  select *, lower(concat_ws(' ', nullif(title, ''), nullif(source, ''), nullif(source, ''), site_id, nullif(array_to_string(signals, ' '), ''))) as content,
+         count(*) over (partition by event) > 1 as confirmed, make_timestamp(cast(at_s as bigint) * 1000000) + interval 8 hours as local_t from seen
+), l as (
+  select *, case when len(found) > 0 then found else ['industry'] end as sections from (select *, {_SECTIONS} as found from c)
+), m as (
+  select *, {_LABELS([(x, _HAS(s) + (" or " + _HAS('hn') if s == 'community' else '')) for s, x in r.IMPACTS.items() if s != 'hn'])} as impact,
+         {_LABELS([('模型', 'true'), (r.MANY_SOURCES, 'confirmed'), *((x, f"site_id = '{s}'") for s, x in r.SITE_TAGS.items()), *((x, _HAS(s)) for s, x in r.SECTION_TAGS.items())])} as tag from l
+)
+select doc_id, array_to_string(sections, '|') as sections, array_to_string(tag[1:3], '|') as tags, case when len(impact) > 0 then array_to_string(impact[1:3], '|') else '{r.NO_IMPACT}' end as impacts,
+       case when year(local_t) = year(make_timestamp(cast({NOW_S} as bigint) * 1000000) + interval 8 hours) then '' else year(local_t) || '年' end || month(local_t) || '月' || day(local_t) || '日' as day, list_extract({r.WEEKDAYS}, cast(dayofweek(local_t) + 1 as integer)) as weekday
+from m
+"""
+
+
 SECTION_STORIES_SQL = f"""
 with {SEEN_SQL}, c as (select *, lower(concat_ws(' ', nullif(title, ''), nullif(source, ''), nullif(source, ''), site_id, nullif(array_to_string(signals, ' '), ''))) as content from seen), l as (
   select id, url, source, high, list_filter([{', '.join(f"case when {t} then '{s}' end" for s, t in _SECTION_TESTS.items())}], lambda x: x is not null) as s from c
@@ -393,6 +419,7 @@ READING: dict[str, tuple[Query, str | None]] = {
     "item_search": (item_search, ITEM_SEARCH_SQL),
     "section_view": (section_view, SECTION_VIEW_SQL),
     "section_stories": (section_stories, SECTION_STORIES_SQL),
+    "item_labels": (item_labels, ITEM_LABELS_SQL),
     "event_clusters": (event_clusters, EVENT_CLUSTERS_SQL),
     "event_boards": (event_boards, EVENT_BOARDS_SQL),
     "source_groups": (source_groups, SOURCE_GROUPS_SQL),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed, stripped
@@ -72,3 +75,25 @@ def html_context(html, paragraphs: int = 3, limit: int = 800):
     said = F.regexp_extract(html, r"""(?is)<meta[^>]+name=["']description["'][^>]*content=["']([^"']*)""", 1)
     texts = F.transform(F.slice(F.regexp_extract_all(html, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), 1), 1, paragraphs), lambda p: squeezed(F.regexp_replace(p, r"(?s)<[^>]+>", " ")))
     return F.left(F.array_join(F.filter(F.concat(F.array(squeezed(said)), texts), lambda t: t != ""), "\n"), F.lit(limit))
+
+
+#: Marks of a reader's text that aren't its body, and how much of a line must be prose.
+READER_MARKS = ["title:", "url source:", "markdown content:"]
+PROSE = 20
+LINE_ENDS = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def prose_line(line: Column) -> Column:
+    """Enough is left of a markdown line without links, bullet and marks."""
+    bare = F.regexp_replace(F.regexp_replace(line, r"!?\[[^\]]*\]\([^)]*\)", ""), r"(?U)^[*\-+]\s+|^\d+\.\s+", "")
+    return F.length(squeezed(F.regexp_replace(bare, r"[#>*_`|]", " "))) >= PROSE
+
+
+def reader_context(text: Column, lines: int = 40, prose: int = 3) -> Column:
+    """Of a page rendered as markdown: its title line, and the first lines of prose among its first `lines`; empty for null."""
+    # Marks are ASCII, so lower-casing keeps a line's beginning.
+    marked = lambda line, *marks: reduce(or_, (F.startswith(F.lower(line), F.lit(m)) for m in marks))
+    every = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_ENDS), stripped)
+    title = F.slice(F.filter(every, lambda x: marked(x, READER_MARKS[0])), 1, 1)
+    body = F.filter(F.slice(every, 1, lines), lambda x: ~marked(x, *READER_MARKS) & prose_line(x))
+    return F.array_join(F.concat(title, F.slice(body, 1, prose)), "\n")
