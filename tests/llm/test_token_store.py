@@ -27,6 +27,38 @@ def test_ids_match_the_library():
     assert encode.encode(pa.array([], pa.string()), 2)[0].tolist() == []
 
 
+class Counting:
+    """A tokenizer that notes what it is asked."""
+
+    def __init__(self, real):
+        self.real, self.asked, self.model = real, [], self
+
+    def tokenize(self, run):
+        self.asked.append(run)
+        return self.real.model.tokenize(run)
+
+    def encode_batch_fast(self, words, **options):
+        self.asked += words
+        return self.real.encode_batch_fast(words, **options)
+
+
+def test_spellings_of_a_known_run_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 20)
+    encode = T.WordIds(PATH)
+    encode.tokenizer = seen = Counting(encode.tokenizer)
+    for written in (str, str.upper, str.title):
+        text = " ".join(written(w) + m for w in ("word", "tone", "lake") for m in ("", ".", ",", "!!", "&&&")) + " x1"
+        assert [x.tolist() for x in encode.encode(pa.array([text, None]), 2)] == want([text, None])
+    assert sorted(seen.asked) == sorted(["word", "tone", "lake", ".", ",", "!!", "&&&", "x1"])
+
+
+def test_ids_match_when_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(T, "REMEMBERED", 5)
+    encode = T.WordIds(PATH)
+    assert [encode.encode(pa.array([t, t, None]), 2)[1].tolist() for t in ODD] == want(ODD)
+    assert len(encode.bounds) < 60
+
+
 @pytest.mark.parametrize("block", [1 << 20, 300])
 def test_round_trip(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(T, "BLOCK_BYTES", block)

@@ -19,7 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +38,7 @@ from .words import byte_slices, split_words
 BLOCK_BYTES = 1 << 20
 #: Bytes of text encoded at a time: the more, the fewer words are looked up again.
 ENCODED_BYTES = 8 << 20
-#: Words whose ids a worker remembers.
+#: Runs and words whose ids a worker remembers, beyond which it forgets them before the next texts.
 REMEMBERED = 500_000
 #: Documents that the dictionary is trained on, and its size. Every document is encoded and written.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 64 << 10
@@ -56,10 +56,11 @@ BLOCKS = (
 class WordIds:
     """Ids of texts by their words, for a tokenizer that drops white space and never looks across it.
 
-    A word seen before costs a look-up. A word that is a run of letters and
-    then a run of marks is two pre-tokens, each given to the tokenizer's model;
-    any other word is encoded whole. All ids found lie in one flat array, of
-    which a word has a row number.
+    A word that is a run of letters and then a run of marks is two pre-tokens,
+    each given to the tokenizer's model; any other word is encoded whole. Runs
+    and such words are remembered, and not every spelling of a run with its
+    capitals and marks. All ids found lie in one flat array, of which a run or
+    word has a row number; row 0 is empty.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,58 +72,64 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.rows: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {}
-        self.flat, self.bounds = array("I"), array("q", [0])
-
-    def _run(self, run: str) -> list[int]:
-        ids = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(run if run.isascii() else as_alphabet(run))]
-        return ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        parts = pc.extract_regex(pa.array(words, pa.binary()).cast(pa.string()), f"^(?P<letters>[{LETTERS}]+)(?P<marks>[{MARKS}]*)$")
-        letters = pc.utf8_lower(parts.field("letters")).to_pylist()
-        marks, simple = parts.field("marks").to_pylist(), parts.is_valid().to_pylist()
-        rest = [w for w, x in zip(words, simple) if not x]
-        others = iter(self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False))
-        rows, runs, flat, bounds = self.rows, self.runs, self.flat, self.bounds
-        for w, x, a, b in zip(words, simple, letters, marks):
-            if x:
-                flat.extend(runs.get(a) or self._run(a))
-                if b:
-                    flat.extend(runs.get(b) or self._run(b))
-            else:
-                flat.extend(next(others).ids)
-            rows[w] = len(bounds) - 1
-            bounds.append(len(flat))
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """The row number of each word."""
-        missing = [w for w in words if w not in self.rows]
-        if missing:
-            if len(self.rows) + len(missing) > REMEMBERED:
-                self._forget()
-                missing = words
-            self._learn(missing)
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        self.runs: dict[str, int] = {"": 0}
+        self.others: dict[str, int] = {}
+        self.flat, self.bounds = array("I"), array("q", [0, 0])
+
+    def _run_ids(self, runs: list[str]) -> Iterator[list[int]]:
+        tokenize = self.tokenizer.model.tokenize
+        return ([t.id for t in tokenize(r if r.isascii() else as_alphabet(r))] for r in runs)
+
+    def _other_ids(self, words: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+
+    def _rows(self, known: dict[str, int], strings: pa.Array, ids_of: Callable[[list[str]], Iterator[list[int]]]) -> np.ndarray:
+        """The row number of each string; those that `known` lacks are learned."""
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        missing = [s for s in distinct if s not in known]
+        for s, ids in zip(missing, ids_of(missing)):
+            known[s] = len(self.bounds) - 1
+            self.flat.extend(ids)
+            self.bounds.append(len(self.flat))
+        rows = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        return rows[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """The row numbers of each word, two to a word."""
+        if len(self.bounds) > REMEMBERED:
+            self._forget()
+        parts = pc.extract_regex(words, f"^(?P<letters>[{LETTERS}]+)(?P<marks>[{MARKS}]*)$")
+        simple = parts.is_valid()
+        runs, at = parts.filter(simple), simple.to_numpy(zero_copy_only=False)
+        rows = np.zeros((len(words), 2), np.int64)
+        rows[at, 0] = self._rows(self.runs, pc.utf8_lower(runs.field("letters")), self._run_ids)
+        rows[at, 1] = self._rows(self.runs, runs.field("marks"), self._run_ids)
+        rows[~at, 0] = self._rows(self.others, words.filter(pc.invert(simple)), self._other_ids)
+        return rows
 
     def encode(self, texts: pa.Array, end: int | None = None) -> list[np.ndarray]:
         """The ids of each text (null: empty), and the end id after them."""
         split = split_words(texts)
-        codes, words = split.coded()
-        rows = self.of(words)
+        coded = split.words.dictionary_encode()
+        codes, rows = coded.indices.to_numpy(zero_copy_only=False), self.of(coded.dictionary)
         bounds, flat = np.array(self.bounds, np.int64), np.array(self.flat, np.uint32)
-        begin, sizes = bounds[rows], bounds[rows + 1] - bounds[rows]
+        flat, bounds = _picked(flat, bounds[rows.ravel()], bounds[rows.ravel() + 1])
+        begin, stop = bounds[:-1:2], bounds[2::2]
         if end is not None:
             codes = np.insert(codes, split.offsets[1:], len(rows))
-            begin, sizes, flat = np.append(begin, len(flat)), np.append(sizes, 1), np.append(flat, np.uint32(end))
-        each = sizes[codes]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        picked = flat[np.repeat(begin[codes] - upto[:-1], each) + np.arange(upto[-1])]
+            begin, stop, flat = np.append(begin, len(flat)), np.append(stop, len(flat) + 1), np.append(flat, np.uint32(end))
+        picked, upto = _picked(flat, begin[codes], stop[codes])
         cuts = split.offsets + (np.arange(len(split.offsets)) if end is not None else 0)
         return np.split(picked, upto[cuts[1:-1]])
 
 
+def _picked(flat: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[begin[i]:stop[i]] of every i, one after the other, and where each begins and the last ends."""
+    upto = np.concatenate([[0], np.cumsum(stop - begin)])
+    return flat[np.repeat(begin - upto[:-1], stop - begin) + np.arange(upto[-1])], upto
+
+
 class WholeIds:
     """Ids by encoding whole texts, for any other tokenizer."""
 
