@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.vocabulary import MODEL_PATTERN, TITLE_STOPWORDS, VENDOR_ALIASES
 from tidewire.operators import clusters as C
 from tidewire.operators.tiles import tiled
-from tidewire.operators.titles import Title, ceiling, may_reach, pairs_within
+from tidewire.operators.titles import Title, ceiling, may_reach, near_enough, pairs_within
 
 NOW = datetime(2026, 7, 1, tzinfo=timezone.utc)
 SCHEMA = "id string, site_id string, title string, url string, event_time timestamp"
@@ -195,3 +195,27 @@ def test_the_brief_brings_few_rows_to_the_driver(spark, monkeypatch):
     stories = spark.range(200_000).select(n.cast("string").alias("story_id"), F.concat(F.lit("story of things "), F.sha1(n.cast("string"))).alias("title"), F.when(n % 10 > 0, "hot").otherwise(F.concat(F.lit("s"), n % 3000)).alias("source"), (F.lit(0.9) - n / 1e9).alias("score"))
     got = C.diverse(stories, 20).collect()
     assert len(got) == 20 and all(n <= 400 for n in brought) and len(brought) <= 3
+
+
+def test_bounds_of_long_titles_drop_most_pairs_and_no_match():
+    """Titles of a syllable language, past the length from which the matcher passes over letters that are often there."""
+    draw = random.Random(9)
+    parts = [draw.choice("bdgklmnrst") + draw.choice("aeiou") + draw.choice(["", "n", "r"]) for _ in range(60)]
+    made = lambda n: "".join(draw.choice(parts) + draw.choice(["", "", " "]) for _ in range(n))[:220]
+    left = [made(120) for _ in range(150)]
+    right = [made(120) for _ in range(150)]
+    for text in left:
+        text = list(text)
+        for _ in range(draw.randrange(draw.choice([3, 45]))):
+            at = draw.randrange(len(text))
+            text[at : at + draw.randrange(2)] = draw.choice(["", "e", "zz", "\0", "模"])
+        right.append("".join(text))
+    a, b = [Title(t) for t in left], [Title(t, Title(t).marks()) for t in right]
+    met = list(pairs_within(a, b, 0.86))
+    near = set(near_enough(a, b, met, 0.86))
+    ratio = {(i, j): SequenceMatcher(None, x, y).ratio() for i, x in enumerate(left) for j, y in enumerate(right) if abs(len(x) - len(y)) <= 62}
+    good = {p for p, r in ratio.items() if r >= 0.86}
+    assert good <= near <= set(met) and {p for p in met if ceiling(a[p[0]], b[p[1]]) >= 0.86} == near and len(good) > 50
+    either = set(pairs_within(a, b, 0.86, either=True))
+    assert set(met) <= either and {(i, j) for j, i in pairs_within(b, a, 0.86)} <= either
+    assert len(met) < 0.02 * len(left) * len(right)
