@@ -163,3 +163,16 @@ def test_alike_sets_are_all_pairs(spark):
     for least in (0.3, 0.6, 0.8795, 1.0):
         got = sorted((tuple(r.words), tuple(r.other)) for r in alike_sets(frame, frame, least).collect())
         assert got == [(a, b) for a in sets for b in sets if len({*a} & {*b}) >= least * len({*a} | {*b}) - 1e-9]
+
+
+def test_no_side_of_the_audit_is_broadcast(spark):
+    """Files and shuffled data tell little of how large sets and ids are in memory, so none go whole through the driver."""
+    rows = [(f"i{k}", f"s{k % 3}", f"words w{k % 7} x{k % 5} meet here", f"https://x.example/{k % 9}", NOW) for k in range(60)]
+    items = spark.createDataFrame(rows, ITEMS).withColumns({"related": F.lit(True), "importance": F.lit(0.5)})
+    keyed = matching.keyed(items)
+    sets = keyed.select(F.col("tokens").alias("words")).distinct()
+    told = matching.source_quality(items, items.where("site_id = 's1'"), items.where("id = 'i7'").select("id", "url"))
+    for df in (alike_sets(sets, sets, 0.6), matching.told_elsewhere(keyed, keyed), told):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.site_id, r.total) for r in told.orderBy("site_id").collect()] == [("s0", 20), ("s1", 20), ("s2", 20)]
