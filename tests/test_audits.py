@@ -176,3 +176,29 @@ def test_no_side_of_the_audit_is_broadcast(spark):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert [(r.site_id, r.total) for r in told.orderBy("site_id").collect()] == [("s0", 20), ("s1", 20), ("s2", 20)]
+
+
+def test_long_titles_match_a_plain_loop(spark, monkeypatch):
+    """Titles past the length from which the matcher passes over frequent letters; what bounds need goes with them to the tiles."""
+    draw, sent = random.Random(12), []
+    tiled = overlap.tiled
+    monkeypatch.setattr(overlap, "tiled", lambda left, right, *more: sent.append((left.columns, right.columns)) or tiled(left, right, *more))
+    word = lambda: "".join(draw.choice("bdgklmnrst") + draw.choice("aeiou") for _ in range(draw.randrange(1, 4)))
+    mine = [" ".join(word() for _ in range(60))[: draw.choice([190, 204, 219])].strip() for _ in range(40)]
+    base = []
+    for title in mine:
+        words = title.split(" ")
+        for _ in range(draw.randrange(12)):
+            words[draw.randrange(len(words))] = word()
+        base.append(" ".join(draw.sample(words, len(words)) if draw.random() < 0.3 else words))
+    rows = [(f"{side}{k:02}", side, t, f"https://x.example/{side}{k}", NOW) for side, ts in (("mine", mine), ("other", base)) for k, t in enumerate(ts)]
+    frame = spark.createDataFrame(rows, ITEMS)
+    normal = {r.title: r.n for r in frame.select("title", overlap.overlap_title(F.col("title")).alias("n")).collect()}
+    want = {}
+    for k, a in enumerate(mine):
+        found = [(-overlap.alike(normal[a], normal[b]), f"other{n:02}") for n, b in enumerate(base)]
+        if min(found)[0] <= -0.88:
+            want[f"mine{k:02}"] = min(found)
+    got = {r.id: (-r.score, r.best_id) for r in overlap.compared(frame.where("site_id = 'mine'"), frame).collect()}
+    assert got == want and 5 < len(want) < 40
+    assert sent and all("marks" in columns for pair in sent for columns in pair)

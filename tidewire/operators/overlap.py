@@ -14,7 +14,7 @@ from ..functions.urls import normalized
 from .graph import written
 from .sets import alike_sets
 from .tiles import tiled
-from .titles import Title, ceilings, pairs_within, sets_within
+from .titles import Title, near_enough, pairs_within, sets_within
 
 #: Scores from which titles are the same, or may be, and the days that may lie between the latter.
 SAME, MAYBE, DAYS = 0.88, 0.62, 2
@@ -92,27 +92,33 @@ def _title_pairs(mine: DataFrame, base: DataFrame) -> DataFrame:
     days = F.floor(F.unix_micros("at") / (DAYS * 86_400_000_000)).cast("long")
     left, right = mine.select("normal", "at"), base.select(F.col("base_normal").alias("normal"), F.col("base_at").alias("at"))
 
+    def marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["marks"] = [Title(t).marks() for t in frame["normal"]]
+            frame["turned"] = [Title(_sorted_words(t)).marks() for t in frame["normal"]]
+            yield frame
+
     def blocks(df: DataFrame, around: bool) -> DataFrame:
         near = (lambda c: F.explode(F.array(c - 1, c, c + 1))) if around else (lambda c: F.explode(F.array(c)))
         block = lambda kind, *parts: F.concat_ws(":", F.lit(str(kind)), *(p.cast("string") for p in parts)).alias("block")
-        titles = df.where("normal <> ''").select("normal").distinct()
-        by_size = [titles.select("normal", near(band(c)).alias("k")).select(block(kind, F.col("k")), F.lit(kind).alias("kind"), "normal") for kind, c in ((0, F.col("normal")), (1, in_order))]
+        # What the bounds need is worked out once for each title; few have a name, and these get it where they meet.
+        titles = written(df.where("normal <> ''").select("normal").distinct().mapInPandas(marked, "normal string, marks binary, turned binary"))
+        by_size = [titles.select("normal", m, near(band(c)).alias("k")).select(block(kind, F.col("k")), F.lit(kind).alias("kind"), "normal", F.col(m).alias("marks")) for kind, c, m in ((0, F.col("normal"), "marks"), (1, in_order, "turned"))]
         named = df.where("normal <> ''").select("normal", days.alias("d")).distinct().select("normal", "d", F.explode(overlap_entities(F.col("normal"))).alias("e"))
         dated = named.where("d is not null").select("normal", "e", near(F.col("d")).alias("k")).select(block(2, F.col("e"), F.col("k")), F.lit(2).alias("kind"), "normal")
         # Unknown times meet all others: those of the one side in a block for all of the other.
         mark = lambda m: block(2, F.col("e"), F.lit(m))
         any_time = named.select(mark("left unknown" if not around else "right unknown"), F.lit(2).alias("kind"), "normal")
         unknown = named.where("d is null").select(mark("right unknown" if not around else "left unknown"), F.lit(2).alias("kind"), "normal")
-        return by_size[0].union(by_size[1]).union(dated).union(any_time).union(unknown).distinct()
+        return by_size[0].union(by_size[1]).union(dated.union(any_time).union(unknown).distinct().withColumn("marks", F.lit(None).cast("binary")))
 
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         kind, a, b = int(one["kind"].iloc[0]), one["normal"].tolist(), two["normal"].tolist()
         pairs = set()
         for turned in [False] if kind == 0 else [True] if kind == 1 else [False, True]:
-            x, y = ([Title(_sorted_words(t) if turned else t) for t in ts] for ts in (a, b))
+            x, y = ([Title(_sorted_words(t) if turned else t, m) for t, m in zip(ts, f["marks"])] for ts, f in ((a, one), (b, two)))
             least = MAYBE_ROUNDED if kind == 2 else SAME_ROUNDED
-            near = list(pairs_within(x, y, least))
-            pairs |= {(a[i], b[j]) for (i, j), c in zip(near, ceilings(x, y, near)) if c >= least}
+            pairs |= {(a[i], b[j]) for i, j in near_enough(x, y, pairs_within(x, y, least), least)}
         if kind == 2:  # what blocks don't tell, shared words may
             pairs |= {(a[i], b[j]) for i, j in sets_within([set(t.split()) for t in a], [set(t.split()) for t in b], MAYBE_ROUNDED)}
         return pd.DataFrame(sorted(pairs), columns=["normal", "base_normal"], dtype="str")
